@@ -116,10 +116,33 @@ class Fixture:
         )
 
     @cached_property
-    def polygons(self) -> DataFrame:
-        """Snapshots with a visible trapezoid around point 2."""
-        return self.frames.withColumn("x0", F.expr("points[2].x")).withColumn(
-            "visible_area", F.expr("array(x0 - 30, 0.0D, x0 + 30, 0.0D, x0 + 40, 80.0D, x0 - 40, 80.0D)")
+    def rough(self) -> DataFrame:
+        """Snapshots with the defects real data has: null flags, missing coordinates,
+        coincident records, second actors, absent containers and broken polygons."""
+        x = "60.0D + 160.0D * CAST(embedding[2 * ({j})] AS DOUBLE)"
+        y = "40.0D + 110.0D * CAST(embedding[2 * ({j}) + 1] AS DOUBLE)"
+        j = "CASE WHEN i = 5 AND vec_id % 9 = 0 THEN 4 ELSE i END"
+        x0 = x.format(j=2)
+        return self.table("embeddings").selectExpr(
+            "vec_id AS frame_id",
+            "CAST(vec_id % 12 AS INT) AS match_id",
+            "CASE label % 4 WHEN 0 THEN 'Pass' WHEN 1 THEN 'Carry' WHEN 2 THEN 'Shot' ELSE 'Pressure' END AS event_type",
+            "CASE WHEN vec_id % 37 = 5 THEN NULL ELSE transform(sequence(0, CAST(7 + vec_id % 14 AS INT)), i -> named_struct("
+            f"'i', i, 'x', CASE WHEN (vec_id * 3 + i) % 31 <> 0 THEN {x.format(j=j)} END, "
+            f"'y', {y.format(j=j)}, "
+            "'teammate', CASE WHEN (vec_id + i) % 23 <> 0 THEN (i + label) % 2 = 0 END, "
+            "'keeper', CASE WHEN (vec_id + i) % 17 <> 0 THEN (i = 0 OR i = 1) END, "
+            "'actor', CASE WHEN (vec_id + i) % 29 <> 0 THEN (i = 2 OR (i = 6 AND vec_id % 13 = 0)) END)) END AS points",
+            f"{x0} AS x0",
+        ).withColumn(
+            "visible_area",
+            F.expr(
+                "CASE frame_id % 11 WHEN 0 THEN NULL "
+                "WHEN 1 THEN array(x0 - 30, 0.0D, x0 + 30, 0.0D, x0 + 40, 80.0D, x0 - 40) "
+                "WHEN 2 THEN array(x0 - 30, 0.0D, x0 + 30, 0.0D, x0 - 40, 80.0D, x0 + 40, 80.0D) "
+                "WHEN 3 THEN array(x0 - 30, 0.0D, x0 + 30, 0.0D) "
+                "ELSE array(x0 - 30, 0.0D, x0 + 30, 0.0D, x0 + 40, 80.0D, x0 - 40, 80.0D) END"
+            ),
         )
 
 
@@ -149,13 +172,92 @@ PT = """pt AS (
   (i + label) % 2 = 0 AS teammate, (i = 0 OR i = 1) AS keeper, i = 2 AS actor
  FROM embeddings CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(32)) AS n WHERE i < 8 + vec_id % 14)"""
 
+RPT = """pt AS (
+ SELECT vec_id AS frame_id, CAST(vec_id % 12 AS INT) AS match_id,
+  CASE label % 4 WHEN 0 THEN 'Pass' WHEN 1 THEN 'Carry' WHEN 2 THEN 'Shot' ELSE 'Pressure' END AS event_type, label, i,
+  CASE WHEN (vec_id * 3 + i) % 31 <> 0 THEN 60.0E0 + 160.0E0 * CAST(list_extract(embedding, 2*j+1) AS DOUBLE) END AS x,
+  40.0E0 + 110.0E0 * CAST(list_extract(embedding, 2*j+2) AS DOUBLE) AS y,
+  CASE WHEN (vec_id + i) % 23 <> 0 THEN (i + label) % 2 = 0 END AS teammate,
+  CASE WHEN (vec_id + i) % 17 <> 0 THEN (i = 0 OR i = 1) END AS keeper,
+  CASE WHEN (vec_id + i) % 29 <> 0 THEN (i = 2 OR (i = 6 AND vec_id % 13 = 0)) END AS actor
+ FROM (SELECT *, CASE WHEN i = 5 AND vec_id % 9 = 0 THEN 4 ELSE i END AS j FROM embeddings
+  CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(32)) AS n) WHERE i < 8 + vec_id % 14 AND vec_id % 37 <> 5),
+ fr AS (SELECT vec_id AS frame_id, CAST(vec_id % 12 AS INT) AS match_id,
+  CASE label % 4 WHEN 0 THEN 'Pass' WHEN 1 THEN 'Carry' WHEN 2 THEN 'Shot' ELSE 'Pressure' END AS event_type,
+  vec_id % 37 <> 5 AS available, 60.0E0 + 160.0E0 * CAST(list_extract(embedding, 5) AS DOUBLE) AS x0,
+  CASE vec_id % 11 WHEN 0 THEN 'missing' WHEN 1 THEN 'malformed' WHEN 2 THEN 'invalid' WHEN 3 THEN 'malformed' ELSE 'valid' END
+   AS polygon_status FROM embeddings)"""
+
 VAR = """variant AS (
  SELECT * FROM (VALUES ('all_visible'), ('teammate_true'), ('teammate_false')) s(selected_subset),
   (VALUES ('included'), ('excluded')) g(goalkeeper_policy)),
  vp AS (SELECT v.selected_subset, v.goalkeeper_policy, pt.* FROM pt, variant v
-  WHERE (v.selected_subset = 'all_visible' OR teammate = (v.selected_subset = 'teammate_true'))
+  WHERE x IS NOT NULL AND (v.selected_subset = 'all_visible' OR teammate = (v.selected_subset = 'teammate_true'))
    AND (v.goalkeeper_policy = 'included' OR NOT keeper)),
- fv AS (SELECT f.frame_id, f.label, v.* FROM (SELECT vec_id AS frame_id, label FROM embeddings) f, variant v)"""
+ fv AS (SELECT fr.*, v.* FROM fr, variant v),
+ b1 AS (SELECT frame_id, selected_subset, goalkeeper_policy, COUNT(*) AS n, COUNT(DISTINCT (x, y)) AS u,
+   AVG(x) AS cx, AVG(y) AS cy, MAX(y) - MIN(y) AS w, MAX(x) - MIN(x) AS d,
+   COUNT(*) FILTER (NOT (x BETWEEN 0 AND 120 AND y BETWEEN 0 AND 80)) AS oob FROM vp GROUP BY ALL),
+ b2 AS (SELECT p.frame_id, p.selected_subset, p.goalkeeper_policy, AVG(sqrt((p.x-q.x)**2 + (p.y-q.y)**2)) AS mp,
+   MEDIAN(sqrt((p.x-q.x)**2 + (p.y-q.y)**2)) AS md FROM vp p JOIN vp q
+   ON p.frame_id = q.frame_id AND p.selected_subset = q.selected_subset AND p.goalkeeper_policy = q.goalkeeper_policy AND p.i < q.i
+   GROUP BY ALL),
+ b3 AS (SELECT frame_id, selected_subset, goalkeeper_policy, AVG(m) AS nn FROM (
+   SELECT p.frame_id, p.selected_subset, p.goalkeeper_policy, p.i, MIN(sqrt((p.x-q.x)**2 + (p.y-q.y)**2)) AS m FROM vp p JOIN vp q
+   ON p.frame_id = q.frame_id AND p.selected_subset = q.selected_subset AND p.goalkeeper_policy = q.goalkeeper_policy AND p.i <> q.i
+   GROUP BY ALL) GROUP BY ALL),
+ vu AS (SELECT DISTINCT frame_id, selected_subset, goalkeeper_policy, x, y FROM vp),
+ b4 AS (SELECT frame_id, selected_subset, goalkeeper_policy, SUM(px*qy - qx*py) / 2 AS hull FROM (
+   SELECT p.frame_id, p.selected_subset, p.goalkeeper_policy, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy,
+    MIN((q.x-p.x)*(r.y-p.y) - (q.y-p.y)*(r.x-p.x)) AS side FROM vu p
+   JOIN vu q ON p.frame_id = q.frame_id AND p.selected_subset = q.selected_subset AND p.goalkeeper_policy = q.goalkeeper_policy
+    AND (p.x <> q.x OR p.y <> q.y)
+   JOIN vu r ON p.frame_id = r.frame_id AND p.selected_subset = r.selected_subset AND p.goalkeeper_policy = r.goalkeeper_policy
+    AND (p.x <> r.x OR p.y <> r.y) AND (q.x <> r.x OR q.y <> r.y)
+   GROUP BY ALL) WHERE side > 0 GROUP BY ALL),
+ ke AS (SELECT frame_id, s.selected_subset, COUNT(*) FILTER (keeper) AS kt, COUNT(*) FILTER (keeper IS NULL) AS ku FROM pt,
+   (VALUES ('all_visible'), ('teammate_true'), ('teammate_false')) s(selected_subset)
+   WHERE x IS NOT NULL AND (s.selected_subset = 'all_visible' OR teammate = (s.selected_subset = 'teammate_true')) GROUP BY ALL),
+ geo AS (SELECT fv.frame_id, fv.match_id, fv.event_type, fv.available, fv.x0, fv.polygon_status, fv.selected_subset, fv.goalkeeper_policy,
+   CASE WHEN available THEN COALESCE(n, 0) END AS n_valid_points_used, CASE WHEN available THEN COALESCE(u, 0) END AS n_unique_points,
+   CASE WHEN available THEN COALESCE(n - u, 0) END AS n_coincident_records,
+   CASE WHEN available THEN COALESCE(oob, 0) END AS n_out_of_bounds_points,
+   CASE WHEN available THEN COALESCE(kt, 0) END AS n_keeper_true_before_filter,
+   CASE WHEN available THEN COALESCE(ku, 0) END AS n_keeper_unknown_before_filter,
+   CASE WHEN available THEN CASE WHEN fv.goalkeeper_policy = 'excluded' THEN COALESCE(kt, 0) ELSE 0 END END AS n_keeper_true_excluded,
+   CASE WHEN available THEN CASE WHEN fv.goalkeeper_policy = 'excluded' THEN COALESCE(ku, 0) ELSE 0 END END AS n_keeper_unknown_excluded,
+   CASE WHEN available THEN COALESCE(n, 0)::DOUBLE END AS point_count, cx AS centroid_x, cy AS centroid_y, w AS width, d AS depth,
+   hull AS hull_area, mp AS mean_pair_distance, md AS median_pair_distance, nn AS mean_nearest_distance
+  FROM fv LEFT JOIN b1 USING (frame_id, selected_subset, goalkeeper_policy) LEFT JOIN b2 USING (frame_id, selected_subset, goalkeeper_policy)
+   LEFT JOIN b3 USING (frame_id, selected_subset, goalkeeper_policy) LEFT JOIN b4 USING (frame_id, selected_subset, goalkeeper_policy)
+   LEFT JOIN ke USING (frame_id, selected_subset))"""
+
+GEO_METRICS = (
+    "point_count", "centroid_x", "centroid_y", "width", "depth", "hull_area",
+    "mean_pair_distance", "median_pair_distance", "mean_nearest_distance",
+)
+
+
+def _status_sql(m: str) -> str:
+    if m == "point_count":
+        tail = "'ok'"
+    elif m in ("centroid_x", "centroid_y", "width", "depth"):
+        tail = "CASE WHEN n_valid_points_used = 0 THEN 'empty_points' ELSE 'ok' END"
+    elif m == "hull_area":
+        tail = (
+            "CASE WHEN n_valid_points_used < 3 THEN 'insufficient_points' "
+            "WHEN n_unique_points < 3 THEN 'insufficient_unique_points' ELSE 'ok' END"
+        )
+    else:
+        tail = "CASE WHEN n_valid_points_used < 2 THEN 'insufficient_points' ELSE 'ok' END"
+    return f"CASE WHEN NOT available THEN 'frame_unavailable' ELSE {tail} END"
+
+
+#: long form of ``geo``: one row per variant and metric
+LONG = "gl AS (" + " UNION ALL ".join(
+    f"SELECT * EXCLUDE ({', '.join(GEO_METRICS)}), '{m}' AS metric, {m} AS value, {_status_sql(m)} AS status FROM geo"
+    for m in GEO_METRICS
+) + ")"
 
 
 def sql(body: str, *bases: str) -> str:
