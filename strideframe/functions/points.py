@@ -24,28 +24,30 @@ def total(arr: str, field: str) -> str:
 
 
 def spread(arr: str, field: str) -> str:
-    vals = f"transform({arr}, p -> p.{field})"
-    return f"(array_max({vals}) - array_min({vals}))"
+    return let("vs", f"transform({arr}, p -> p.{field})", "array_max(vs) - array_min(vs)")
 
 
 def pair_distances(arr: str) -> str:
     """Distances over unordered pairs, repeats kept."""
-    return (
-        f"flatten(transform({arr}, (p, i) -> transform("
-        f"slice({arr}, i + 2, greatest(size({arr}) - i - 1, 0)), q -> hypot(p.x - q.x, p.y - q.y))))"
+    return let(
+        "ps",
+        arr,
+        "flatten(transform(ps, (p, i) -> transform("
+        "slice(ps, i + 2, greatest(size(ps) - i - 1, 0)), q -> hypot(p.x - q.x, p.y - q.y))))",
     )
 
 
 def nearest_distances(arr: str) -> str:
     """Distance of every record to its closest other record."""
-    return (
-        f"transform({arr}, (p, i) -> array_min(transform("
-        f"filter({arr}, (q, j) -> j <> i), q -> hypot(p.x - q.x, p.y - q.y))))"
+    return let(
+        "ps",
+        arr,
+        "transform(ps, (p, i) -> array_min(transform(filter(ps, (q, j) -> j <> i), q -> hypot(p.x - q.x, p.y - q.y))))",
     )
 
 
 def mean(arr: str) -> str:
-    return f"(aggregate({arr}, 0.0D, (a, v) -> a + v) / size({arr}))"
+    return let("ms", arr, "aggregate(ms, 0.0D, (a, v) -> a + v) / size(ms)")
 
 
 def median(sorted_arr: str) -> str:
@@ -72,22 +74,21 @@ def reach(a: str, b: str) -> str:
 def hull_area(u: str) -> str:
     """Area of the convex hull of distinct points by walking the boundary once.
 
-    Each step takes the point with every other point on its left; ``u`` must be
-    a column name.  Work is at most (points squared) within the row.
+    Each step takes the point with every other point on its left, so the work is
+    at most (points squared) within the row.
     """
-    start = f"array_min({u})"
     step = (
-        f"aggregate({u}, CAST(NULL AS STRUCT<x: DOUBLE, y: DOUBLE>), (b, c) -> CASE "
+        f"aggregate(us, CAST(NULL AS STRUCT<x: DOUBLE, y: DOUBLE>), (b, c) -> CASE "
         f"WHEN c = s.cur THEN b WHEN b IS NULL THEN c "
         f"WHEN {turn('s.cur', 'b', 'c')} < 0 THEN c "
         f"WHEN {turn('s.cur', 'b', 'c')} = 0 AND {reach('s.cur', 'c')} > {reach('s.cur', 'b')} THEN c ELSE b END)"
     )
-    return (
-        f"aggregate(sequence(1, size({u})), named_struct('cur', {start}, 'area', 0.0D, 'done', false), "
-        f"(s, k) -> CASE WHEN s.done THEN s ELSE element_at(transform(array({step}), n -> named_struct("
-        f"'cur', n, 'area', s.area + {turn(start, 's.cur', 'n')}, 'done', n = {start})), 1) END, "
-        f"s -> abs(s.area) / 2)"
+    move = let("n", step, f"named_struct('cur', n, 'area', s.area + {turn('st', 's.cur', 'n')}, 'done', n = st)")
+    walk = (
+        "aggregate(sequence(1, size(us)), named_struct('cur', st, 'area', 0.0D, 'done', false), "
+        f"(s, k) -> CASE WHEN s.done THEN s ELSE {move} END, s -> abs(s.area) / 2)"
     )
+    return let("us", u, let("st", "array_min(us)", walk))
 
 
 # --- flat polygons [x0, y0, x1, y1, ...] -------------------------------------------------
@@ -95,16 +96,19 @@ def hull_area(u: str) -> str:
 
 def ring(flat: str) -> str:
     """Vertices of a flat polygon."""
-    return (
-        f"transform(sequence(1, CAST(floor(size({flat}) / 2) AS INT)), "
-        f"k -> named_struct('x', element_at({flat}, 2 * k - 1), 'y', element_at({flat}, 2 * k)))"
+    return let(
+        "fl",
+        flat,
+        "transform(sequence(1, CAST(floor(size(fl) / 2) AS INT)), "
+        "k -> named_struct('x', element_at(fl, 2 * k - 1), 'y', element_at(fl, 2 * k)))",
     )
 
 
 def ring_edges(r: str) -> str:
-    return (
-        f"transform({r}, (p, i) -> named_struct('i', i, 'a', p, "
-        f"'b', element_at({r}, CAST((i + 1) % size({r}) AS INT) + 1)))"
+    return let(
+        "rg",
+        r,
+        "transform(rg, (p, i) -> named_struct('i', i, 'a', p, 'b', element_at(rg, CAST((i + 1) % size(rg) AS INT) + 1)))",
     )
 
 
@@ -124,14 +128,15 @@ def _meets(e: str, f: str) -> str:
     return f"(sign({t1}) * sign({t2}) <= 0 AND sign({t3}) * sign({t4}) <= 0 AND {boxes})"
 
 
-def simple_ring(edges: str, n: str) -> str:
+def simple_ring(edges: str) -> str:
     """No two non-adjacent edges meet and no edge doubles back on the one before."""
-    far = f"(f.i - e.i) > 1 AND NOT (e.i = 0 AND f.i = {n} - 1)"
+    far = "(f.i - e.i) > 1 AND NOT (e.i = 0 AND f.i = size(eg) - 1)"
     back = (
-        f"(f.i = e.i + 1 OR (e.i = {n} - 1 AND f.i = 0)) AND {turn('e.a', 'e.b', 'f.b')} = 0 AND "
+        f"(f.i = e.i + 1 OR (e.i = size(eg) - 1 AND f.i = 0)) AND {turn('e.a', 'e.b', 'f.b')} = 0 AND "
         f"((e.b.x - e.a.x) * (f.b.x - f.a.x) + (e.b.y - e.a.y) * (f.b.y - f.a.y)) < 0"
     )
-    return f"NOT exists({edges}, e -> exists({edges}, f -> ({far} AND {_meets('e', 'f')}) OR ({back})))"
+    cross = f"NOT exists(eg, e -> exists(eg, f -> ({far} AND {_meets('e', 'f')}) OR ({back})))"
+    return let("eg", edges, cross)
 
 
 def clip(r: str, field: str, limit: float, keep_above: bool) -> str:

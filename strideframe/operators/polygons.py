@@ -25,7 +25,7 @@ def polygon_inspect(df: DataFrame, flat: str, length: float = 120.0, width: floa
         {
             "vertex_count": F.expr("size(__r)"),
             "__area": F.expr(P.shoelace("__ring")),
-            "__simple": F.expr(f"size(__ring) >= 3 AND {P.simple_ring('__edges', 'size(__ring)')}"),
+            "__simple": F.expr(f"size(__ring) >= 3 AND {P.simple_ring('__edges')}"),
         }
     )
     df = df.withColumn(

@@ -145,6 +145,62 @@ class Fixture:
             ),
         )
 
+    @cached_property
+    def matches(self) -> DataFrame:
+        """Two teams per match; one match has neither of ours."""
+        return self.ev.select("match_id").distinct().selectExpr(
+            "match_id",
+            "date_add(DATE'2024-01-01', match_id) AS match_date",
+            f"CASE WHEN match_id = 11 THEN {OTHER} WHEN match_id % 2 = 0 THEN {OWN} ELSE {OTHER} END AS home_team_id",
+            f"CASE WHEN match_id = 11 THEN 20 WHEN match_id % 2 = 0 THEN {OTHER} ELSE {OWN} END AS away_team_id",
+        )
+
+    @cached_property
+    def event_frames(self) -> DataFrame:
+        """Every linked event with the snapshot it points to; one snapshot serves many events."""
+        rough = self.rough.drop("match_id", "event_type")
+        joined = self.ev.where("linked").withColumn("frame_id", F.col("event_id") % self.n_frames).join(rough, "frame_id")
+        home = f"CASE WHEN match_id = 11 THEN {OTHER} WHEN match_id % 2 = 0 THEN {OWN} ELSE {OTHER} END"
+        away = f"CASE WHEN match_id = 11 THEN 20 WHEN match_id % 2 = 0 THEN {OTHER} ELSE {OWN} END"
+        at = "CASE WHEN k % 23 <> 0 THEN CASE WHEN k % 4 = 0 AND points IS NOT NULL THEN points[2].{c} ELSE start_{c} END END"
+        return joined.selectExpr(
+            "*",
+            f"{at.format(c='x')} AS loc_x",
+            f"{at.format(c='y')} AS loc_y",
+            "CASE WHEN k % 31 = 30 THEN 'old' ELSE 'r1' END AS source_revision",
+            "CASE WHEN event_id % 50 = 7 THEN 'ambiguous' ELSE 'unique' END AS link",
+            f"{home} AS home_team_id",
+            f"{away} AS away_team_id",
+            "CASE WHEN k % 37 <> 36 THEN k % 29 = 28 END AS label_conflict",
+        )
+
+    @cached_property
+    def raw_ids(self) -> DataFrame:
+        """Events under provider ids: some blank, some repeated."""
+        return self.ev.selectExpr(
+            "*",
+            "CASE WHEN event_id % 53 = 11 THEN ' ' WHEN event_id % 50 = 7 THEN CAST(event_id - 1 AS STRING) "
+            "ELSE CAST(event_id AS STRING) END AS id",
+            "start_x AS loc_x",
+            "start_y AS loc_y",
+        )
+
+    @cached_property
+    def raw_frames(self) -> DataFrame:
+        """Frames under provider ids: blank, orphan and repeated ones included."""
+        rough = self.rough.drop("match_id", "event_type")
+        return (
+            self.ev.where("linked")
+            .selectExpr(
+                "match_id",
+                "event_id AS frame_ordinal",
+                "CASE WHEN event_id % 41 = 3 THEN ' ' WHEN event_id % 43 = 5 THEN concat('orphan-', event_id) "
+                "WHEN event_id % 47 = 9 THEN CAST(event_id - 1 AS STRING) ELSE CAST(event_id AS STRING) END AS event_uuid",
+                f"event_id % {self.n_frames} AS frame_id",
+            )
+            .join(rough, "frame_id")
+        )
+
 
 EV = f"""ev AS (
  WITH b AS (
@@ -253,6 +309,49 @@ def _status_sql(m: str) -> str:
     return f"CASE WHEN NOT available THEN 'frame_unavailable' ELSE {tail} END"
 
 
+MATCHES = f"""matches AS (SELECT DISTINCT match_id, DATE '2024-01-01' + match_id AS match_date,
+  CASE WHEN match_id = 11 THEN {OTHER} WHEN match_id % 2 = 0 THEN {OWN} ELSE {OTHER} END AS home_team_id,
+  CASE WHEN match_id = 11 THEN 20 WHEN match_id % 2 = 0 THEN {OTHER} ELSE {OWN} END AS away_team_id FROM ev)"""
+
+#: per-snapshot tallies over ``pt``
+TALLY = """pc AS (SELECT frame_id, COUNT(*) AS n_all, COUNT(x) AS n_ok, COUNT(*) FILTER (x IS NULL) AS bad,
+  COUNT(*) FILTER (teammate) AS t_all, COUNT(*) FILTER (NOT teammate) AS f_all, COUNT(*) FILTER (teammate IS NULL) AS u_all,
+  COUNT(*) FILTER (keeper) AS keepers, COUNT(*) FILTER (actor) AS actors_all,
+  COUNT(*) FILTER (teammate AND x IS NOT NULL) AS t_ok, COUNT(*) FILTER (NOT teammate AND x IS NOT NULL) AS f_ok,
+  COUNT(*) FILTER (teammate IS NULL AND x IS NOT NULL) AS u_ok, COUNT(*) FILTER (keeper IS NULL AND x IS NOT NULL) AS uk_ok,
+  COUNT(*) FILTER (actor IS NULL AND x IS NOT NULL) AS ua_ok, COUNT(*) FILTER (actor AND x IS NOT NULL) AS a_ok,
+  COUNT(*) FILTER (actor AND teammate AND x IS NOT NULL) AS at_ok, COUNT(*) FILTER (actor AND NOT teammate AND x IS NOT NULL) AS af_ok,
+  MAX(x) FILTER (actor) AS ax, MAX(y) FILTER (actor AND x IS NOT NULL) AS ay,
+  COUNT(*) FILTER (keeper AND teammate AND x IS NOT NULL) AS kt_n, AVG(x) FILTER (keeper AND teammate) AS kt_x,
+  COUNT(*) FILTER (keeper AND NOT teammate AND x IS NOT NULL) AS kf_n, AVG(x) FILTER (keeper AND NOT teammate) AS kf_x
+  FROM pt GROUP BY frame_id)"""
+
+EF = f"""ef AS (SELECT e.*, fr.available, fr.polygon_status, fr.x0, pc.* EXCLUDE (frame_id),
+  CASE WHEN k % 23 <> 0 THEN CASE WHEN k % 4 = 0 AND available THEN a2.x ELSE start_x END END AS loc_x,
+  CASE WHEN k % 23 <> 0 THEN CASE WHEN k % 4 = 0 AND available THEN a2.y ELSE start_y END END AS loc_y,
+  CASE WHEN k % 31 = 30 THEN 'old' ELSE 'r1' END AS source_revision,
+  CASE WHEN event_id % 50 = 7 THEN 'ambiguous' ELSE 'unique' END AS link,
+  CASE WHEN e.match_id = 11 THEN {OTHER} WHEN e.match_id % 2 = 0 THEN {OWN} ELSE {OTHER} END AS home_team_id,
+  CASE WHEN e.match_id = 11 THEN 20 WHEN e.match_id % 2 = 0 THEN {OTHER} ELSE {OWN} END AS away_team_id,
+  CASE WHEN k % 37 <> 36 THEN k % 29 = 28 END AS label_conflict
+ FROM (SELECT *, event_id % (SELECT COUNT(*) FROM embeddings) AS frame_id FROM ev WHERE linked) e
+ JOIN fr USING (frame_id) LEFT JOIN pc USING (frame_id) LEFT JOIN (SELECT frame_id, x, y FROM pt WHERE i = 2) a2 USING (frame_id))"""
+
+RAW = """aev AS (SELECT *, start_x AS loc_x, start_y AS loc_y, CASE WHEN event_id % 53 = 11 THEN NULL
+   WHEN event_id % 50 = 7 THEN CAST(event_id - 1 AS VARCHAR) ELSE CAST(event_id AS VARCHAR) END AS id FROM ev),
+ afr AS (SELECT match_id, event_id AS frame_ordinal, event_id % (SELECT COUNT(*) FROM embeddings) AS frame_id,
+   CASE WHEN event_id % 41 = 3 THEN NULL WHEN event_id % 43 = 5 THEN 'orphan-' || event_id
+   WHEN event_id % 47 = 9 THEN CAST(event_id - 1 AS VARCHAR) ELSE CAST(event_id AS VARCHAR) END AS event_uuid FROM ev WHERE linked),
+ ecn AS (SELECT match_id, id, COUNT(*) AS n, ANY_VALUE(event_type) AS event_type, ANY_VALUE(event_team_id) AS event_team_id,
+   ANY_VALUE(loc_x) AS loc_x, ANY_VALUE(loc_y) AS loc_y FROM aev WHERE id IS NOT NULL GROUP BY ALL),
+ fcn AS (SELECT match_id, event_uuid, COUNT(*) AS n FROM afr WHERE event_uuid IS NOT NULL GROUP BY ALL),
+ lk AS (SELECT f.*, COALESCE(e.n, 0) AS matching_event_records, COALESCE(c.n, 0) AS frame_uuid_records,
+   CASE WHEN e.n = 1 THEN 'unique' WHEN e.n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS event_link_status,
+   CASE WHEN e.n = 1 THEN e.event_type END AS event_type, CASE WHEN e.n = 1 THEN e.event_team_id END AS event_team_id,
+   CASE WHEN e.n = 1 THEN e.loc_x END AS loc_x, CASE WHEN e.n = 1 THEN e.loc_y END AS loc_y
+  FROM afr f LEFT JOIN ecn e ON f.match_id = e.match_id AND f.event_uuid = e.id
+   LEFT JOIN fcn c ON f.match_id = c.match_id AND f.event_uuid = c.event_uuid)"""
+
 #: long form of ``geo``: one row per variant and metric
 LONG = "gl AS (" + " UNION ALL ".join(
     f"SELECT * EXCLUDE ({', '.join(GEO_METRICS)}), '{m}' AS metric, {m} AS value, {_status_sql(m)} AS status FROM geo"
