@@ -97,6 +97,30 @@ class Fixture:
             "k % 10 <> 9 AS linked",
         )
 
+    @cached_property
+    def rich(self) -> DataFrame:
+        """The stream with more event types and provider context, from the same columns."""
+        return self.ev.selectExpr(
+            "* EXCEPT (event_type)",
+            "CASE WHEN event_type = 'Pressure' THEN CASE k % 6 WHEN 0 THEN 'Interception' WHEN 1 THEN 'Ball Receipt*' "
+            "WHEN 2 THEN 'Dribble' WHEN 3 THEN 'Clearance' WHEN 4 THEN 'Miscontrol' ELSE 'Pressure' END "
+            "WHEN event_type = 'Ball Recovery' THEN CASE k % 8 WHEN 7 THEN 'Foul Won' WHEN 6 THEN 'Offside' "
+            "WHEN 5 THEN 'Goal Keeper' WHEN 4 THEN 'Substitution' ELSE 'Ball Recovery' END ELSE event_type END AS event_type",
+            "CASE WHEN event_type = 'Pass' AND k % 11 = 0 THEN CASE k % 3 WHEN 0 THEN 'Corner' WHEN 1 THEN 'Throw-in' "
+            "ELSE 'Recovery' END END AS pass_type",
+            "k % 13 = 0 AS is_out",
+            "k % 17 = 3 AS counterpress",
+            "k % 2 = 0 AS advantage",
+        ).selectExpr(
+            "*",
+            "CASE WHEN event_type = 'Interception' THEN CASE WHEN k % 4 = 0 THEN 'Won' ELSE 'Lost' END END AS interception_outcome",
+            "CASE WHEN event_type = 'Ball Receipt*' AND k % 7 = 2 THEN 'Incomplete' END AS receipt_outcome",
+            "CAST(NULL AS STRING) AS duel_outcome",
+            "CASE WHEN event_type = 'Goal Keeper' THEN CASE WHEN k % 3 = 0 THEN 'Collected' ELSE 'Saved' END END AS keeper_type",
+            "event_type = 'Ball Recovery' AND k % 5 = 0 AS recovery_failure",
+            "CASE WHEN event_type = 'Dribble' THEN CASE WHEN k % 4 = 0 THEN 'Complete' ELSE 'Incomplete' END END AS dribble_outcome",
+        )
+
     @cached_property
     def own(self) -> DataFrame:
         """Own possessions only; each is one spell."""
@@ -220,6 +244,23 @@ EV = f"""ev AS (
   CASE WHEN etype = 'Shot' AND k % 17 <> 0 THEN value / 500.0 END AS xg,
   (etype <> 'Ball Recovery' AND k % 10 < 8) AS validated_anchor, k % 10 <> 9 AS linked FROM p)"""
 
+RICH = """rich AS (SELECT *, CASE WHEN event_type = 'Interception' THEN CASE WHEN k % 4 = 0 THEN 'Won' ELSE 'Lost' END END AS interception_outcome,
+  CASE WHEN event_type = 'Ball Receipt*' AND k % 7 = 2 THEN 'Incomplete' END AS receipt_outcome,
+  CASE WHEN event_type = 'Goal Keeper' THEN CASE WHEN k % 3 = 0 THEN 'Collected' ELSE 'Saved' END END AS keeper_type,
+  event_type = 'Ball Recovery' AND k % 5 = 0 AS recovery_failure,
+  CASE WHEN event_type = 'Dribble' THEN CASE WHEN k % 4 = 0 THEN 'Complete' ELSE 'Incomplete' END END AS dribble_outcome
+ FROM (SELECT * REPLACE (CASE WHEN event_type = 'Pressure' THEN CASE k % 6 WHEN 0 THEN 'Interception' WHEN 1 THEN 'Ball Receipt*'
+   WHEN 2 THEN 'Dribble' WHEN 3 THEN 'Clearance' WHEN 4 THEN 'Miscontrol' ELSE 'Pressure' END
+   WHEN event_type = 'Ball Recovery' THEN CASE k % 8 WHEN 7 THEN 'Foul Won' WHEN 6 THEN 'Offside' WHEN 5 THEN 'Goal Keeper'
+   WHEN 4 THEN 'Substitution' ELSE 'Ball Recovery' END ELSE event_type END AS event_type),
+   CASE WHEN event_type = 'Pass' AND k % 11 = 0 THEN CASE k % 3 WHEN 0 THEN 'Corner' WHEN 1 THEN 'Throw-in' ELSE 'Recovery' END END AS pass_type,
+   k % 13 = 0 AS is_out, k % 17 = 3 AS counterpress, k % 2 = 0 AS advantage FROM ev)),
+ sg AS (SELECT *, list_filter([CASE WHEN event_type IN ('Shot', 'Foul Won', 'Foul Committed', 'Offside', 'Injury Stoppage', 'Referee Ball-Drop',
+   'Half End', 'Half Start', 'Dispossessed', 'Miscontrol', 'Interception', 'Ball Recovery', 'Duel', 'Block', 'Clearance') THEN 'type:' || event_type END,
+   CASE WHEN is_out THEN 'out:true' END, CASE WHEN counterpress THEN 'counterpress:true' END,
+   'pass.outcome:' || pass_outcome, 'interception.outcome:' || interception_outcome, 'ball_receipt.outcome:' || receipt_outcome,
+   'pass.type:' || pass_type], lambda z: z IS NOT NULL) AS signals FROM rich)"""
+
 OWN_EV = f"own AS (SELECT * FROM ev WHERE possession_team_id = {OWN})"
 
 PT = """pt AS (
