@@ -403,5 +403,5 @@ LONG = "gl AS (" + " UNION ALL ".join(
 def sql(body: str, *bases: str) -> str:
     """Prefix the shared views; ``body`` is a SELECT or further CTEs and a SELECT."""
     body = body.strip()
-    head = "WITH " + ", ".join(bases)
+    head = "WITH RECURSIVE " + ", ".join(bases)
     return f"{head} {body}" if body.upper().startswith("SELECT") else f"{head}, {body}"
