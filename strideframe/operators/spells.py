@@ -260,37 +260,33 @@ def boundary_match(predicted: DataFrame, truth: DataFrame, case: str = "case_id"
     Truths take, in order of onset, the nearest unused prediction of their family;
     ties go to the earlier one.  Same onset and resume is a MATCH, otherwise EARLY
     or LATE by onset; unused predictions are EXTRA.  Both sides: case, family,
-    onset, resume.  Pairing depends on earlier picks, so one reviewed case is one
-    group; its size is checked first.
+    onset, resume.  Each pick depends on the earlier ones, so the boundaries of one
+    reviewed case are folded within one row; their number is checked first.
     """
-    import pandas as pd
-
     from strideframe.operators.expectations import require_none
 
     cols = [case, "family", F.col("onset").cast("bigint"), F.col("resume").cast("bigint")]
     rows = truth.select(*cols, F.lit(0).alias("side")).unionByName(predicted.select(*cols, F.lit(1).alias("side")))
-    require_none(rows.groupBy(case, "family").count(), {"oversized_cases": f"count > {limit}"})
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [
-            sorted((int(o), -1 if pd.isna(r) else int(r)) for o, r in zip(g.onset, g.resume))
-            for g in (pdf[pdf.side == 0], pdf[pdf.side == 1])
-        ]
-        out, free = [], sides[1]
-        for want in sides[0]:
-            pick = min(free, key=lambda p: (abs(p[0] - want[0]), p), default=None)
-            if pick is None:
-                out.append((want[0], None, "MISSED"))
-                continue
-            free.remove(pick)
-            label = "MATCH" if pick == want else "EARLY" if pick[0] < want[0] else "LATE"
-            out.append((want[0], pick[0], label))
-        out += [(None, p[0], "EXTRA") for p in free]
-        res = pd.DataFrame(out, columns=["truth_onset", "predicted_onset", "result"])
-        res[case], res["family"] = pdf[case].iloc[0], pdf["family"].iloc[0]
-        return res.astype({"truth_onset": "Int64", "predicted_onset": "Int64"})
-
-    kind = rows.schema[case].dataType.simpleString()
-    return rows.groupBy(case, "family").applyInPandas(
-        pair, f"truth_onset bigint, predicted_onset bigint, result string, {case} {kind}, family string"
+    require_none(rows.groupBy(case, "family").count(), {"oversized_cases": F.col("count") > limit})
+    point = F.struct("onset", F.coalesce("resume", F.lit(-1)).alias("resume"))
+    sides = rows.groupBy(case, "family").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == 0, point))).alias("want"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == 1, point))).alias("have"),
+    )
+    out = "struct<truth_onset: bigint, predicted_onset: bigint, result: string>"
+    row = lambda t, p, r: f"named_struct('truth_onset', {t}, 'predicted_onset', {p}, 'result', {r})"
+    nearest = "array_min(transform(s.free, p -> named_struct('gap', abs(p.onset - t.onset), 'onset', p.onset, 'resume', p.resume, 'i', p.i)))"
+    label = "CASE WHEN b.onset = t.onset AND b.resume = t.resume THEN 'MATCH' WHEN b.onset < t.onset THEN 'EARLY' ELSE 'LATE' END"
+    step = (
+        f"element_at(transform(array({nearest}), b -> CASE WHEN b IS NULL THEN "
+        f"named_struct('free', s.free, 'out', concat(s.out, array({row('t.onset', 'CAST(NULL AS BIGINT)', repr('MISSED'))}))) "
+        "ELSE named_struct('free', filter(s.free, p -> p.i <> b.i), "
+        f"'out', concat(s.out, array({row('t.onset', 'b.onset', label)}))) END), 1)"
+    )
+    free = "transform(have, (p, i) -> named_struct('onset', p.onset, 'resume', p.resume, 'i', i))"
+    extra = row("CAST(NULL AS BIGINT)", "p.onset", "'EXTRA'")
+    folded = (
+        f"aggregate(want, named_struct('free', {free}, 'out', CAST(array() AS ARRAY<{out}>)), (s, t) -> {step}, "
+        f"s -> concat(s.out, transform(s.free, p -> {extra})))"
     )
+    return sides.select(case, "family", F.expr(f"inline({folded})"))
