@@ -292,12 +292,12 @@ BY = f"{V}, metric, candidate"
 
 def grid(fx):
     g = geometry(fx)
-    return L.evaluate_grid(G.metric_rows(g, [*CTX, *G.VARIANT]), g, framed(fx).select("visible_area_fraction"), fx.small_frames)
+    return L.Grid(G.metric_rows(g, [*CTX, *G.VARIANT]), g, framed(fx).select("visible_area_fraction"), fx.small_frames)
 
 
 @query("cal2_empirical_thresholds", sql(f"{PREP}, {THR} SELECT {V}, variable, quantile, ROUND(threshold, 6) AS threshold FROM th", *_B))
 def cal2(fx):
-    return r6(grid(fx)["thresholds"], "threshold")
+    return r6(grid(fx).thresholds, "threshold")
 
 
 _RC = ["candidate", "metric", "selected_subset", "goalkeeper_policy", "exclude_oob", "exclude_coincidence", "actor_clear", "unique_actor", "minimum_n", "minimum_area"]
@@ -305,7 +305,7 @@ _RC = ["candidate", "metric", "selected_subset", "goalkeeper_policy", "exclude_o
 
 @query("cal3_candidate_rules", sql(f"{PREP}, {THR}, {RULE} SELECT * REPLACE (ROUND(minimum_area, 6) AS minimum_area) FROM (SELECT {', '.join(_RC)} FROM rr)", *_B))
 def cal3(fx):
-    return r6(grid(fx)["rules"].select(*_RC), "minimum_area")
+    return r6(grid(fx).rules.select(*_RC), "minimum_area")
 
 
 @query("cal4_eligibility", sql(f"{JUDGE} SELECT {BY}, COUNT(*) AS n_rows, COUNT(*) FILTER (eligible) AS eligible, SUM(frame_id) FILTER (eligible)::BIGINT AS id_sum FROM jd GROUP BY ALL", *_B))
@@ -327,7 +327,7 @@ def cal4(fx):
     ),
 )
 def cal5(fx):
-    return r6(grid(fx)["retention"], "eligible_percent")
+    return r6(grid(fx).retention(), "eligible_percent")
 
 
 @query(
@@ -341,7 +341,7 @@ def cal5(fx):
     ),
 )
 def cal6(fx):
-    return doubles(grid(fx)["type_composition"])
+    return doubles(grid(fx).composition("event_type"))
 
 
 def _st(p, cond):
@@ -362,7 +362,7 @@ EFF = f"""{JUDGE}, ef AS (SELECT {BY}, {_st('full', "status = 'ok'")}, {_st('ret
     ),
 )
 def cal7(fx):
-    return doubles(grid(fx)["effects"], 4)
+    return doubles(grid(fx).effects, 4)
 
 
 @query(
@@ -378,7 +378,7 @@ def cal7(fx):
     ),
 )
 def cal8(fx):
-    return doubles(grid(fx)["stability"], 4)
+    return doubles(grid(fx).stability(), 4)
 
 
 @query(
@@ -392,7 +392,7 @@ def cal8(fx):
     ),
 )
 def cal9(fx):
-    return doubles(grid(fx)["paired"], 4)
+    return doubles(grid(fx).paired(), 4)
 
 
 @query(
@@ -404,7 +404,7 @@ def cal9(fx):
     ),
 )
 def cal10(fx):
-    e = grid(fx)["effects"].select(
+    e = grid(fx).effects.select(
         *L.BY, "retained_count", "full_count", "retained_mean", "retained_median",
         (100 * F.col("retained_count") / F.nullif(F.col("full_count"), F.lit(0))).alias("retained_of_defined"),
     )
