@@ -392,6 +392,9 @@ def measurement_state(stream: DataFrame, lane: Lane) -> DataFrame:
             "eligible": F.expr("NOT restart AND NOT coalesce(relocation_affected, false)"),
             "forward_peak": F.expr("dx > 0 AND (__old IS NULL OR end_x > __old)"),
             "retreat": F.expr("greatest(0D, greatest(coalesce(__old, __v), __v) - end_x)"),
+            "peak": F.expr("greatest(coalesce(__old, __v), __v)"),
+            "at_peak": F.expr("__old IS NULL OR __v >= __old"),
+            "inter_action_dx": F.expr("start_x - __pe"),
         }
     )
     return s.drop("__trig", "__cut", "__res", "__v", "__old", "__pe", "__pt", "__step", "__b1", "__b2")

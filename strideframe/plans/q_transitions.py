@@ -229,14 +229,14 @@ def sps7(fx):
     sql(
         f"""{ANCH}, u AS ({" UNION ALL ".join(f"SELECT '{s}_{m}' AS response, {s}_{m} IS NOT NULL AS has, {s}_{m}_available AS available FROM anc" for s in ("own", "opp") for m in ("centroid_x", "hull_area"))}),
  c AS (SELECT response, has, available, COUNT(*) AS anchors FROM u GROUP BY response, has, available)
- SELECT *, ROUND(100.0 * anchors / SUM(anchors) OVER (PARTITION BY response), 6) AS percentage FROM c""",
+ SELECT *, ROUND(100.0 * anchors / SUM(anchors) OVER (PARTITION BY response), 3) AS percentage FROM c""",
         EV, OWN_EV, RPT, VAR,
     ),
 )
 def sps8(fx):
     t = T.availability_tables(anchors(fx), [f"{s}_{m}" for s in ("own", "opp") for m in ("centroid_x", "hull_area")])
     g = t.groupBy("response", (F.col("status") == "ok").alias("has"), "available").agg(F.sum("anchors").alias("anchors"), F.sum("percentage").alias("percentage"))
-    return rd(g)
+    return rd(g, 3)
 
 
 # --- single-action change ------------------------------------------------------------------

@@ -77,9 +77,9 @@ _ROWI = ["window_id", "action_type_motif", "direction_profile", "carry_action_co
          "terminal_event_id", "terminal_event_team_id", "any_frame_oob", "any_frame_coincident", "starting_third"]
 
 
-@query("mot2_window_row", sql(f"{CHAIN} SELECT {', '.join(_ROWI)}, {_R(_ROW)} FROM wn", *BASE))
+@query("mot2_window_row", sql(f"{CHAIN} SELECT {', '.join(_ROWI)}, {', '.join(f'ROUND({c}, 4) AS {c}' for c in _ROW)} FROM wn", *BASE))
 def mot2(fx):
-    return rd(N.window_rows(chains(fx), SESSION).select(*_ROWI, *_ROW))
+    return rd(N.window_rows(chains(fx), SESSION).select(*_ROWI, *_ROW), 4)
 
 
 _G = RESP[0]
