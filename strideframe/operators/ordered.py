@@ -16,6 +16,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.sources.stage import durable
+
 #: Largest group that may be handed to a single task.
 GROUP_LIMIT = 4_000_000
 
@@ -95,7 +97,9 @@ def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan]) -> DataFrame:
         return df.withColumns(
             {n: _fold(s.fn, F.expr(s.expr)).over(_window(lane.keys, lane.order, s)) for n, s in specs.items()}
         )
-    cut = df.withColumn(_BLK, F.expr(lane.block))
+    # stored once: the rows are read twice below, and chained scans would otherwise
+    # double the plan each time
+    cut = durable(df.withColumn(_BLK, F.expr(lane.block)))
     keys = [*lane.keys, _BLK]
     inside = cut.withColumns(
         {n: _fold(s.fn, F.expr(s.expr)).over(_window(keys, lane.order, s)) for n, s in specs.items()}
@@ -104,7 +108,7 @@ def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan]) -> DataFrame:
     carried = parts.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[
-            _fold(s.fn, F.col(f"__b_{n}")).over(_window(lane.keys, [_BLK], replace(s, exclusive=True))).alias(f"__c_{n}")
+            _fold("sum" if s.fn == "count" else s.fn, F.col(f"__b_{n}")).over(_window(lane.keys, [_BLK], replace(s, exclusive=True))).alias(f"__c_{n}")
             for n, s in specs.items()
         ],
     )

@@ -48,6 +48,7 @@ def complete_timeline(stream: DataFrame, lane: Lane) -> DataFrame:
     out = s.join(runs, on, "left")
     out = out.withColumns(
         {
+            "next_peak": F.when(F.col("peak_x").isNotNull(), F.col("next_peak")),
             "retreat_from_peak": F.when(F.col(safe), F.col("peak_x") - F.col("end_x")),
             **{f"{k}_run_length": F.when(F.col(f"{k}_run_length") > 0, F.col(f"{k}_run_length")) for k in KINDS},
         }

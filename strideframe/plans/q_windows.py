@@ -72,14 +72,17 @@ def mot1(fx):
 
 
 _ROW = ["total_progression", "total_positive_progression", "total_nonpositive_magnitude", "first_action_start_x", "final_action_end_x",
-        "net_action_progression", "duration_seconds", "maximum_leg_gap", "mean_leg_gap", "median_leg_gap"]
+        "net_action_progression", "duration_seconds", "maximum_leg_gap"]
+#: halves of a microsecond would round either way, so means are compared doubled
+_TWICE = ["mean_leg_gap", "median_leg_gap"]
 _ROWI = ["window_id", "action_type_motif", "direction_profile", "carry_action_count", "intervening_event_count", "event_span_steps",
          "terminal_event_id", "terminal_event_team_id", "any_frame_oob", "any_frame_coincident", "starting_third"]
 
 
-@query("mot2_window_row", sql(f"{CHAIN} SELECT {', '.join(_ROWI)}, {', '.join(f'ROUND({c}, 4) AS {c}' for c in _ROW)} FROM wn", *BASE))
+@query("mot2_window_row", sql(f"{CHAIN} SELECT {', '.join(_ROWI)}, {_R(_ROW)}, {', '.join(f'ROUND(2 * {c}, 6) AS {c}_x2' for c in _TWICE)} FROM wn", *BASE))
 def mot2(fx):
-    return rd(N.window_rows(chains(fx), SESSION).select(*_ROWI, *_ROW), 4)
+    w = N.window_rows(chains(fx), SESSION)
+    return rd(w.select(*_ROWI, *_ROW, *[(2 * F.col(c)).alias(f"{c}_x2") for c in _TWICE]))
 
 
 _G = RESP[0]
