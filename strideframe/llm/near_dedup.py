@@ -61,20 +61,31 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates from registers (last axis), corrected for registers that agree by chance."""
-    filled = (a > 0) | (b > 0)
-    n = np.maximum(filled.sum(-1), 1)
-    equal = ((a == b) & filled).sum(-1)
+def _corrected(equal: np.ndarray, filled: np.ndarray) -> np.ndarray:
     # registers of different minima agree with the chance that leading zeros (1/3) and mantissa (2**-MANTISSA) both do
+    n = np.maximum(filled, 1)
     chance = n * (1 / 3) * 2.0**-MANTISSA
-    return np.clip((equal - chance) / np.maximum(n - chance, 1e-9), 0, 1)
+    return np.clip((equal - chance) / (n - chance), 0, 1)
+
+
+def _hopeful(equal: np.ndarray, filled: np.ndarray, limit: float) -> np.ndarray:
+    n = np.maximum(filled, 1)
+    return _corrected(equal, filled) >= limit - DOUBT * np.sqrt(limit * (1 - limit) / n) - 1 / n
+
+
+def _counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    filled = (a > 0) | (b > 0)
+    return ((a == b) & filled).sum(-1), filled.sum(-1)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard estimates from registers (last axis), corrected for registers that agree by chance."""
+    return _corrected(*_counts(a, b))
 
 
 def hopeful(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
     """Whether the estimate leaves the pair a chance to reach ``limit``; few filled registers leave more doubt."""
-    n = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
-    return estimate(a, b) >= limit - DOUBT * np.sqrt(limit * (1 - limit) / n) - 1 / n
+    return _hopeful(*_counts(a, b), limit)
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -191,27 +202,39 @@ def _rest(members: DataFrame, labels: DataFrame, full: DataFrame, percent: int)
         regs = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(n, REGISTERS)
         sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
         size = np.array([len(x) for x in sets])
-        bands = regs[:, : BANDS * ROWS].reshape(n, BANDS, ROWS)
-        filled = bands.any(axis=2)
-        here, ids, own, p, q = rows["bucket"].iloc[0], rows["doc_id"].to_numpy(), rows["own"].to_numpy(), rows["p"].iloc[0], rows["q"].iloc[0]
-        key = int(here) % 2**64
+        bands = np.ascontiguousarray(regs[:, : BANDS * ROWS]).reshape(n, BANDS, ROWS)
+        key = int(rows["bucket"].iloc[0]) % 2**64
         band = next((j for j in range(BANDS) for k in range(n) if xxhash.xxh64_intdigest(bands[k, j].tobytes(), seed=j) == key), BANDS)
+        codes = np.stack([pd.factorize(np.array([x.tobytes() for x in bands[:, j]], dtype=object))[0] for j in range(BANDS)], axis=1)
+        codes = np.where(bands.any(axis=2), codes, -1)
+        ids, own, p, q = rows["doc_id"].to_numpy(), rows["own"].to_numpy(), rows["p"].iloc[0], rows["q"].iloc[0]
         root = pd.factorize(rows["component"])[0].astype(np.int64)
-        for i in range(n - 1):
-            later = np.arange(i + 1, n)
-            later = later[root[later] != root[i]]
+        # register by register, many pairs at once; an empty register equals none
+        right = np.ascontiguousarray(np.where(regs > 0, regs, np.uint16(65535)).T)
+        empty = (regs == 0).astype(np.float32)
+        for low in range(0, n, 128):
+            here = np.arange(low, min(n, low + 128))
+            equal = np.zeros((len(here), n), np.uint8)
+            for r in range(REGISTERS):
+                equal += regs[here, r][:, None] == right[r][None, :]
+            filled = REGISTERS - empty[here] @ empty.T
+            pairs = _hopeful(equal, filled, percent / 100) & (here[:, None] < np.arange(n)[None, :]) & (root[here][:, None] != root[None, :])
+            pairs &= 100 * np.minimum(size[here][:, None], size[None, :]) >= percent * np.maximum(size[here][:, None], size[None, :])
             if p != q:
-                later = later[own[later] != own[i]]
-            later = later[(100 * np.minimum(size[later], size[i]) >= percent * np.maximum(size[later], size[i]))]
-            if not len(later):
-                continue
-            shared = ((bands[later, :band] == bands[i, :band]).all(axis=2) & filled[i, :band]).any(axis=1)
-            later = later[~shared]
-            later = later[hopeful(regs[later], regs[i], percent / 100)]
-            for j in later.tolist():
-                if root[j] != root[i] and _linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), size[i], size[j], percent):
-                    found.append((ids[i], ids[j]))
-                    root[root == root[j]] = root[i]
+                pairs &= own[here][:, None] != own[None, :]
+            for i in here[pairs.any(axis=1)].tolist():
+                later = np.flatnonzero(pairs[i - low])
+                later = later[root[later] != root[i]]
+                later = later[~((codes[later, :band] == codes[i, :band]) & (codes[i, :band] >= 0)).any(axis=1)]
+                if not len(later):
+                    continue
+                every = np.concatenate([sets[j] for j in later])
+                at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+                common = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(size[later])[:-1]]))
+                for j in later[100 * common >= percent * (size[later] + size[i] - common)].tolist():
+                    if root[j] != root[i]:
+                        found.append((ids[i], ids[j]))
+                        root[root == root[j]] = root[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return ready.groupBy("bucket", "p", "q").applyInPandas(check, "a long, b long")
