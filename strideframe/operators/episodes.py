@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.operators.expectations import require_none
 from strideframe.operators.ordered import Lane, Scan, scan, shift
 from strideframe.operators.progression import measurement_state
 
@@ -67,8 +68,16 @@ def episode_map(parents: DataFrame, ledger: DataFrame, lane_block: str | None =
     )
 
 
+def _require_apart(intervals: DataFrame, lo: str, hi: str, lane: Lane) -> None:
+    """Intervals of a case must not overlap."""
+    rows = intervals.select("case_id", F.col(lo).alias("event_index"), F.col(hi).alias("__hi"))
+    rows = scan(rows, lane.by("case_id").ordered("event_index", "__hi"), {"__before": Scan("max", "__hi", exclusive=True)})
+    require_none(rows, {"overlapping_intervals": F.col("__before") >= F.col("event_index")})
+
+
 def assign_membership(events: DataFrame, episodes: DataFrame, lane: Lane) -> DataFrame:
-    """Episode of every event by an as-of look-back at episode starts; no event-by-episode pairs."""
+    """Episode of every event by an as-of look-back at episode starts; no event-by-episode pairs. Overlaps are an error."""
+    _require_apart(episodes, "episode_start", "episode_end", lane)
     mark = F.struct("episode_id", "episode_start", "episode_end", "start_reason", "end_reason", "state_valid")
     e = events.withColumns({"__rank": F.lit(1), "__ep": F.lit(None)})
     starts = episodes.select("case_id", F.col("episode_start").alias("event_index"), F.lit(0).alias("__rank"), mark.alias("__ep"))
@@ -120,8 +129,9 @@ def episode_progression(members: DataFrame, lane: Lane) -> DataFrame:
 def role_assignment(candidates: DataFrame, intervals: DataFrame, lane: Lane) -> DataFrame:
     """Role of each candidate from the reviewed interval it falls in.
 
-    intervals: case_id, lo, hi, role; they do not overlap, so an as-of look-back decides.
+    intervals: case_id, lo, hi, role; an as-of look-back decides, so overlaps are an error.
     """
+    _require_apart(intervals, "lo", "hi", lane)
     starts = intervals.select("case_id", F.col("lo").alias("event_index"), F.lit(0).alias("__r"), F.struct("hi", "role").alias("__iv"))
     rows = candidates.withColumn("__r", F.lit(1)).unionByName(starts, allowMissingColumns=True)
     rows = scan(rows, lane.by("case_id").ordered("event_index", "__r"), {"__at": Scan("last", "__iv")}).where("__r = 1")
@@ -168,8 +178,6 @@ def drawdown_detector(stream: DataFrame, case: str, version: str = "v0.3", warn:
     """
     import pandas as pd
 
-    from strideframe.operators.expectations import require_none
-
     if version not in ("v0.1", "v0.2", "v0.3"):
         raise ValueError(f"unknown version {version}")
     require_none(stream.groupBy(case).count(), {"oversized_cases": F.col("count") > limit})

@@ -200,6 +200,9 @@ def ols_cr1_multi(df: DataFrame, y: str, xs: Sequence[str], cluster: str) -> dic
     return result
 
 
+#: A row's mean score at which the fit stops, and at which it counts as settled.
+MEAN_SCORE_GOAL, MEAN_SCORE_LIMIT = 1e-12, 1e-9
+
 _LOGIT_FIELDS = (
     "coefficient", "cluster_se", "coefficient_ci_low", "coefficient_ci_high", "odds_ratio", "odds_ratio_1sd", "or_1sd_ci_low",
     "or_1sd_ci_high", "log_likelihood", "mcfadden_r2", "max_score", "information_condition",
@@ -287,8 +290,8 @@ def _fit_logit(clean: DataFrame, df: DataFrame, xs: list[str], k: int, reporting
     beta = np.zeros(k)
     beta[0] = math.log(pos / (n - pos))
     f, grad, hess, separated = evaluate(beta)
-    steps, goal = 0, 1e-7 * max(1.0, n / 1e6)
-    while np.abs(grad).max() > goal and steps < max_iter and np.abs(beta).max() <= 25:
+    steps = 0
+    while np.abs(grad).max() > MEAN_SCORE_GOAL * n and steps < max_iter and np.abs(beta).max() <= 25:
         try:
             move = np.linalg.solve(hess, grad)
         except np.linalg.LinAlgError:
@@ -305,8 +308,9 @@ def _fit_logit(clean: DataFrame, df: DataFrame, xs: list[str], k: int, reporting
     top = float(np.abs(grad).max())
     condition = float(np.linalg.cond(hess))
     result |= {"max_score": top, "information_condition": condition, "iterations": steps}
-    limit = 1e-5 * max(1.0, n / 1e6)
-    if not np.isfinite(beta).all() or top > limit or separated or np.linalg.eigvalsh(hess).min() < 1e-8 or condition > 1e10 or np.abs(beta).max() > 25:
+    settled = top <= MEAN_SCORE_LIMIT * n and not separated and np.abs(beta).max() <= 25
+    curved = condition <= 1e10 and np.linalg.eigvalsh(hess).min() >= 1e-8
+    if not (np.isfinite(beta).all() and settled and curved):
         return result | {"model_status": "unstable_or_separated"}
     try:
         bread = np.linalg.inv(hess)

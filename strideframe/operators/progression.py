@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.functions import points as P
 from strideframe.operators.ordered import Lane, Scan, islands, number, scan, shift
 from strideframe.operators.quantiles import distribution
 from strideframe.operators.sequences import long_rows
@@ -24,7 +25,7 @@ RETREAT_SWEEP = (5, 10, 15, 20, 25, 30, 40)
 
 def action_vector(events: DataFrame, own: int) -> DataFrame:
     """Displacement of own passes and carries; ``safe`` needs a validated snapshot and both ends."""
-    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    fine = lambda c: F.expr(P.finite(c))
     candidate = (F.col("event_team_id") == own) & F.col("event_type").isin("Pass", "Carry")
     ends = fine("start_x") & fine("start_y") & fine("end_x") & fine("end_y")
     safe = candidate & F.col("validated_anchor") & ends

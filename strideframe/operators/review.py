@@ -113,7 +113,7 @@ def category_flags(possessions: DataFrame, recoveries: DataFrame, timeline: Data
 
 
 def select_cases(pool: DataFrame, categories: Sequence[str], keys: Sequence[str], prior: Column, limit: int) -> DataFrame:
-    """First group of each category, prior cases first, filled up to ``limit``.
+    """First group of each category, prior cases first, filled up to ``limit``; more required groups than that is an error.
 
     Only one key per category and ``limit`` keys for the fill leave the aggregation.
     """
@@ -121,6 +121,8 @@ def select_cases(pool: DataFrame, categories: Sequence[str], keys: Sequence[str]
     rank = F.struct((~prior).alias("later"), *keys)
     firsts = pool.agg(*[F.min(F.when(F.col(c), rank)).alias(c) for c in categories])
     hit = firsts.select(F.explode(F.array_compact(F.array(*[F.col(c) for c in categories]))).alias("r")).select("r.*").distinct()
+    if (required := hit.count()) > limit:
+        raise ValueError(f"{required} required cases, limit {limit}")
     fill = pool.select((~prior).alias("later"), *keys).orderBy("later", *keys).limit(limit)
     both = hit.withColumn("w", F.lit(0)).unionByName(fill.withColumn("w", F.lit(1)))
     best = both.groupBy("later", *keys).agg(F.min("w").alias("w")).orderBy("w", "later", *keys).limit(limit)

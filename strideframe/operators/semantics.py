@@ -103,7 +103,7 @@ def frame_semantics(profile: DataFrame, own: int, revision: str) -> DataFrame:
 def point_team_label(own: int, teammate: str = "teammate") -> str:
     """Side of a point in validated scope: own, opponent or unresolved."""
     return (
-        f"CASE WHEN semantics_status <> '{VALIDATED}' OR {teammate} IS NULL THEN 'unresolved' "
+        f"CASE WHEN NOT (semantics_status <=> '{VALIDATED}') OR event_team_id IS NULL OR {teammate} IS NULL THEN 'unresolved' "
         f"WHEN {teammate} = (event_team_id = {own}) THEN 'own' ELSE 'opponent' END"
     )
 
@@ -112,7 +112,7 @@ def normalize_point(x: str, y: str, target: int, length: float = 120.0, width: f
     """Identity when the event's team is the target, else half-turn; null where unsupported."""
     status = (
         f"CASE WHEN NOT ({P.finite(x)} AND {P.finite(y)}) THEN 'invalid_location' "
-        f"WHEN semantics_status <> '{VALIDATED}' THEN 'unsupported' "
+        f"WHEN NOT (semantics_status <=> '{VALIDATED}') OR event_team_id IS NULL THEN 'unsupported' "
         f"WHEN event_team_id = {target} THEN 'identity_explicit' ELSE 'rotated_180' END"
     )
     turn = lambda v, full: (

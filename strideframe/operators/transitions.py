@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.functions import points as P
 from strideframe.operators.events import starting_third
 from strideframe.operators.models import ols_cr1
 from strideframe.operators.ordered import Lane, number, shift
@@ -192,6 +193,7 @@ def select_transitions(trans: DataFrame, anchors: DataFrame, actions: DataFrame,
         F.col("match_id").alias(f"__{e}m"),
         F.col("event_id").alias(f"__{e}i"),
         F.struct(*session).alias(f"__{e}s"),
+        F.col("period").alias(f"__{e}p"),
         F.col("anchor_order").alias(f"__{e}o"),
         F.col("semantics_status").alias(f"__{e}v"),
         F.col("orientation_status").alias(f"__{e}r"),
@@ -202,18 +204,22 @@ def select_transitions(trans: DataFrame, anchors: DataFrame, actions: DataFrame,
         j = j.join(side(e), (F.col("match_id") == F.col(f"__{e}m")) & (F.col(f"{e}_event_id") == F.col(f"__{e}i")), "left")
     j = j.join(act, (F.col("match_id") == F.col("__am")) & (F.col("from_event_id") == F.col("__ai")), "left")
     here = F.struct(*session)
-    finite = F.col("action_start_x").isNotNull() & F.col("action_end_x").isNotNull()
+    sure = lambda c: F.coalesce(c, F.lit(False))  # noqa: E731  an unknown gate fails
+    finite = F.lit(True)
+    for c in ("action_start_x", "action_end_x", "action_delta_x"):
+        finite &= F.expr(P.finite(c))
     reason = (
         F.when(F.col("__fromi").isNull() | F.col("__toi").isNull(), "missing_exact_anchor")
-        .when(~((F.col("__froms") == F.col("__tos")) & (here == F.col("__froms"))), "cross_session")
-        .when(F.col("__too") != F.col("__fromo") + 1, "not_next_trusted_anchor")
-        .when(F.col("from_event_team_id") != own, "opponent_from_anchor")
-        .when(~F.col("from_event_type").isin("Pass", "Carry"), "not_pass_carry_from_anchor")
-        .when((F.col("__fromv") != "validated") | (F.col("__tov") != "validated"), "unsupported_semantics")
-        .when((F.col("__fromr") != "identity_explicit") | ~F.col("__tor").isin("identity_explicit", "rotated_180"), "invalid_orientation")
+        .when(~sure((F.col("__froms") == F.col("__tos")) & (here == F.col("__froms"))), "cross_session")
+        .when(~sure(F.col("__fromp") == F.col("__top")), "cross_period")
+        .when(~sure(F.col("__too") == F.col("__fromo") + 1), "not_next_trusted_anchor")
+        .when(~sure(F.col("from_event_team_id") == own), "opponent_from_anchor")
+        .when(~sure(F.col("from_event_type").isin("Pass", "Carry")), "not_pass_carry_from_anchor")
+        .when(~sure((F.col("__fromv") == "validated") & (F.col("__tov") == "validated")), "unsupported_semantics")
+        .when(~sure((F.col("__fromr") == "identity_explicit") & F.col("__tor").isin("identity_explicit", "rotated_180")), "invalid_orientation")
         .when(F.col("action_status").isNull(), "missing_exact_action")
         .when(F.col("action_status") != "eligible", F.col("action_status"))
-        .when(~finite, "invalid_progression_vector")
+        .when(~sure(finite), "invalid_progression_vector")
         .otherwise("eligible")
     )
     out = j.withColumns({"selection_reason": reason, "action_type": F.col("from_event_type"), "starting_third": starting_third("action_start_x")})
