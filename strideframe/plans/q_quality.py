@@ -265,14 +265,41 @@ THR = f"""nr AS (SELECT {V}, n_valid_points_used AS n, ROW_NUMBER() OVER (PARTIT
   UNION ALL SELECT 'all', 'both', 'area', q, QUANTILE_CONT(visible_area_fraction, 0.8) FROM fa, (VALUES (80)) t(q) GROUP BY q)"""
 _MUL = ", ".join(f"'{m}'" for m in L.MULTIPLICITY)
 _OBM = ", ".join(f"'{m}'" for m in L.OOB_METRICS)
+#: fixed values: the reviewed candidates
+CANDIDATES = [
+    ("A", "A", "A", 0, None, None, "none", False, False),
+    ("B_q05", "B", "A", 1, 5, None, "none", False, False),
+    ("B_q25", "B", "A", 2, 25, None, "none", False, False),
+    ("B_q50", "B", "A", 3, 50, None, "none", False, False),
+    ("B_q75", "B", "A", 4, 75, None, "none", False, False),
+    ("C_q20", "C", "A", 5, None, 20, "none", False, False),
+    ("C_q40", "C", "A", 6, None, 40, "none", False, False),
+    ("C_q60", "C", "A", 7, None, 60, "none", False, False),
+    ("C_q80", "C", "A", 8, None, 80, "none", False, False),
+    ("D_primary", "D", "D_primary", 9, None, None, "none", True, False),
+    ("D_sensitivity", "D", "D_primary", 10, None, None, "metric", True, True),
+    ("E_q25_q20", "E", "D_primary", 11, 25, 20, "all", True, False),
+    ("E_q50_q40", "E", "D_primary", 12, 50, 40, "all", True, False),
+    ("OOB_A", "OOB", "A", 13, None, None, "none", False, False),
+    ("OOB_B_primary", "OOB", "A", 14, None, None, "none", False, False),
+    ("OOB_B_sensitivity", "OOB", "OOB_B_primary", 15, None, None, "oob", False, False),
+    ("OOB_C_primary", "OOB", "A", 16, None, None, "none", False, False),
+    ("OOB_C_sensitivity", "OOB", "OOB_C_primary", 17, None, None, "metric_oob", False, False),
+    ("coincidence_sensitivity", "coincidence", "A", 18, None, None, "coincidence", False, False),
+    ("actor_unique", "actor", "A", 19, None, None, "unique_actor", False, False),
+]
+_CAND_TYPES = (
+    "candidate string, family string, paired_primary string, position int, count_quantile int, area_quantile int, "
+    "anomaly_policy string, actor_clear boolean, metric_count boolean"
+)
+
+
+def candidates(fx):
+    return fx.spark.createDataFrame(CANDIDATES, _CAND_TYPES)
+
+
 _CAND = ", ".join(
-    "("
-    + ", ".join(
-        "NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else str(x)
-        for x in (c.candidate, c.family, c.paired_primary, c.position, c.count_quantile, c.area_quantile, c.anomaly_policy, c.actor_clear, c.metric_count)
-    )
-    + ")"
-    for c in L.candidates()
+    "(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper() for x in row) + ")" for row in CANDIDATES
 )
 RULE = f"""cd AS (SELECT * FROM (VALUES {_CAND}) t(candidate, family, paired_primary, position, cq, aq, pol, actor_clear, mc)),
  ru AS (SELECT candidate, family, paired_primary, position, m.metric, v.{V.replace(", ", ", v.")},
@@ -292,7 +319,7 @@ BY = f"{V}, metric, candidate"
 
 def grid(fx):
     g = geometry(fx)
-    return L.Grid(G.metric_rows(g, [*CTX, *G.VARIANT]), g, framed(fx).select("visible_area_fraction"), fx.small_frames)
+    return L.Grid(G.metric_rows(g, [*CTX, *G.VARIANT]), g, framed(fx).select("visible_area_fraction"), candidates(fx), fx.small_frames)
 
 
 @query("cal2_empirical_thresholds", sql(f"{PREP}, {THR} SELECT {V}, variable, quantile, ROUND(threshold, 6) AS threshold FROM th", *_B))
@@ -312,7 +339,7 @@ def cal3(fx):
 def cal4(fx):
     g = geometry(fx)
     th = L.empirical_thresholds(g, framed(fx).select("visible_area_fraction"), fx.small_frames)
-    j = L.judged(G.metric_rows(g, [*CTX, *G.VARIANT]), L.candidate_rules(fx.spark, th))
+    j = L.judged(G.metric_rows(g, [*CTX, *G.VARIANT]), L.candidate_rules(candidates(fx), th))
     e = F.col("eligible")
     return j.groupBy(*L.BY).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(e).alias("eligible"), F.sum(F.when(e, F.col("frame_id"))).alias("id_sum"))
 
