@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from strideframe.operators.expectations import require_none
 from strideframe.operators.ordered import Lane, Scan, scan, shift
 from strideframe.operators.progression import measurement_state
+from strideframe.sources.stage import durable
 
 #: fixed values
 CLOSERS = ("TERMINAL", "REVIEW_DEFERRED")
+HARD = ("OPPONENT_CONTROL", "TERMINAL")
+VERSIONS = ("v0.1", "v0.2", "v0.3")
 
 
 def episode_map(parents: DataFrame, ledger: DataFrame, lane_block: str | None = None) -> DataFrame:
@@ -169,129 +172,144 @@ def episode_summary(members: DataFrame, measures: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("trusted_actions", "recovered_rows", "censored_rows")})
 
 
-def drawdown_detector(stream: DataFrame, case: str, version: str = "v0.3", warn: float = 10.0, confirm: float = 20.0, slow: float = 5.0, limit: int = 100_000) -> DataFrame:
-    """Warnings of deep retreat and how each ended, one reviewed case per group.
+def cut_at_hard(stream: DataFrame, hard: DataFrame, lane: Lane) -> DataFrame:
+    """Rows of each case between hard boundaries, with ``part`` (0 before the first boundary) and ``part_end``.
 
-    A confirmation rewinds the measurements to its onset and replays what followed,
-    so later rows depend on decisions made after them; that is a loop per case.
-    Cases are reviewed intervals and their size is checked first.
+    hard: case_id, onset, resume; a boundary counts if the case has an event at its onset. Rows from an onset up to its
+    resume are left out, to the end if resume is null; of boundaries with one onset the latest resume holds.
+    ``part_end`` is the onset that ends the part, null in the last part. Empty ledgers leave one part.
     """
-    import pandas as pd
-
-    if version not in ("v0.1", "v0.2", "v0.3"):
-        raise ValueError(f"unknown version {version}")
-    require_none(stream.groupBy(case).count(), {"oversized_cases": F.col("count") > limit})
-    cols = [case, "event_index", "t_us", "safe_action", "failed", "trigger", "restart", "start_x", "end_x"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(_replay(pdf.sort_values("event_index").to_dict("records"), version, warn, confirm, slow))
-        out = pd.DataFrame(found, columns=["onset", "end_event", "resolution", "peak", "maximum_retreat"])
-        out[case] = pdf[case].iloc[0]
-        return out.astype({"onset": "int64", "end_event": "int64", "peak": "float64", "maximum_retreat": "float64"})
-
-    kind = stream.schema[case].dataType.simpleString()
-    return stream.select(*cols).groupBy(case).applyInPandas(
-        run, f"onset bigint, end_event bigint, resolution string, peak double, maximum_retreat double, {case} {kind}"
+    marks = hard.where("onset IS NOT NULL").groupBy("case_id", F.col("onset").alias("event_index")).agg(
+        F.max(F.coalesce("resume", F.lit(2**63 - 1))).alias("__resume")
     )
+    rows = scan(
+        stream.join(marks, ["case_id", "event_index"], "left"),
+        lane.by("case_id"),
+        {
+            "part": Scan("count", "__resume"),
+            "__until": Scan("last", "__resume"),
+            "part_end": Scan("min", "CASE WHEN __resume IS NOT NULL THEN event_index END", backward=True, exclusive=True),
+        },
+    )
+    return rows.where("__until IS NULL OR event_index >= __until").drop("__resume", "__until")
 
 
-class _Track:
-    """Running peak and recent steps of trusted actions."""
-
-    def __init__(self):
-        self.peak = self.peak_t = self.end = None
-        self.flat, self.back, self.moved, self.off = 0, [], False, False
-
-    def see(self, r: dict) -> dict | None:
-        self.moved = self.moved or bool(r["trigger"])
-        if r["failed"]:
-            self.flat = 0
-        if r["failed"] or not r["safe_action"]:
-            return None
-        before, dx = self.peak, r["end_x"] - r["start_x"]
-        if self.end is not None and self.moved and r["start_x"] < self.end - 1e-9:
-            self.off = True
-        self.moved = False
-        top = r["end_x"] if r["restart"] else max(r["start_x"], r["end_x"])
-        if before is None or top >= before:
-            self.peak, self.peak_t, self.off = top, r["t_us"], False
-        if r["restart"]:
-            self.flat, self.back = 0, []
-        else:
-            self.flat = self.flat + 1 if dx <= 0 else 0
-            self.back = [*self.back[-2:], max(-dx, 0.0)]
-        self.end = r["end_x"]
-        return {
-            "dx": dx,
-            "usable": not r["restart"] and not self.off,
-            "new_high": dx > 0 and (before is None or r["end_x"] > before),
-            "retreat": max(0.0, self.peak - r["end_x"]),
+def in_masks(spans: DataFrame, masks: DataFrame, lane: Lane, first: str, last: str) -> DataFrame:
+    """``spans`` with ``masked``: whether some mask (case_id, lo, hi) overlaps first..last.
+
+    That is so if the largest ``hi`` of the masks that begin by ``last`` reaches ``first``: one running maximum, no pairs.
+    """
+    rows = spans.withColumns({"__at": F.col(last).cast("bigint"), "__r": F.lit(1), "__hi": F.lit(None).cast("bigint")})
+    starts = masks.select("case_id", F.col("lo").cast("bigint").alias("__at"), F.lit(0).alias("__r"), F.col("hi").cast("bigint").alias("__hi"))
+    rows = rows.unionByName(starts, allowMissingColumns=True)
+    block = "CAST(floor(__at / 100000) AS BIGINT)" if lane.block else None
+    rows = scan(rows, Lane(("case_id",), ("__at", "__r"), block), {"__reach": Scan("max", "__hi")}).where("__r = 1")
+    return rows.select(*spans.columns, F.coalesce(F.col("__reach") >= F.col(first), F.lit(False)).alias("masked"))
+
+
+def _first_warning(live: DataFrame, lane: Lane, warn: float, confirm: float, slow: float) -> DataFrame:
+    """The next warning of every group of ``lane`` after its ``decided`` event and how it ends; one row per group that has one."""
+    m = scan(measurement_state(live, lane), lane, {"__peak_t": Scan("last", "CASE WHEN at_peak THEN t_us END")})
+    m = m.where("decided IS NULL OR event_index > decided")
+    wakes = "CASE mode WHEN 'ACTIVE' THEN true WHEN 'DISARMED' THEN dx > 0 ELSE forward_peak AND (version = 'v0.1' OR end_x >= rearm) END"
+    m = scan(m, lane, {"__awake": Scan("max", f"{wakes} AND (mode = 'ACTIVE' OR NOT coalesce(relocation_affected, false))")})
+    m = m.where("eligible AND NOT masked")
+    opens = f"__awake AND retreat >= {warn} AND (version <> 'v0.3' OR dx <= 0)"
+    mark = "named_struct('onset', event_index, 'peak', peak, 'peak_t', __peak_t, 'retreat', retreat, 'mask_at', mask_at)"
+    m = scan(m, lane, {"w": Scan("first", f"CASE WHEN {opens} THEN {mark} END")}).where("w.onset IS NOT NULL AND event_index < coalesce(w.mask_at, event_index + 1)")
+    m = scan(m, lane, {"__low": Scan("min", "CASE WHEN version = 'v0.3' THEN least(start_x, end_x) ELSE end_x END")})
+    m = m.withColumns(
+        {
+            "deep": F.expr("greatest(w.retreat, w.peak - __low)"),
+            "gap": F.expr("greatest(0D, w.peak - end_x)"),
+            "age": F.expr("(t_us - w.peak_t) / 1e6"),
         }
+    )
+    # the last version decides at the first forward step after the onset, earlier ones at every step from the onset on
+    how = F.expr(
+        f"""CASE WHEN version = 'v0.3' THEN CASE WHEN dx > 0 AND event_index > w.onset THEN if(deep >= {confirm} OR age >= {slow}, 'CONFIRMED', 'CANCELLED') END
+        WHEN dx > 0 AND gap < {warn} THEN 'CANCELLED'
+        WHEN (gap >= {confirm} OR recent_backward >= {warn}) AND (age >= {slow} OR nonpositive_run >= 2) THEN 'CONFIRMED' END"""
+    )
+    m = m.withColumn("how", how)
+    ends = m.groupBy(*lane.keys).agg(
+        F.min_by(F.struct("event_index", "how", "deep"), F.when(F.col("how").isNotNull(), F.col("event_index"))).alias("c"),
+        F.min_by(F.struct("w", "part_end", "last_event", "base"), "event_index").alias("o"),
+        F.max("deep").alias("deepest"),
+    )
+    resolution = (
+        F.when(F.col("c.how").isNotNull(), F.col("c.how"))
+        .when(F.col("o.w.mask_at").isNotNull(), "CENSORED_REVIEW_MASK")
+        .when(F.col("o.part_end").isNotNull(), "SUPERSEDED_HARD_BOUNDARY")
+        .otherwise("CENSORED_PARENT_END")
+    )
+    return ends.select(
+        *lane.keys,
+        F.col("o.w.onset").alias("onset"),
+        F.coalesce("c.event_index", "o.w.mask_at", "o.part_end", "o.last_event").alias("end_event"),
+        resolution.alias("resolution"),
+        F.col("o.w.peak").alias("peak"),
+        F.coalesce("c.deep", "deepest").alias("maximum_retreat"),
+        F.col("o.base").alias("base"),
+    )
+
 
+def drawdown_detector(stream: DataFrame, lane: Lane, versions: Sequence[str] = VERSIONS, warn: float = 10.0, confirm: float = 20.0, slow: float = 5.0) -> DataFrame:
+    """Warnings of deep retreat and how each ended: ``version``, the lane's keys, onset, end_event, resolution, peak, maximum_retreat.
 
-def _replay(rows: list[dict], version: str, warn: float, confirm: float, slow: float):
-    last = version == "v0.3"
-    track, seen, open_, rearm = _Track(), [], None, None
-    mode = "ACTIVE" if last else "DISARMED"
-    close = lambda w, r, how: (w["onset"], r["event_index"], how, w["peak"], w["deep"])
-    for r in rows:
-        seen.append(r)
-        o = track.see(r)
-        if o is None:
-            continue
-        wake = (mode == "DISARMED" and o["dx"] > 0) or (
-            mode == "REBUILD" and o["new_high"] and (version == "v0.1" or r["end_x"] >= rearm)
+    stream: the columns of ``measurement_state``, t_us, ``part_end`` (see ``cut_at_hard``) and ``masked``, which counts in
+    v0.3 only. A confirmation measures anew from its onset and decides on what follows it. So each round takes the next
+    warning of all groups at once, by running aggregates since the group's last decision; groups whose warning was
+    confirmed, cancelled or masked go on, with the rows that they still need. There are as many rounds as the group with
+    most warnings has. Null ``masked`` counts as false; groups without trusted actions give no rows.
+    """
+    if unknown := set(versions) - set(VERSIONS):
+        raise ValueError(f"unknown versions {sorted(unknown)}")
+    rows = stream.withColumn("version", F.explode(F.array(*map(F.lit, versions))))
+    rows = rows.withColumn("masked", (F.col("version") == "v0.3") & F.coalesce("masked", F.lit(False)))
+    lane = lane.by("version", *lane.keys)
+    rows = scan(
+        rows,
+        lane,
+        {
+            "mask_at": Scan("min", "CASE WHEN masked THEN event_index END", backward=True, exclusive=True),
+            "last_event": Scan("max", "event_index", backward=True),
+        },
+    )
+    needed = ["event_index", "t_us", "safe_action", "failed", "trigger", "restart", "start_x", "end_x", "masked", "part_end", "mask_at", "last_event"]
+    rows = rows.select(*lane.keys, *needed)
+    nothing = F.lit(None).cast("bigint")
+    live = rows.withColumns({"base": nothing, "decided": nothing, "rearm": F.lit(None).cast("double"), "mode": F.when(F.col("version") == "v0.3", "ACTIVE").otherwise("DISARMED")})
+    out = None
+    while True:
+        live = durable(live)
+        found = durable(_first_warning(live, lane, warn, confirm, slow))
+        out = found if out is None else out.unionByName(found)
+        again = F.col("resolution") == "CONFIRMED"
+        state = found.where(again | F.col("resolution").isin("CANCELLED", "CENSORED_REVIEW_MASK")).select(
+            *lane.keys,
+            F.when(again, F.col("onset")).otherwise(F.col("base")).alias("base"),
+            F.col("end_event").alias("decided"),
+            F.when(again, F.col("peak")).alias("rearm"),
+            F.when(again, "REBUILD").otherwise("ACTIVE").alias("mode"),
         )
-        if wake and not track.off:
-            mode = "ACTIVE"
-        if not o["usable"]:
-            continue
-        if mode == "ACTIVE" and o["retreat"] >= warn and (not last or o["dx"] <= 0):
-            open_ = {"onset": r["event_index"], "peak": track.peak, "t": track.peak_t, "low": r["end_x"], "deep": o["retreat"]}
-            mode = "WARNING"
-        if mode != "WARNING":
-            continue
-        gap = max(0.0, open_["peak"] - r["end_x"])
-        open_["low"] = min(open_["low"], r["end_x"], *([r["start_x"]] if last else []))
-        open_["deep"] = max(open_["deep"], open_["peak"] - open_["low"])
-        age = (r["t_us"] - open_["t"]) / 1e6
-        if last:
-            if o["dx"] <= 0 or r["event_index"] <= open_["onset"]:
-                continue
-            sure = open_["deep"] >= confirm or age >= slow
-            dropped = not sure
-        else:
-            dropped = o["dx"] > 0 and gap < warn
-            size = gap >= confirm or max(track.back, default=0.0) >= warn
-            sure = not dropped and size and (age >= slow or track.flat >= 2)
-        if dropped:
-            yield close(open_, r, "CANCELLED")
-            open_, mode = None, "ACTIVE"
-        elif sure:
-            yield close(open_, r, "CONFIRMED")
-            rearm, start = open_["peak"], open_["onset"]
-            seen, track = [p for p in seen if p["event_index"] >= start], _Track()
-            for p in seen:
-                track.see(p)
-            open_, mode = None, "REBUILD"
-    if open_ is not None:
-        yield close(open_, rows[-1], "CENSORED_PARENT_END")
-
-
-def score_predictions(predicted: DataFrame, truth: DataFrame, masks: DataFrame) -> DataFrame:
-    """Match predictions to truth outside masked intervals; masked ones are UNSCORED.
-
-    masks: case_id, lo, hi (a handful per case, kept as one array per case).
+        if state.isEmpty():
+            return out.drop("base")
+        live = live.drop("base", "decided", "rearm", "mode").join(state, list(lane.keys)).where("base IS NULL OR event_index >= base")
+
+
+def score_predictions(predicted: DataFrame, truth: DataFrame, masks: DataFrame, lane: Lane) -> DataFrame:
+    """Match predictions to truth; those whose onset..end overlaps a mask are UNSCORED.
+
+    predicted, truth: case_id, family, onset, end_event (null: the onset), resume; masks: case_id, lo, hi.
     """
     from strideframe.operators.spells import boundary_match
 
-    m = masks.groupBy("case_id").agg(F.collect_list(F.struct("lo", "hi")).alias("__m"))
-    hit = F.expr("coalesce(exists(__m, z -> z.lo <= onset AND z.hi >= onset), false)")
-    tag = lambda df: df.join(m, "case_id", "left").withColumn("__x", hit).drop("__m")
+    def tag(df: DataFrame) -> DataFrame:
+        return in_masks(df.withColumn("__end", F.coalesce("end_event", "onset")), masks, lane, "onset", "__end").drop("__end", "end_event")
+
     p, t = tag(predicted), tag(truth)
-    scored = boundary_match(p.where("NOT __x").drop("__x"), t.where("NOT __x").drop("__x"))
-    gone = p.where("__x").select("case_id", "family", F.lit(None).cast("bigint").alias("truth_onset"), F.col("onset").alias("predicted_onset"))
-    lost = t.where("__x").select("case_id", "family", F.col("onset").alias("truth_onset"), F.lit(None).cast("bigint").alias("predicted_onset"))
+    scored = boundary_match(p.where("NOT masked").drop("masked"), t.where("NOT masked").drop("masked"))
+    gone = p.where("masked").select("case_id", "family", F.lit(None).cast("bigint").alias("truth_onset"), F.col("onset").alias("predicted_onset"))
+    lost = t.where("masked").select("case_id", "family", F.col("onset").alias("truth_onset"), F.lit(None).cast("bigint").alias("predicted_onset"))
     return scored.unionByName(gone.unionByName(lost).withColumn("result", F.lit("UNSCORED")))
-
-

@@ -374,24 +374,29 @@ def epi6(fx):
     return P.episode_summary(m, measures(fx, m))
 
 
+def masks(fx):
+    return ledger(fx).where("boundary_type = 'CLEAR_RESET' AND onset IS NULL").selectExpr("case_id", "onset_lower AS lo", "resume AS hi")
+
+
+def replayed(fx, versions):
+    hard = ledger(fx).where(F.col("boundary_type").isin(*P.HARD))
+    lane = case_lane(fx, "case_id", "part")
+    s = P.in_masks(P.cut_at_hard(cases(fx), hard, lane), masks(fx), lane, "event_index", "event_index")
+    return P.drawdown_detector(s, lane, versions, slow=5 * 3600.0)
+
+
 @query("rpl1_drawdown_detector")
 def rpl1(fx):
-    s = cases(fx)
-    out = None
-    for v in ("v0.1", "v0.2", "v0.3"):
-        d = P.drawdown_detector(s, "case_id", v, slow=5 * 3600.0).withColumn("version", F.lit(v))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return replayed(fx, P.VERSIONS)
 
 
 @query("rpl2_score_predictions")
 def rpl2(fx):
-    pred = P.drawdown_detector(cases(fx), "case_id", "v0.3", slow=5 * 3600.0).where("resolution = 'CONFIRMED'")
-    pred = durable(pred.selectExpr("case_id", "'CLEAR_RESET' AS family", "onset", "CAST(NULL AS BIGINT) AS resume"))
-    led = ledger(fx).where("boundary_type = 'CLEAR_RESET'")
-    truth = led.where("onset IS NOT NULL").selectExpr("case_id", "boundary_type AS family", "onset", "CAST(NULL AS BIGINT) AS resume")
-    masks = led.where("onset IS NULL").selectExpr("case_id", "onset_lower AS lo", "resume AS hi")
-    return P.score_predictions(pred, truth, masks)
+    pred = replayed(fx, ["v0.3"]).where("resolution = 'CONFIRMED'")
+    pred = pred.selectExpr("case_id", "'CLEAR_RESET' AS family", "onset", "end_event", "CAST(NULL AS BIGINT) AS resume")
+    truth = ledger(fx).where("boundary_type = 'CLEAR_RESET' AND onset IS NOT NULL")
+    truth = truth.selectExpr("case_id", "boundary_type AS family", "onset", "resume AS end_event", "CAST(NULL AS BIGINT) AS resume")
+    return P.score_predictions(pred, truth, masks(fx), case_lane(fx, "case_id"))
 
 
 # --- labels --------------------------------------------------------------------------------
