@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -88,25 +90,23 @@ def ols_cr1(df: DataFrame, by: Sequence[str], y: str, x: str, cluster: str, inte
         (F.var_pop("__y") * F.count(F.lit(1))).alias("__syy"),
         (F.min("__x") < F.max("__x")).alias("__varies"),
     )
-    if by:
-        keyed = first.select(*[F.col(k).alias(f"__k_{k}") for k in by], "n", "__mx", "__my", "__sxx", "__sxy", "__varies")
-        on = F.lit(True)
-        for k in by:
-            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        j = data.join(keyed, on).drop(*[f"__k_{k}" for k in by])
-    else:
-        j = data.crossJoin(F.broadcast(first.select("n", "__mx", "__my", "__sxx", "__sxy", "__varies")))  # one row
-    dx = F.col("__x") - F.col("__mx")
-    e = F.col("__y") - F.col("__my") - F.col("__sxy") / F.nullif(F.col("__sxx"), F.lit(0.0)) * dx
-    per = j.groupBy(*by, "__g").agg(F.sum(e * dx).alias("__s"), F.sum(e * e).alias("__r"))
-    second = per.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("cluster_count"), F.sum(F.col("__s") * F.col("__s")).alias("__meat"), F.sum("__r").alias("__rss")
+    per = data.groupBy(*by, "__g").agg(
+        F.count(F.lit(1)).alias("__n"), F.mean("__x").alias("__ax"), F.mean("__y").alias("__ay"),
+        F.var_pop("__x").alias("__vx"), F.var_pop("__y").alias("__vy"), F.covar_pop("__x", "__y").alias("__cv"),
     )
+    # rows are never joined: only one row per group and cluster meets its group's means
     if by:
-        second = second.select(*[F.col(k).alias(f"__k_{k}") for k in by], "cluster_count", "__meat", "__rss")
-        out = first.join(second, on, "left").drop(*[f"__k_{k}" for k in by])
+        on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by])
+        j = per.join(first.withColumnsRenamed({k: f"__k_{k}" for k in by}), on).drop(*[f"__k_{k}" for k in by])
     else:
-        out = first.crossJoin(second)
+        j = first.join(per, F.lit(True), "left")  # one row on the left
+    dx, dy = F.col("__ax") - F.col("__mx"), F.col("__ay") - F.col("__my")
+    xx, xy, yy = (F.col("__n") * (F.col(v) + d) for v, d in (("__vx", dx * dx), ("__cv", dx * dy), ("__vy", dy * dy)))
+    b = F.col("__sxy") / F.nullif(F.col("__sxx"), F.lit(0.0))
+    whole = [F.first(c).alias(c) for c in ("n", "__mx", "__my", "__sxx", "__sxy", "__syy", "__varies")]
+    out = j.groupBy(*by).agg(
+        *whole, F.count("__n").alias("cluster_count"), F.sum((xy - b * xx) * (xy - b * xx)).alias("__meat"), F.sum(yy - 2 * b * xy + b * b * xx).alias("__rss")
+    )
     fit = (F.col("n") >= 3) & F.col("__varies")
     g, n = F.col("cluster_count"), F.col("n")
     slope = F.when(fit, F.col("__sxy") / F.col("__sxx"))

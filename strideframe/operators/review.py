@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.operators.ordered import Lane, Scan, islands, number, scan, shift
@@ -177,11 +177,12 @@ def context_slice(candidates: DataFrame, timeline: DataFrame, keys: Sequence[str
 
 
 def panel_selection(candidates: DataFrame, case: Sequence[str], group: str, best: Sequence[Column], limit: int) -> DataFrame:
-    """Best candidate per case, then round-robin over groups."""
+    """Best candidate per case, then round-robin over groups; no task passes on more than ``limit`` cases of a group."""
     case = list(case)
     rank = F.struct(*[b.alias(f"b{i}") for i, b in enumerate(best)])
     one = candidates.groupBy(*case, group).agg(F.min(F.struct(rank.alias("r"), "event_index")).alias("z")).select(*case, group, F.col("z.event_index").alias("event_index"))
-    placed = number(one, Lane((group,), tuple(case)), "within_group")
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(*case)).cast("bigint")
+    placed = one.withColumn("within_group", turn).where(F.col("within_group") <= limit)
     return placed.orderBy("within_group", group, *case).limit(limit)
 
 

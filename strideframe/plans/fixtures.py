@@ -132,7 +132,7 @@ class Fixture:
         return self.table("embeddings").selectExpr(
             "vec_id AS frame_id",
             "label",
-            "transform(sequence(0, CAST(7 + vec_id % 14 AS INT)), i -> named_struct("
+            "transform(sequence(0, CAST(size(embedding) DIV 2 AS INT) - 1), i -> named_struct("
             "'i', i, "
             "'x', 60.0D + 160.0D * CAST(embedding[2 * i] AS DOUBLE), "
             "'y', 40.0D + 110.0D * CAST(embedding[2 * i + 1] AS DOUBLE), "
@@ -151,12 +151,12 @@ class Fixture:
             "vec_id AS frame_id",
             "CAST(vec_id % 12 AS INT) AS match_id",
             "CASE label % 4 WHEN 0 THEN 'Pass' WHEN 1 THEN 'Carry' WHEN 2 THEN 'Shot' ELSE 'Pressure' END AS event_type",
-            "CASE WHEN vec_id % 37 = 5 THEN NULL ELSE transform(sequence(0, CAST(7 + vec_id % 14 AS INT)), i -> named_struct("
-            f"'i', i, 'x', CASE WHEN (vec_id * 3 + i) % 31 <> 0 THEN {x.format(j=j)} END, "
+            "CASE WHEN vec_id % 37 = 5 THEN NULL ELSE transform(sequence(0, CAST(size(embedding) DIV 2 AS INT) - 1), i -> named_struct("
+            f"'i', i, 'x', CASE WHEN vec_id % 8 NOT IN (1, 2) OR (vec_id * 3 + i) % 31 <> 0 THEN {x.format(j=j)} END, "
             f"'y', {y.format(j=j)}, "
-            "'teammate', CASE WHEN (vec_id + i) % 23 <> 0 THEN (i + label) % 2 = 0 END, "
-            "'keeper', CASE WHEN (vec_id + i) % 17 <> 0 THEN (i = 0 OR i = 1) END, "
-            "'actor', CASE WHEN (vec_id + i) % 29 <> 0 THEN (i = 2 OR (i = 6 AND vec_id % 13 = 0)) END)) END AS points",
+            "'teammate', CASE WHEN vec_id % 8 NOT IN (2, 3) OR (vec_id + i) % 23 <> 0 THEN (i + label) % 2 = 0 END, "
+            "'keeper', CASE WHEN vec_id % 8 <> 3 OR (vec_id + i) % 17 <> 0 THEN (i = 0 OR i = 1) END, "
+            "'actor', CASE WHEN vec_id % 8 <> 5 OR (vec_id + i) % 29 <> 0 THEN (i = 2 OR (i = 6 AND vec_id % 13 = 0)) END)) END AS points",
             f"{x0} AS x0",
         ).withColumn(
             "visible_area",
@@ -267,18 +267,18 @@ PT = """pt AS (
  SELECT vec_id AS frame_id, label, i, 60.0E0 + 160.0E0 * CAST(list_extract(embedding, 2*i+1) AS DOUBLE) AS x,
   40.0E0 + 110.0E0 * CAST(list_extract(embedding, 2*i+2) AS DOUBLE) AS y,
   (i + label) % 2 = 0 AS teammate, (i = 0 OR i = 1) AS keeper, i = 2 AS actor
- FROM embeddings CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(32)) AS n WHERE i < 8 + vec_id % 14)"""
+ FROM embeddings CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(32)) AS n WHERE 2 * i + 1 < len(embedding))"""
 
 RPT = """pt AS (
  SELECT vec_id AS frame_id, CAST(vec_id % 12 AS INT) AS match_id,
   CASE label % 4 WHEN 0 THEN 'Pass' WHEN 1 THEN 'Carry' WHEN 2 THEN 'Shot' ELSE 'Pressure' END AS event_type, label, i,
-  CASE WHEN (vec_id * 3 + i) % 31 <> 0 THEN 60.0E0 + 160.0E0 * CAST(list_extract(embedding, 2*j+1) AS DOUBLE) END AS x,
+  CASE WHEN vec_id % 8 NOT IN (1, 2) OR (vec_id * 3 + i) % 31 <> 0 THEN 60.0E0 + 160.0E0 * CAST(list_extract(embedding, 2*j+1) AS DOUBLE) END AS x,
   40.0E0 + 110.0E0 * CAST(list_extract(embedding, 2*j+2) AS DOUBLE) AS y,
-  CASE WHEN (vec_id + i) % 23 <> 0 THEN (i + label) % 2 = 0 END AS teammate,
-  CASE WHEN (vec_id + i) % 17 <> 0 THEN (i = 0 OR i = 1) END AS keeper,
-  CASE WHEN (vec_id + i) % 29 <> 0 THEN (i = 2 OR (i = 6 AND vec_id % 13 = 0)) END AS actor
+  CASE WHEN vec_id % 8 NOT IN (2, 3) OR (vec_id + i) % 23 <> 0 THEN (i + label) % 2 = 0 END AS teammate,
+  CASE WHEN vec_id % 8 <> 3 OR (vec_id + i) % 17 <> 0 THEN (i = 0 OR i = 1) END AS keeper,
+  CASE WHEN vec_id % 8 <> 5 OR (vec_id + i) % 29 <> 0 THEN (i = 2 OR (i = 6 AND vec_id % 13 = 0)) END AS actor
  FROM (SELECT *, CASE WHEN i = 5 AND vec_id % 9 = 0 THEN 4 ELSE i END AS j FROM embeddings
-  CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(32)) AS n) WHERE i < 8 + vec_id % 14 AND vec_id % 37 <> 5),
+  CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(32)) AS n) WHERE 2 * i + 1 < len(embedding) AND vec_id % 37 <> 5),
  fr AS (SELECT vec_id AS frame_id, CAST(vec_id % 12 AS INT) AS match_id,
   CASE label % 4 WHEN 0 THEN 'Pass' WHEN 1 THEN 'Carry' WHEN 2 THEN 'Shot' ELSE 'Pressure' END AS event_type,
   vec_id % 37 <> 5 AS available, 60.0E0 + 160.0E0 * CAST(list_extract(embedding, 5) AS DOUBLE) AS x0,

@@ -92,21 +92,26 @@ def rev3(fx):
     return flags(fx).select(*KEY, *_CATS)
 
 
-PRIOR = "possession_id % 5 = 0"
+#: possessions of an earlier review, which come first; the size of a review
+PRIOR, CASES = "possession_id % 5 = 0", 28
+CHO = f"""{FLG}, oc AS (SELECT *, ROW_NUMBER() OVER (ORDER BY NOT ({PRIOR}), {K}) AS rk FROM fg),
+ hc AS ({" UNION ALL ".join(f"SELECT MIN(rk) AS rk FROM oc WHERE {c}" for c in _CATS)}), wc AS (SELECT rk, 0 AS w FROM hc WHERE rk IS NOT NULL UNION ALL SELECT rk, 1 FROM oc),
+ bc AS (SELECT rk, MIN(w) AS w FROM wc GROUP BY rk ORDER BY MIN(w), rk LIMIT {CASES}), ch AS (SELECT oc.* FROM bc JOIN oc USING (rk))"""
+
+
+def chosen(pool):
+    return V.select_cases(pool, _CATS, KEY, F.expr(PRIOR), CASES)
 
 
 @query(
     "rev4_select_cases",
     sql(
-        f"""{FLG}, o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY NOT ({PRIOR}), {K}) AS rk FROM fg),
- c AS ({" UNION ALL ".join(f"SELECT MIN(rk) AS rk FROM o WHERE {c}" for c in _CATS)}), p AS (SELECT rk, 0 AS w FROM c WHERE rk IS NOT NULL UNION ALL SELECT rk, 1 FROM o),
- b AS (SELECT rk, MIN(w) AS w FROM p GROUP BY rk ORDER BY MIN(w), rk LIMIT 28)
- SELECT {K}, concat_ws(';', {", ".join(f"CASE WHEN {c} THEN '{c}' END" for c in _CATS)}) AS selection_reason FROM b JOIN o USING (rk)""",
+        f"""{CHO} SELECT {K}, concat_ws(';', {", ".join(f"CASE WHEN {c} THEN '{c}' END" for c in _CATS)}) AS selection_reason FROM ch""",
         *_BF,
     ),
 )
 def rev4(fx):
-    return V.select_cases(durable(flags(fx)), _CATS, KEY, F.expr(PRIOR), 28)
+    return chosen(durable(flags(fx)))
 
 
 def criteria():
@@ -205,14 +210,15 @@ def rev9(fx):
 @query(
     "rev10_snapshot_points",
     sql(
-        f"""{SEM}, z AS (SELECT sm.event_id, sm.event_team_id, i, x, y, teammate FROM sm JOIN pt ON pt.frame_id = sm.event_id % (SELECT COUNT(*) FROM embeddings) WHERE semantics_status = 'validated' AND k % 3 = 0)
+        f"""{CHO}, {SEM}, z AS (SELECT sm.event_id, sm.event_team_id, i, x, y, teammate FROM sm JOIN pt ON pt.frame_id = sm.event_id % (SELECT COUNT(*) FROM embeddings) WHERE semantics_status = 'validated' AND (sm.match_id, sm.period, sm.possession_id, sm.possession_team_id) IN (SELECT ({K}) FROM ch))
  SELECT event_id, i, CASE WHEN event_team_id = {OWN} THEN 'identity_explicit' ELSE 'rotated_180' END AS orientation_status, CASE WHEN event_team_id = {OWN} THEN x ELSE 120 - x END AS x_attacking,
   CASE WHEN event_team_id = {OWN} THEN y ELSE 80 - y END AS y_attacking, CASE WHEN teammate = (event_team_id = {OWN}) THEN 'own' ELSE 'opponent' END AS side FROM z""",
-        EV, RPT, TALLY, EF,
+        *_BF, RPT, TALLY, EF,
     ),
 )
 def rev10(fx):
-    picked = semantic(fx).where("semantics_status = 'validated' AND k % 3 = 0")
+    cases_ = F.broadcast(chosen(durable(flags(fx))).select(*KEY))  # CASES rows
+    picked = semantic(fx).where("semantics_status = 'validated'").join(cases_, list(KEY), "left_semi")
     return V.snapshot_points(picked, OWN, ["event_id"]).select("event_id", "i", "orientation_status", "x_attacking", "y_attacking", "side")
 
 
@@ -231,13 +237,13 @@ def rev11(fx):
 @query(
     "rev11_category_coverage",
     sql(
-        f"""{FLG}, s AS (SELECT * FROM fg WHERE {PRIOR}) {" UNION ALL ".join(f"SELECT '{c}' AS category, (SELECT COUNT(*) FROM fg WHERE {c}) AS pool_count, (SELECT COUNT(*) FROM s WHERE {c}) AS selected_count" for c in _CATS)}""",
+        f"""{CHO}, s AS (SELECT * FROM ch) {" UNION ALL ".join(f"SELECT '{c}' AS category, (SELECT COUNT(*) FROM fg WHERE {c}) AS pool_count, (SELECT COUNT(*) FROM s WHERE {c}) AS selected_count" for c in _CATS)}""",
         *_BF,
     ),
 )
 def rev11b(fx):
     pool = durable(flags(fx))
-    return V.category_coverage(pool, pool.where(PRIOR), _CATS, KEY).drop("case_ids")
+    return V.category_coverage(pool, chosen(pool), _CATS, KEY).drop("case_ids")
 
 
 # --- episodes and replay -------------------------------------------------------------------
@@ -304,6 +310,15 @@ def epi2(fx):
     return members(fx).select("event_id", "episode_id", "membership_status", "episode_elapsed_seconds")
 
 
+#: candidate moments with the columns of their events
+CND = f"{MOM}, {EPI}, cd AS (SELECT * FROM cs WHERE (match_id, event_index) IN (SELECT (match_id, event_index) FROM cm))"
+
+
+def candidates(fx):
+    found = moments(fx, durable(timeline(fx))).select("match_id", "event_index")
+    return cases(fx).join(found, ["match_id", "event_index"], "left_semi")
+
+
 def measures(fx, m=None):
     return P.episode_progression(members(fx) if m is None else m, case_lane(fx, "case_id", "episode_id"))
 
@@ -330,8 +345,8 @@ def epi3(fx):
 @query(
     "epi4_role_assignment",
     sql(
-        f"""{EPI} SELECT event_id, CASE WHEN e.start_reason IS NULL THEN 'continuation_context' WHEN e.start_reason = 'CLEAR_RESET' THEN 'reset_warning' ELSE 'ordinary_context' END AS candidate_role
- FROM cs LEFT JOIN ep e ON e.case_id = cs.case_id AND cs.event_index BETWEEN e.episode_start AND e.episode_end WHERE k % 3 = 0""",
+        f"""{CND} SELECT event_id, CASE WHEN e.start_reason IS NULL THEN 'continuation_context' WHEN e.start_reason = 'CLEAR_RESET' THEN 'reset_warning' ELSE 'ordinary_context' END AS candidate_role
+ FROM cd LEFT JOIN ep e ON e.case_id = cd.case_id AND cd.event_index BETWEEN e.episode_start AND e.episode_end""",
         *_B,
     ),
 )
@@ -339,7 +354,7 @@ def epi4(fx):
     iv = episodes(fx).selectExpr(
         "case_id", "episode_start AS lo", "episode_end AS hi", "CASE WHEN start_reason = 'CLEAR_RESET' THEN 'reset_warning' ELSE 'ordinary_context' END AS role"
     )
-    return P.role_assignment(cases(fx).where("k % 3 = 0").select("case_id", "event_id", "event_index"), iv, case_lane(fx, "case_id")).select("event_id", "candidate_role")
+    return P.role_assignment(candidates(fx).select("case_id", "event_id", "event_index"), iv, case_lane(fx, "case_id")).select("event_id", "candidate_role")
 
 
 @query(
@@ -519,8 +534,8 @@ def lbl5(fx):
 @query(
     "lbl6_warning_groups",
     sql(
-        f"""{EPI}, c AS (SELECT cs.case_id, event_id, event_index, k % 4 AS wg, CASE WHEN e.start_reason = 'CLEAR_RESET' THEN 'reset_warning' ELSE 'probe' END AS role
-  FROM cs LEFT JOIN ep e ON e.case_id = cs.case_id AND cs.event_index BETWEEN e.episode_start AND e.episode_end WHERE k % 3 = 0)
+        f"""{CND}, c AS (SELECT cd.case_id, event_id, event_index, k % 4 AS wg, CASE WHEN e.start_reason = 'CLEAR_RESET' THEN 'reset_warning' ELSE 'probe' END AS role
+  FROM cd LEFT JOIN ep e ON e.case_id = cd.case_id AND cd.event_index BETWEEN e.episode_start AND e.episode_end)
  SELECT case_id, wg, COUNT(*) FILTER (role = 'reset_warning') AS warnings, COUNT(*) FILTER (role <> 'reset_warning') AS probes, arg_min(event_id, event_index) FILTER (role = 'reset_warning') AS first_warning,
   arg_max(event_id, event_index) FILTER (role = 'reset_warning') AS last_warning FROM c GROUP BY ALL""",
         *_B,
@@ -528,7 +543,7 @@ def lbl5(fx):
 )
 def lbl6(fx):
     iv = episodes(fx).selectExpr("case_id", "episode_start AS lo", "episode_end AS hi", "CASE WHEN start_reason = 'CLEAR_RESET' THEN 'reset_warning' ELSE 'ordinary_context' END AS role")
-    c = cases(fx).where("k % 3 = 0").selectExpr("case_id", "event_id AS candidate_id", "event_index", "k % 4 AS wg")
+    c = candidates(fx).selectExpr("case_id", "event_id AS candidate_id", "event_index", "k % 4 AS wg")
     roles = P.role_assignment(c, iv, case_lane(fx, "case_id")).withColumnRenamed("candidate_role", "role")
     return B.warning_groups(roles, ["case_id", "wg"])
 
