@@ -284,3 +284,56 @@ def test_suffix_tree_without_training_text_and_empty(spark):
     (row,) = suffix_lm.suffix_scores(documents(spark, [(only_held, "a b a", "en")])).collect()
     assert (row.n_known, row.train_tokens, row.n_tokens) == (0, 0, 4) and row.base_score == pytest.approx(0.0)
     assert suffix_lm.suffix_scores(documents(spark, [])).count() == 0
+
+
+def plain_suffix_scores(rows, held):
+    """The tree of all contexts in plain Python: score of each row."""
+    depth, end = suffix_lm.DEPTH, None
+    docs = [(i, [*words((t or "").encode()), end]) for i, t, _ in rows]
+    c, n = Counter(), Counter()
+    for i, ws in docs:
+        full = [end] * depth + ws
+        for at in range(depth, len(full) if not held(i) else 0):
+            c[full[at]] += 1
+            for k in range(1, depth + 1):
+                n[tuple(full[at - k : at]), full[at]] += 1
+    total, uses, kinds, evidence = sum(c.values()), Counter(), Counter(), Counter()
+    for (ctx, _), k in n.items():
+        uses[ctx] += k
+        kinds[ctx] += 1
+    for (ctx, w), k in n.items():
+        under = n[ctx[1:], w] / uses[ctx[1:]] if len(ctx) > 1 else c[w] / total
+        evidence[ctx] += k * math.log(k / uses[ctx] / under)
+    stays = {ctx for ctx in uses if evidence[ctx] >= suffix_lm.EVIDENCE * math.log(total)}
+    stays |= {ctx[k:] for ctx in stays for k in range(1, len(ctx))}
+    new = min(max(sum(k == 1 for w, k in c.items() if w is not end) / total, 1 / (total + 1)), 0.5)
+    out = []
+    for i, ws in docs:
+        full, s = [end] * depth + ws, 0.0
+        for at in range(depth, len(full)):
+            w = full[at]
+            p = (1 - new) * c[w] / total if c[w] else new
+            for k in range(1, depth + 1):
+                if (ctx := tuple(full[at - k : at])) in stays:
+                    p = max(n[ctx, w] - suffix_lm.DISCOUNT, 0) / uses[ctx] + suffix_lm.DISCOUNT * kinds[ctx] / uses[ctx] * p
+            s += math.log10(p)
+        out.append((str(i), len(ws), round(s, 6)))
+    return sorted(out), {k for ctx in stays for k in [len(ctx)]}
+
+
+def test_suffix_tree_learns_sequences_of_rare_words(spark, monkeypatch):
+    r = random.Random(12)
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    free = lambda n: [f"w{int(3000 * r.random() ** 2)}" for _ in range(n)]
+    passage = [f"p{k}" for k in range(12)]  # each word is under one token in a thousand
+    rows = [(k, " ".join([*free(60), *(passage if k % 8 == 0 or k == 2000 else []), *free(60)]), "en") for k in range(240)]
+    target = next(k for k in range(2000, 2100) if held(k))
+    rows += [(target, " ".join(passage), "en"), (3000, "", "en"), (None, "unseen w1 w2", "en"), (3001, None, "en")]
+    monkeypatch.setattr(suffix_lm, "BLOCK", 9000)
+    monkeypatch.setattr(suffix_lm, "BUCKET", 5000)
+    got = suffix_lm.suffix_scores(documents(spark, rows)).collect()
+    want, sizes = plain_suffix_scores(rows, held)
+    assert sizes >= {1, 2}
+    assert sorted((str(x.doc_id), x.n_tokens, round(x.score, 6)) for x in got) == want
+    (row,) = [x for x in got if x.doc_id == target]
+    assert row.score > 0.3 * row.base_score
