@@ -33,8 +33,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, the one with the smallest id."""
-    return _without(docs, near_groups(docs).where(~F.col("kept")))
+    """One document of each component of near copies (five-word shingles, similarity from 0.8), the one with the smallest id."""
+    return _without(docs, near_groups(docs, size=5, percent=80).where(~F.col("kept")))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -236,3 +236,19 @@ def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     assert not got & gone
     assert {k for k in range(5, 80)} <= got and {200 + k for k in range(5)} <= got
     assert None in got and len(got & {500, 501}) == 1
+
+
+def test_pipeline_near_copies_between_80_and_85_percent(spark):
+    import corpus_pipeline
+
+    sets = lambda t, k: {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+    alike = lambda a, b, k: len(sets(a, k) & sets(b, k)) / len(sets(a, k) | sets(b, k))
+    rows, pairs = [], {}
+    for n in range(24):
+        a = [f"d{n}w{i}" for i in range(300)]
+        b = [*a, *(f"e{n}w{i}" for i in range(66))] if n % 2 else [x if i % 40 else f"e{n}w{i}" for i, x in enumerate(a)]
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+        pairs[2 * n + 1] = alike(a, b, 5) >= 0.8
+        assert (alike(a, b, 3) >= 0.85) != pairs[2 * n + 1]
+    left = {x.doc_id for x in corpus_pipeline.near_copies(spark, documents(spark, rows), "").collect()}
+    assert {i for i, _ in rows} - left == {i for i, same in pairs.items() if same}
