@@ -10,12 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, utf8
+from .common import Store, read, utf8
 
-#: Tokens of a window; an item with fewer, but LEAST at least, is one window. A window needs half of its tokens literal.
+#: Tokens of a window; an item with fewer, but LEAST at least before runs of names or numbers become one, is one window.
+#: A window needs half of its tokens literal, and as many as half of LEAST.
 WINDOW, LEAST = 8, 5
 #: A document holds an item if this share of the item's windows stands in it in a row, or so many windows.
 COVERAGE, RUN = 0.5, 20
+#: Tokens that may be added or dropped inside an item: shifts that lie so close count as one run.
+BAND = 8
 #: Slots of a run whose values change one-to-one, as a share of all its slots.
 CONSISTENT = 0.8
 #: Bits of the filter of benchmark windows that is sent to the tasks, as bytes: 4 MB, whatever the benchmark.
@@ -61,7 +64,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _windows(keys: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``size`` keys and whether half of its tokens are literal."""
+    """Hash of each window of ``size`` keys and whether enough of its tokens are literal."""
     n = len(keys) - size + 1
     h = np.full(n, size, np.uint64)
     words = np.zeros(n, np.int16)
@@ -69,13 +72,14 @@ def _windows(keys: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndarr
         h = (h ^ keys[k : k + n]) * _STEP
         h ^= h >> np.uint64(29)
         words += literal[k : k + n]
-    return h, 2 * words >= size
+    return h, (2 * words >= size) & (2 * words >= LEAST)
 
 
 def _scan(rows: DataFrame, id_col: str, sizes, known=None) -> DataFrame:
     """``id, pos, size, key, slots`` of windows; with ``known`` (a broadcast filter) of those that may be the benchmark's.
 
-    ``sizes`` gives the window sizes of a text of n tokens. ``slots`` lists position and value of each placeholder.
+    ``sizes`` gives the window sizes of a text by its tokens and its places. Neighbouring names, or numbers, of a sentence
+    are one place. ``slots`` lists position and value of each placeholder.
     """
 
     def run(batches):
@@ -96,9 +100,13 @@ def _scan(rows: DataFrame, id_col: str, sizes, known=None) -> DataFrame:
                 first = np.ones(len(at), bool)  # a capital after the end of a sentence isn't a name
                 first[1:] = arrays["ends"][at[:-1]]
                 kinds[(kinds == _CAPITAL) & first] = _LITERAL
-                keys = np.where(kinds == _LITERAL, arrays["keys"][at], _PLACES[kinds])
-                for size in sizes(len(at)):
-                    if len(at) < size:
+                again = np.zeros(len(at), bool)
+                again[1:] = (kinds[1:] == kinds[:-1]) & ((kinds[1:] == _CAPITAL) | (kinds[1:] == _NUMBER)) & ~first[1:]
+                begins = np.flatnonzero(~again)
+                ends, kinds = np.append(begins[1:], len(at)), kinds[begins]
+                keys = np.where(kinds == _LITERAL, arrays["keys"][at[begins]], _PLACES[kinds])
+                for size in sizes(len(at), len(begins)):
+                    if len(begins) < size:
                         continue
                     h, fit = _windows(keys, kinds == _LITERAL, size)
                     if known is not None:
@@ -109,7 +117,7 @@ def _scan(rows: DataFrame, id_col: str, sizes, known=None) -> DataFrame:
                         out["pos"].append(p)
                         out["size"].append(size)
                         out["key"].append(int(h[p].astype(np.int64)))
-                        out["slots"].append([f"{k} {tokens.raw[at[p + k] - 1]}" for k in places])
+                        out["slots"].append([f"{k} {' '.join(tokens.raw[t - 1] for t in at[begins[p + k] : ends[p + k]])}" for k in places])
             kinds_ = {"id": pa.int64(), "pos": pa.int32(), "size": pa.int32(), "key": pa.int64(), "slots": pa.list_(pa.string())}
             yield pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in kinds_.items()], list(kinds_))
 
@@ -118,7 +126,7 @@ def _scan(rows: DataFrame, id_col: str, sizes, known=None) -> DataFrame:
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """``id, pos, size, key, slots`` of every informative window of the benchmark's items."""
-    return _scan(benchmark, "item_id", lambda n: [min(n, WINDOW)] * (n >= LEAST))
+    return _scan(benchmark, "item_id", lambda n, places: [min(places, WINDOW)] * (n >= LEAST))
 
 
 def window_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -129,7 +137,7 @@ def window_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # WINDOW sizes at most
     for (cell,) in cells.toLocalIterator():  # FILTER cells at most
         seen[cell] = True
-    hits = _scan(docs, "doc_id", lambda n: sizes, spark.sparkContext.broadcast(seen))
+    hits = _scan(docs, "doc_id", lambda n, places: sizes, spark.sparkContext.broadcast(seen))
     left = hits.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "size", "key", F.col("slots").alias("doc_slots"))
     right = windows.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "size", "key", F.col("slots").alias("item_slots"))
     return left.join(right, ["key", "size"]).where("doc_id is not null and item_id is not null")
@@ -139,10 +147,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that it holds: ``doc_id, item_id, n_windows, coverage, n_slots, n_changed``.
 
     Tokens between white space lose their punctuation and case; numbers, units and names (capitalised inside a
-    sentence) become typed placeholders. Windows of WINDOW such tokens are joined by hash. A run is the matches with
-    one distance between the places in document and item; it holds the item if it has COVERAGE of the item's windows or
-    RUN of them, and if its slots are consistent: a value of the item always becomes the same value. So questions with
-    other numbers or names are found (``n_changed`` slots differ), and texts that merely share a frame are not.
+    sentence) become typed placeholders, neighbouring names or numbers one. Windows of WINDOW such places are joined by
+    hash. A run is the matches with one shift, the distance between the places in document and item, or those with
+    shifts within BAND of each other, each window of the item at the shift that has most; so tokens may be added or
+    dropped. It holds the item if it has COVERAGE of the item's windows or RUN of them, and if its slots are consistent:
+    a value of the item always becomes the same value. So questions with other numbers or names are found
+    (``n_changed`` slots differ), and texts that merely share a frame are not.
 
     Null and empty texts have no windows. Null ids are left out; rows that repeat an id count as one document. Items of
     fewer than LEAST tokens are too short to name and match nothing. No documents or no items: no rows.
@@ -150,11 +160,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = benchmark_windows(benchmark)
     totals = windows.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("all"))
     matches = window_matches(docs, windows).withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
-    run = ["doc_id", "item_id", "shift"]
+    matches = Store(docs.sparkSession).put("matches", matches.select("doc_id", "item_id", "shift", "item_pos", "doc_slots", "item_slots"))
+    shifts = matches.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_pos").alias("n"))
+    # two of the bands 2 * BAND wide hold a shift; shifts within BAND of each other share one
+    start = F.floor(F.col("shift") / BAND).cast("int")
+    wide = matches.join(shifts, ["doc_id", "item_id", "shift"]).withColumn("band", F.explode(F.array(start, start - 1)))
+    wide = wide.groupBy("doc_id", "item_id", "band", "item_pos").agg(F.max(F.struct("n", "shift", "doc_slots", "item_slots")).alias("m"))
+    wide = wide.select("doc_id", "item_id", F.col("band").alias("shift"), "item_pos", "m.doc_slots", "m.item_slots", F.lit(True).alias("wide"))
+    matches = matches.withColumn("wide", F.lit(False)).unionByName(wide)
+    run = ["doc_id", "item_id", "wide", "shift"]
     # both sides have placeholders of the same kinds at the same places, or the keys would differ
     pairs = F.expr("transform(item_slots, (s, i) -> struct(item_pos + int(substring_index(s, ' ', 1)) as at, substr(s, instr(s, ' ') + 1) as of, substr(doc_slots[i], instr(doc_slots[i], ' ') + 1) as to))")
+    # the item's first word, a capital inside a document's sentence, may have joined the name after it
+    value = F.when(F.endswith("s.to", F.concat(F.lit(" "), "s.of")), F.col("s.of")).otherwise(F.col("s.to"))
     runs = matches.groupBy(*run).agg(F.countDistinct("item_pos").alias("n_windows"))
-    slots = matches.where(F.size("item_slots") > 0).select(*run, F.explode(pairs).alias("s")).select(*run, "s.*").distinct()
+    slots = matches.where(F.size("item_slots") > 0).select(*run, F.explode(pairs).alias("s")).select(*run, "s.at", "s.of", value.alias("to")).distinct()
     values = slots.groupBy(*run, "of").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("to").alias("kinds"), F.count_if(F.col("to") != F.col("of")).alias("changed"))
     fits = values.groupBy(*run).agg(F.sum("n").alias("n_slots"), F.sum(F.when(F.col("kinds") == 1, F.col("n")).otherwise(0)).alias("same"), F.sum("changed").alias("n_changed"))
     held = runs.join(totals, "item_id").where((F.col("n_windows") >= COVERAGE * F.col("all")) | (F.col("n_windows") >= RUN))

@@ -159,6 +159,21 @@ def test_leaks_verbatim_and_with_other_parameters(spark):
     assert got[1, 10].n_changed == 0 and got[2, 10].n_changed > 0 and got[2, 10].coverage == 1
 
 
+def test_leaks_with_tokens_added_or_dropped(spark):
+    plain = [f"{prose(70, 38)} end".split()[k] for k in range(38)]
+    changed = [plain[:19] + ["added"] + plain[19:], plain[:19] + plain[20:], plain[:12] + ["added"] + plain[12:25] + ["more"] + plain[25:], plain[:12] + plain[13:25] + ["more"] + plain[25:]]
+    short = "what did the old farmer Ann sell to Bob for 12 coins"
+    named = "what did the old farmer Mary Ann Lee sell to Tom Ray for 1 200 coins"
+    mixed = "the man Ann met the man Ann at the old mill and the man Ann ran to the man Ann"
+    broken = "the man Mary Lee met the man Tom at the old mill and the man Jim Ray ran to the man Bob"
+    rows = [(k, f"{prose(80 + k, 30)} {' '.join(t)} {prose(90 + k, 30)}") for k, t in enumerate(changed)]
+    rows += [(10, f"{prose(60, 30)} {named} {prose(61, 30)}"), (11, f"{prose(62, 30)} {broken} {prose(63, 30)}"), (12, prose(64, 200)), (13, "so who is Tom Ray today"), (14, "Tom Ray today")]
+    bench = spark.createDataFrame([(1, " ".join(plain)), (2, short), (3, mixed), (4, "so who is Ann Lee today")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert set(got) == {*((k, 1) for k in range(4)), (10, 2), (13, 4)}
+    assert got[10, 2].n_changed == 3 and got[10, 2].coverage == 1 and all(got[k, 1].coverage > 0.5 for k in range(4))
+
+
 def test_leaks_of_nothing(spark):
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     assert decontaminate.contaminated(documents(spark, []), bench).count() == 0
