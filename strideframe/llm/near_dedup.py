@@ -19,8 +19,9 @@ REGISTERS, ROWS = 128, 5
 BANDS = REGISTERS // ROWS
 #: Bits of a register's mantissa; the leading zeros take the upper bits.
 MANTISSA = 10
-#: Standard errors by which the estimate of a pair may lie under the limit before the pair is given up.
-DOUBT = 4.0
+#: Standard errors by which the estimate of a pair may lie under the limit before the pair is given up: about
+#: 1.4 links at the limit in 10**8 (4 in 10**5 at 4 standard errors), by the binomial of independent registers.
+DOUBT = 6.0
 #: Members of a bucket that are compared in one piece; a larger bucket is compared by pairs of such pieces.
 PIECE = 1000
 #: Token hashes that a task remembers before it starts anew.
@@ -272,8 +273,8 @@ def near_groups(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
 
     Equal sets are one class, by digest. Class representatives get HyperMinHash registers; bands of registers make
     buckets. Each bucket's least member is first compared with the others: estimated, then confirmed on full sets. What
-    then doesn't hang together in a bucket is compared by pieces, so no link between members of a bucket is lost and no
-    bucket is expanded into pairs. Registers are read again, and full sets made again, only for documents in buckets.
+    then doesn't hang together in a bucket is compared by pieces, so a link between members of a bucket is lost only
+    if its estimate lies DOUBT standard errors under the limit, and no bucket is expanded into pairs. Registers are read again, and full sets made again, only for documents in buckets.
 
     Null and empty texts and texts without words have no shingles and are linked with nothing. Null ids: component null,
     kept. Rows that repeat an id are one node: their texts' links are united, each row has its own ``n_shingles``.

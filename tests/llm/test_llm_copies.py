@@ -1,6 +1,7 @@
 """Operators on copies and passages, and the pipeline."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -143,6 +144,15 @@ def test_estimate_is_near_the_truth():
     assert near_dedup.hopeful(x, y, 0.85)
 
 
+def test_pairs_five_standard_errors_under_the_limit_are_compared():
+    x = np.arange(1, near_dedup.REGISTERS + 1).astype(np.uint16)
+    y = x.copy()
+    y[: round(near_dedup.REGISTERS * (0.15 + 5 * math.sqrt(0.85 * 0.15 / near_dedup.REGISTERS)))] += 1000
+    assert near_dedup.hopeful(x, y, 0.85)
+    y[:] = x + 1000
+    assert not near_dedup.hopeful(x, y, 0.85)
+
+
 # --- decontamination
 
 ITEM = "In March the farmer Johnson sold 12 apples for 30 dollars and then Johnson bought 12 pears for the neighbour Smith who lived 5 km away."
