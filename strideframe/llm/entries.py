@@ -15,6 +15,7 @@ MODULES = [
     "byte_bpe",
     "language_id",
     "substring_dedup",
+    "packing",
 ]
 
 
