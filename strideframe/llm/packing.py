@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +33,21 @@ MARK = 0xFFFFFFFF
 SLICE = 1 << 20
 
 #: Texts without other characters than these are composed already and have lower-case forms that don't depend on their neighbours.
-_OTHER = re.compile("[^\\x00-\\x1b\\x20-\\u024f\\u2010-\\u2027\\u20ac]").search
+_OTHER = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u20ac]").search
 #: White space of the vocabulary's pattern, which str.split() takes with four separators besides.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_SEPARATORS = re.compile("[\\x1c-\\x1f]").search
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _STOP = re.compile("[\"')\\].!?]*[.!?][\"')\\].!?]*</w>").fullmatch
 
 
+def _plain(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _OTHER(text)
+    return True
+
+
 def _byte_letters() -> list[str]:
     """The characters by which byte-level vocabularies write bytes: printable Latin-1 as it is, the others from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -79,8 +86,9 @@ class Units(dict):
         raw = []
         for part in _slices(text):
             # lower case and white space are what the vocabulary's own rules begin with
-            part = part if _OTHER(part) else part.lower()
-            raw += map(self.__getitem__, filter(None, _SPACE.split(part)) if _SEPARATORS(part) else part.split())
+            part = part.lower() if _plain(part) else part
+            units = filter(None, _SPACE.split(part)) if any(x in part for x in _SEPARATORS) else part.split()
+            raw += map(self.__getitem__, units)
         ids = np.frombuffer(b"".join(raw), "<u4")
         marked = ids == MARK
         places = np.flatnonzero(marked)
@@ -101,37 +109,39 @@ def _slices(text: str) -> Iterator[str]:
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, capacity: int = CAPACITY, shortest: int = 1) -> tuple[list[float], list[int]]:
     """Least cost of a packing that ends at each place, and the place (by index) before it.
 
-    ``places`` ascend and the first is where the packing begins. A sequence from one place to another costs SEQUENCE,
+    ``places`` ascend by ``capacity`` at most, and the first is where the packing begins. A sequence from one place to another costs SEQUENCE,
     its padding and the penalty of its end; at a power of two, ``shortest`` at least, there is no padding. The cheapest
     begin within ``capacity`` is the front of a queue that is kept monotone in cost plus place; the few begins a power
     of two back are looked up.
     """
     size = len(places)
-    begins: list[tuple | list] = [()] * size  # of sequences without padding, by end
+    begins: list[tuple] = [()] * size  # of sequences without padding, by end
     for k in range(shortest.bit_length() - 1, capacity.bit_length() - 1):
         found = np.searchsorted(places, places - (1 << k))
         ends = np.flatnonzero(places[found] == places - (1 << k))
         for end, i in zip(ends.tolist(), found[ends].tolist(), strict=True):
             begins[end] = (*begins[end], i)
-    at, ends_cost = places.tolist(), (penalties + SEQUENCE).tolist()
-    cost, before, key, queue = [0] * size, [-1] * size, [at[0]] * size, deque([0])
+    at, extra = places.tolist(), (penalties + SEQUENCE).tolist()
+    first = np.searchsorted(places, places - capacity).tolist()
+    cost, before = [0] * size, [-1] * size
+    # the queue: places by index and their keys, from ``front`` on; the place just before is always in it
+    queue, keys, front = [0], [at[0]], 0
     for j in range(1, size):
-        place = at[j]
-        while queue and at[queue[0]] < place - capacity:
-            queue.popleft()
-        best, begin = float("inf"), -1
-        if queue:
-            begin = queue[0]
-            best = key[begin] + capacity - place
+        while queue[front] < first[j]:
+            front += 1
+        begin, place = queue[front], at[j]
+        best = keys[front] + capacity - place
         for i in begins[j]:
             if cost[i] < best:
                 best, begin = cost[i], i
-        best += ends_cost[j]
-        cost[j], before[j] = best, begin
-        key[j] = best = best + place
-        while queue and key[queue[-1]] >= best:
+        cost[j] = best = best + extra[j]
+        before[j] = begin
+        key = best + place
+        while len(queue) > front and keys[-1] >= key:
             queue.pop()
+            keys.pop()
         queue.append(j)
+        keys.append(key)
     return cost, before
 
 
