@@ -15,6 +15,8 @@ MODULES = [
     "byte_bpe",
     "language_id",
     "substring_dedup",
+    "lexical_search",
+    "spelling",
     "packing",
 ]
 
