@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.operators.matching import match_nearest
 from strideframe.operators.ordered import Lane, Scan, islands, number, scan, shift
 
 #: fixed values
@@ -254,39 +255,26 @@ def boundary_table(members: DataFrame, lane: Lane) -> DataFrame:
     )
 
 
-def boundary_match(predicted: DataFrame, truth: DataFrame, case: str = "case_id", limit: int = 100_000) -> DataFrame:
+def boundary_match(predicted: DataFrame, truth: DataFrame, lane: Lane, case: str = "case_id") -> DataFrame:
     """Score predicted boundaries against truth of the same family, one to one.
 
     Truths take, in order of onset, the nearest unused prediction of their family;
     ties go to the earlier one.  Same onset and resume is a MATCH, otherwise EARLY
-    or LATE by onset; unused predictions are EXTRA.  Both sides: case, family,
-    onset, resume.  Each pick depends on the earlier ones, so the boundaries of one
-    reviewed case are folded within one row; their number is checked first.
+    or LATE by onset; a truth without a prediction is MISSED, unused predictions are
+    EXTRA.  Both sides: case, family, onset, resume.  ``lane`` tells whether a case
+    fits a task; its block is read from ``at``, the onset.
     """
-    from strideframe.operators.expectations import require_none
-
-    cols = [case, "family", F.col("onset").cast("bigint"), F.col("resume").cast("bigint")]
-    rows = truth.select(*cols, F.lit(0).alias("side")).unionByName(predicted.select(*cols, F.lit(1).alias("side")))
-    require_none(rows.groupBy(case, "family").count(), {"oversized_cases": F.col("count") > limit})
-    point = F.struct("onset", F.coalesce("resume", F.lit(-1)).alias("resume"))
-    sides = rows.groupBy(case, "family").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == 0, point))).alias("want"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == 1, point))).alias("have"),
-    )
-    out = "struct<truth_onset: bigint, predicted_onset: bigint, result: string>"
-    row = lambda t, p, r: f"named_struct('truth_onset', {t}, 'predicted_onset', {p}, 'result', {r})"
-    nearest = "array_min(transform(s.free, p -> named_struct('gap', abs(p.onset - t.onset), 'onset', p.onset, 'resume', p.resume, 'i', p.i)))"
-    label = "CASE WHEN b.onset = t.onset AND b.resume = t.resume THEN 'MATCH' WHEN b.onset < t.onset THEN 'EARLY' ELSE 'LATE' END"
-    step = (
-        f"element_at(transform(array({nearest}), b -> CASE WHEN b IS NULL THEN "
-        f"named_struct('free', s.free, 'out', concat(s.out, array({row('t.onset', 'CAST(NULL AS BIGINT)', repr('MISSED'))}))) "
-        "ELSE named_struct('free', filter(s.free, p -> p.i <> b.i), "
-        f"'out', concat(s.out, array({row('t.onset', 'b.onset', label)}))) END), 1)"
-    )
-    free = "transform(have, (p, i) -> named_struct('onset', p.onset, 'resume', p.resume, 'i', i))"
-    extra = row("CAST(NULL AS BIGINT)", "p.onset", "'EXTRA'")
-    folded = (
-        f"aggregate(want, named_struct('free', {free}, 'out', CAST(array() AS ARRAY<{out}>)), (s, t) -> {step}, "
-        f"s -> concat(s.out, transform(s.free, p -> {extra})))"
+    lane = lane.by(case, "family")
+    resume = F.coalesce(F.col("resume").cast("bigint"), F.lit(-1)).alias("tie")
+    same = [case, "family", F.col("onset").alias("at"), resume, F.lit(None).cast("string").alias("id")]
+    none = F.lit(None).cast("bigint")
+    out = match_nearest(truth.select(*same, none.alias("lower"), none.alias("upper")), predicted.select(*same, none.alias("reach")), lane)
+    t, p = F.col("seeker"), F.col("partner")
+    label = (
+        F.when(t.isNull(), "EXTRA")
+        .when(p.isNull(), "MISSED")
+        .when((p["at"] == t["at"]) & (p["tie"] == t["tie"]), "MATCH")
+        .when(p["at"] < t["at"], "EARLY")
+        .otherwise("LATE")
     )
-    return sides.select(case, "family", F.expr(f"inline({folded})"))
+    return out.select(case, "family", t["at"].alias("truth_onset"), p["at"].alias("predicted_onset"), label.alias("result"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from strideframe.operators import events as E
 from strideframe.operators import spells as C
+from strideframe.operators.ordered import lane_for
 from strideframe.plans.fixtures import EV, KEY, OWN, RICH, sql
 from strideframe.plans.registry import query
 
@@ -72,6 +73,11 @@ SEG = f"""{E0}, {FOLD},
 _B = (EV, RICH)
 
 
+def at_lane(fx):
+    """Lane over boundaries by their place in the event stream."""
+    return lane_for(fx.n_events, (), ("at",), "CAST(floor(at / 100000) AS BIGINT)")
+
+
 def stream(fx):
     return E.match_stream_context(fx.rich, OWN)
 
@@ -165,11 +171,34 @@ def spl7(fx):
     return per.groupBy("membership_status").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("parents"))
 
 
-@query("spl8_boundary_match")
+#: One truth after the other takes from the list of free predictions.
+MATCHED = """pr AS (SELECT case_id, family, onset, COALESCE(resume, -1) AS resume FROM predicted),
+ tr AS (SELECT case_id, family, onset, COALESCE(resume, -1) AS resume FROM truth),
+ ids AS (SELECT DISTINCT case_id, family FROM (SELECT case_id, family FROM pr UNION ALL SELECT case_id, family FROM tr)),
+ lists AS (SELECT case_id, family,
+   COALESCE((SELECT list({'onset': onset, 'resume': resume} ORDER BY onset, resume) FROM tr t WHERE t.case_id = ids.case_id AND t.family = ids.family), []) AS want,
+   COALESCE((SELECT list({'onset': onset, 'resume': resume, 'i': i} ORDER BY i) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id, family ORDER BY onset, resume) AS i FROM pr) p
+     WHERE p.case_id = ids.case_id AND p.family = ids.family), []) AS have FROM ids),
+ picks AS (SELECT case_id, family, 0 AS n, want, have AS free, NULL::BIGINT AS truth_onset, NULL::BIGINT AS truth_resume, NULL::BIGINT AS predicted_onset, NULL::BIGINT AS predicted_resume FROM lists
+  UNION ALL SELECT case_id, family, n + 1, want, list_filter(free, lambda p: b.i IS NULL OR p.i <> b.i), want[n + 1].onset, want[n + 1].resume, b.onset, b.resume FROM (
+   SELECT *, list_sort(list_transform(free, lambda p: {'gap': abs(p.onset - want[n + 1].onset), 'onset': p.onset, 'resume': p.resume, 'i': p.i}))[1] AS b FROM picks WHERE n < len(want))),
+ matched AS (SELECT case_id, family, truth_onset, predicted_onset, CASE WHEN predicted_onset IS NULL THEN 'MISSED' WHEN predicted_onset = truth_onset AND predicted_resume = truth_resume THEN 'MATCH'
+   WHEN predicted_onset < truth_onset THEN 'EARLY' ELSE 'LATE' END AS result FROM picks WHERE n > 0
+  UNION ALL SELECT case_id, family, NULL, p.onset, 'EXTRA' FROM (SELECT case_id, family, unnest(free) AS p FROM picks WHERE n = len(want)))"""
+
+
+@query(
+    "spl8_boundary_match",
+    sql(
+        f"""{SEG}, {BND}, predicted AS (SELECT match_id || '-' || period || '-' || possession_id AS case_id, boundary_type AS family, onset_event AS onset, resume_event AS resume FROM bd),
+ truth AS (SELECT case_id, family, onset + CASE onset % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS onset, resume FROM predicted WHERE onset % 7 <> 0), {MATCHED} SELECT * FROM matched""",
+        *_B,
+    ),
+)
 def spl8(fx):
     """Predicted boundaries against a shifted and thinned copy of themselves."""
     b = C.boundary_table(members(fx), fx.lane(*KEY)).selectExpr(
         "concat_ws('-', match_id, period, possession_id) AS case_id", "boundary_type AS family", "onset_event AS onset", "resume_event AS resume"
     )
     truth = b.where("onset % 7 <> 0").withColumn("onset", F.expr("onset + CASE onset % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END"))
-    return C.boundary_match(b, truth)
+    return C.boundary_match(b, truth, at_lane(fx))
