@@ -296,20 +296,3 @@ def drawdown_detector(stream: DataFrame, lane: Lane, versions: Sequence[str] = V
         if state.isEmpty():
             return out.drop("base")
         live = live.drop("base", "decided", "rearm", "mode").join(state, list(lane.keys)).where("base IS NULL OR event_index >= base")
-
-
-def score_predictions(predicted: DataFrame, truth: DataFrame, masks: DataFrame, lane: Lane) -> DataFrame:
-    """Match predictions to truth; those whose onset..end overlaps a mask are UNSCORED.
-
-    predicted, truth: case_id, family, onset, end_event (null: the onset), resume; masks: case_id, lo, hi.
-    """
-    from strideframe.operators.spells import boundary_match
-
-    def tag(df: DataFrame) -> DataFrame:
-        return in_masks(df.withColumn("__end", F.coalesce("end_event", "onset")), masks, lane, "onset", "__end").drop("__end", "end_event")
-
-    p, t = tag(predicted), tag(truth)
-    scored = boundary_match(p.where("NOT masked").drop("masked"), t.where("NOT masked").drop("masked"))
-    gone = p.where("masked").select("case_id", "family", F.lit(None).cast("bigint").alias("truth_onset"), F.col("onset").alias("predicted_onset"))
-    lost = t.where("masked").select("case_id", "family", F.col("onset").alias("truth_onset"), F.lit(None).cast("bigint").alias("predicted_onset"))
-    return scored.unionByName(gone.unionByName(lost).withColumn("result", F.lit("UNSCORED")))

@@ -405,15 +405,6 @@ def rpl1(fx):
     return replayed(fx, P.VERSIONS)
 
 
-@query("rpl2_score_predictions")
-def rpl2(fx):
-    pred = replayed(fx, ["v0.3"]).where("resolution = 'CONFIRMED'")
-    pred = pred.selectExpr("case_id", "'CLEAR_RESET' AS family", "onset", "end_event", "CAST(NULL AS BIGINT) AS resume")
-    truth = ledger(fx).where("boundary_type = 'CLEAR_RESET' AND onset IS NOT NULL")
-    truth = truth.selectExpr("case_id", "boundary_type AS family", "onset", "resume AS end_event", "CAST(NULL AS BIGINT) AS resume")
-    return P.score_predictions(pred, truth, masks(fx), case_lane(fx, "case_id"))
-
-
 # --- labels --------------------------------------------------------------------------------
 
 METRICS = ["l_quantity", "l_extendedprice", "tax"]
