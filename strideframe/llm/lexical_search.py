@@ -15,7 +15,7 @@ from .common import LOWER_AZ, UPPER_AZ, Store, lower_az, read
 #: Hits of an item.
 TOP = 50
 #: Documents and terms with repeats at which a shard is full, and bytes of text that are cut into terms at once.
-SHARD_DOCS, SHARD_TERMS, SLICE = 8192, 1 << 22, 1 << 22
+SHARD_DOCS, SHARD_TERMS, SLICE = 4096, 1 << 21, 1 << 22
 #: Documents of a block; lists up to this long have one block and are always opened.
 BLOCK = 64
 #: Terms of the items that are searched for together.
@@ -102,7 +102,7 @@ class _Shard:
         self.n = len(lengths)
         self.long = sorted((t for t, (docs, _) in self.lists.items() if len(docs) > size), key=lambda t: (len(self.lists[t][0]), t))
         self.column = {t: c for c, t in enumerate(self.long)}
-        self.impacts = np.zeros((self.n, len(self.long)), np.int64)
+        self.impacts = np.zeros((self.n, len(self.long)), np.int32)  # under a million each
         for t, c in self.column.items():
             self.impacts[self.lists[t][0], c] = self.lists[t][1]
         self._block(items, size)
@@ -114,8 +114,11 @@ class _Shard:
             columns = [self.column[t] for t in item.tolist() if t in self.column]
             for c in columns:
                 together[c].append(columns)
-        scaled = self.impacts * (self.weights[self.long] / 1e9)
-        sketch = (scaled @ np.random.default_rng(SKETCH).standard_normal((len(self.long), SKETCH))).astype(np.float32)
+        sketch = np.zeros((self.n, SKETCH), np.float32)
+        directions = np.random.default_rng(SKETCH).standard_normal((len(self.long), SKETCH))
+        for t, along in zip(self.long, directions, strict=True):
+            docs, impacts = self.lists[t]
+            sketch[docs] += (impacts * (self.weights[t] / 1e9))[:, None] * along
         self.blocks = []
         for c, t in enumerate(self.long):
             docs = self.lists[t][0]
@@ -127,7 +130,7 @@ class _Shard:
             # later columns are all that counts when this list is opened
             columns = np.unique(np.concatenate([np.array(x)[np.array(x) >= c] for x in together[c]]))
             docs = docs[order]
-            self.blocks.append((np.split(docs, starts[1:]), columns, np.maximum.reduceat(self.impacts[np.ix_(docs, columns)], starts, axis=0)))
+            self.blocks.append((np.split(docs, starts[1:]), columns, np.maximum.reduceat(self.impacts[np.ix_(docs, columns)], starts, axis=0).astype(np.int64)))
 
     def search(self, item: np.ndarray, top: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores that include the ``top`` best of at least ``least``.
