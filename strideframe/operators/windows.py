@@ -249,6 +249,11 @@ def join_terminal_outcomes(win: DataFrame, outcomes: DataFrame, columns: Sequenc
     return j.withColumn("outcome_missing", F.col("__e").isNull()).drop("__m", "__e")
 
 
+def exact_mean(x: Column) -> Column:
+    """Mean whose sum doesn't depend on the order of rows: values count to twelve decimals."""
+    return F.sum(x.cast("decimal(38,12)")).cast("double") / F.count(x)
+
+
 def effectiveness_description(win: DataFrame, by: Sequence[str], horizon: str, small: bool) -> DataFrame:
     """Raw outcome rates per group."""
     x = F.col(f"future_xg_{horizon}")
@@ -259,9 +264,9 @@ def effectiveness_description(win: DataFrame, by: Sequence[str], horizon: str, s
         F.mean(f"box_entry_within_{horizon}").alias("box_entry_rate"),
         F.sum(f"shot_within_{horizon}").alias("shot_n"),
         F.mean(f"shot_within_{horizon}").alias("shot_rate"),
-        F.mean(x).alias("mean_future_xg"),
+        exact_mean(x).alias("mean_future_xg"),
         F.mean((x > 0).cast("int")).alias("proportion_positive_xg"),
-        F.mean(F.when(x > 0, x)).alias("mean_positive_xg"),
+        exact_mean(F.when(x > 0, x)).alias("mean_positive_xg"),
         F.count_if(x.isNull()).alias("missing_xg_n"),
     )
     q = exact_quantiles(win, by, "total_progression", {"median_total_progression": 0.5}, small)

@@ -10,6 +10,7 @@ from strideframe.operators import quality as Q
 from strideframe.plans.fixtures import GEO_METRICS, LONG, RPT, VAR, sql
 from strideframe.plans.q_points import _ACTOR, POLY
 from strideframe.plans.registry import query
+from strideframe.sources.stage import durable
 
 V = "selected_subset, goalkeeper_policy"
 _B = (RPT, VAR)
@@ -318,8 +319,7 @@ BY = f"{V}, metric, candidate"
 
 
 def grid(fx):
-    g = geometry(fx)
-    return L.Grid(G.metric_rows(g, [*CTX, *G.VARIANT]), g, framed(fx).select("visible_area_fraction"), candidates(fx), fx.small_frames)
+    return L.Grid(durable(geometry(fx)), CTX, framed(fx).select("visible_area_fraction"), candidates(fx), fx.small_frames)
 
 
 @query("cal2_empirical_thresholds", sql(f"{PREP}, {THR} SELECT {V}, variable, quantile, ROUND(threshold, 6) AS threshold FROM th", *_B))
@@ -337,11 +337,13 @@ def cal3(fx):
 
 @query("cal4_eligibility", sql(f"{JUDGE} SELECT {BY}, COUNT(*) AS n_rows, COUNT(*) FILTER (eligible) AS eligible, SUM(frame_id) FILTER (eligible)::BIGINT AS id_sum FROM jd GROUP BY ALL", *_B))
 def cal4(fx):
-    g = geometry(fx)
-    th = L.empirical_thresholds(g, framed(fx).select("visible_area_fraction"), fx.small_frames)
-    j = L.judged(G.metric_rows(g, [*CTX, *G.VARIANT]), L.candidate_rules(candidates(fx), th))
+    """Counts by mask first, then per candidate."""
+    of = grid(fx)
+    counts = of.masked.groupBy(*G.VARIANT, "metric", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_id").alias("ids"))
     e = F.col("eligible")
-    return j.groupBy(*L.BY).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(e).alias("eligible"), F.sum(F.when(e, F.col("frame_id"))).alias("id_sum"))
+    return L.by_candidate(counts, of.candidates).groupBy(*L.BY).agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(e, F.col("n"))), F.lit(0)).alias("eligible"), F.sum(F.when(e, F.col("ids"))).alias("id_sum")
+    )
 
 
 @query(

@@ -208,10 +208,10 @@ _X = f"future_xg_{MAIN}"
     sql(
         f"""{TERM}, d AS (SELECT 'motif' AS grp, action_type_motif AS value, * FROM te UNION ALL SELECT 'direction', direction_profile, * FROM te UNION ALL SELECT 'third', starting_third, * FROM te
   UNION ALL SELECT 'carries', carry_action_count::VARCHAR, * FROM te)
- SELECT window_length, grp AS grouping, value, COUNT(*) AS n, COUNT(DISTINCT match_id) AS matches, SUM(box_entry_within_{MAIN}) AS box_entry_n, ROUND(AVG(box_entry_within_{MAIN}), 6) AS box_entry_rate,
-  SUM(shot_within_{MAIN}) AS shot_n, ROUND(AVG(shot_within_{MAIN}), 6) AS shot_rate, ROUND(AVG({_X}), 6) AS mean_future_xg,
-  ROUND(AVG(CASE WHEN {_X} > 0 THEN 1 WHEN {_X} IS NOT NULL THEN 0 END), 6) AS proportion_positive_xg, ROUND(AVG({_X}) FILTER ({_X} > 0), 6) AS mean_positive_xg,
-  COUNT(*) FILTER ({_X} IS NULL) AS missing_xg_n, ROUND(MEDIAN(total_progression), 6) AS median_total_progression FROM d GROUP BY ALL""",
+ SELECT window_length, grp AS grouping, value, COUNT(*) AS n, COUNT(DISTINCT match_id) AS matches, SUM(box_entry_within_{MAIN}) AS box_entry_n, ROUND(AVG(box_entry_within_{MAIN}), 10) AS box_entry_rate,
+  SUM(shot_within_{MAIN}) AS shot_n, ROUND(AVG(shot_within_{MAIN}), 10) AS shot_rate, ROUND(SUM({_X}::DECIMAL(38, 12))::DOUBLE / COUNT({_X}), 10) AS mean_future_xg,
+  ROUND(AVG(CASE WHEN {_X} > 0 THEN 1 WHEN {_X} IS NOT NULL THEN 0 END), 10) AS proportion_positive_xg, ROUND(SUM({_X}::DECIMAL(38, 12)) FILTER ({_X} > 0)::DOUBLE / COUNT(*) FILTER ({_X} > 0), 10) AS mean_positive_xg,
+  COUNT(*) FILTER ({_X} IS NULL) AS missing_xg_n, ROUND(MEDIAN(total_progression), 10) AS median_total_progression FROM d GROUP BY ALL""",
         *BASE,
     ),
 )
@@ -221,7 +221,7 @@ def mot10(fx):
         for n, c in (("motif", "action_type_motif"), ("direction", "direction_profile"), ("third", "starting_third"), ("carries", "carry_action_count"))
     ])
     rows = durable(terminal(fx)).select("*", F.inline(g))
-    return rd(N.effectiveness_description(rows, ["window_length", "grouping", "value"], MAIN, fx.small))
+    return rd(N.effectiveness_description(rows, ["window_length", "grouping", "value"], MAIN, fx.small), 10)
 
 
 @query("mot11_motif_logit")
