@@ -56,6 +56,14 @@ class Scan:
     exclusive: bool = False
 
 
+@dataclass(frozen=True)
+class Shift:
+    """The value ``k`` rows back (``k`` < 0: ahead), null where there is no such row."""
+
+    expr: str
+    k: int = 1
+
+
 def _fold(fn: str, c: Column) -> Column:
     if fn == "last":
         return F.last(c, ignorenulls=True)
@@ -91,33 +99,62 @@ def _combine(fn: str, inside: Column, carried: Column) -> Column:
     return F.coalesce(inside, carried) if fn == "last" else F.coalesce(carried, inside)
 
 
-def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan]) -> DataFrame:
-    """Add one running column per spec."""
+def _inside(s: Scan | Shift, keys: Iterable[str], order: tuple[str, ...]) -> Column:
+    if isinstance(s, Shift):
+        return F.lag(F.expr(s.expr), s.k).over(Window.partitionBy(*keys).orderBy(*order))
+    return _fold(s.fn, F.expr(s.expr)).over(_window(keys, order, s))
+
+
+def _ends(s: Shift, order: tuple[str, ...]) -> Column:
+    """The rows of a block that its neighbours may ask for, in order: the last or the first ``k``."""
+    near = F.col("__rev" if s.k > 0 else "__pos") <= abs(s.k)
+    return F.array_sort(F.collect_list(F.when(near, F.struct(*order, F.expr(s.expr).alias("__v")))))
+
+
+def _carry(name: str, s: Scan | Shift, lane: Lane) -> Column:
+    """A block's summary merged over the blocks before it (after it, where the scan runs backward or the shift looks ahead)."""
+    c = F.col(f"__b_{name}")
+    if isinstance(s, Scan):
+        return _fold("sum" if s.fn == "count" else s.fn, c).over(_window(lane.keys, [_BLK], replace(s, exclusive=True)))
+    # a block has a row at least, so as many blocks as rows are enough
+    reach = (-s.k, -1) if s.k > 0 else (1, -s.k)
+    return F.flatten(F.collect_list(c).over(Window.partitionBy(*lane.keys).orderBy(_BLK).rowsBetween(*reach)))
+
+
+def _join(name: str, s: Scan | Shift) -> Column:
+    inside, carried = F.col(name), F.col(f"__c_{name}")
+    if isinstance(s, Scan):
+        return _combine(s.fn, inside, carried)
+    # the k-th row back lies outside if the row's place in its block is k at most
+    place = F.col("__pos" if s.k > 0 else "__rev")
+    from_end = place - 1 - s.k if s.k > 0 else 1 - s.k - place
+    return F.when(place > abs(s.k), inside).otherwise(F.try_element_at(carried, F.when(place <= abs(s.k), from_end.cast("int")).otherwise(1))["__v"])
+
+
+def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan | Shift]) -> DataFrame:
+    """Add one column per spec, a running aggregate or a shifted value; all of one call share a pass and, in blocks, a store.
+
+    A block's summary holds what the blocks beside it need of every spec: a count, a sum, an extreme, the latest value, or
+    the last (first) k rows. Summaries merge in order of the blocks, whatever the number of specs.
+    """
     if lane.block is None:
-        return df.withColumns(
-            {n: _fold(s.fn, F.expr(s.expr)).over(_window(lane.keys, lane.order, s)) for n, s in specs.items()}
-        )
+        return df.withColumns({n: _inside(s, lane.keys, lane.order) for n, s in specs.items()})
     # stored once: the rows are read twice below, and chained scans would otherwise
     # double the plan each time
     cut = durable(df.withColumn(_BLK, F.expr(lane.block)))
     keys = [*lane.keys, _BLK]
-    inside = cut.withColumns(
-        {n: _fold(s.fn, F.expr(s.expr)).over(_window(keys, lane.order, s)) for n, s in specs.items()}
-    )
-    parts = cut.groupBy(*keys).agg(*[_block_value(s, lane.order).alias(f"__b_{n}") for n, s in specs.items()])
-    carried = parts.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        *[
-            _fold("sum" if s.fn == "count" else s.fn, F.col(f"__b_{n}")).over(_window(lane.keys, [_BLK], replace(s, exclusive=True))).alias(f"__c_{n}")
-            for n, s in specs.items()
-        ],
+    shifts = [s for s in specs.values() if isinstance(s, Shift)]
+    if shifts:
+        w = Window.partitionBy(*keys)
+        cut = cut.withColumns({"__pos": F.row_number().over(w.orderBy(*lane.order)), "__rev": F.row_number().over(w.orderBy(*[F.col(o).desc() for o in lane.order]))})
+    inside = cut.withColumns({n: _inside(s, keys, lane.order) for n, s in specs.items()})
+    parts = cut.groupBy(*keys).agg(
+        *[(_ends(s, lane.order) if isinstance(s, Shift) else _block_value(s, lane.order)).alias(f"__b_{n}") for n, s in specs.items()]
     )
+    carried = parts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[_carry(n, s, lane).alias(f"__c_{n}") for n, s in specs.items()])
     on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
     out = inside.join(carried, on, "left")
-    return out.select(
-        *[c for c in df.columns if c not in specs],
-        *[_combine(s.fn, F.col(n), F.col(f"__c_{n}")).alias(n) for n, s in specs.items()],
-    )
+    return out.select(*[c for c in df.columns if c not in specs], *[_join(n, s).alias(n) for n, s in specs.items()])
 
 
 def number(df: DataFrame, lane: Lane, name: str, start: int = 1) -> DataFrame:
@@ -131,19 +168,7 @@ def number(df: DataFrame, lane: Lane, name: str, start: int = 1) -> DataFrame:
 
 def shift(df: DataFrame, lane: Lane, specs: dict[str, str], k: int = 1) -> DataFrame:
     """``k`` > 0 looks back (lag), ``k`` < 0 looks ahead (lead)."""
-    if lane.block is None:
-        w = Window.partitionBy(*lane.keys).orderBy(*lane.order)
-        return df.withColumns({n: F.lag(F.expr(e), k).over(w) for n, e in specs.items()})
-    back = k > 0
-    names = list(specs)
-    packed = ", ".join(f"'{n}', {e}" for n, e in specs.items())
-    out = df
-    for step in range(abs(k)):
-        expr = f"named_struct({packed})" if step == 0 else "named_struct('p', __row)"
-        out = scan(out, lane, {"__row": Scan("last", expr, backward=not back, exclusive=True)})
-        if step:
-            out = out.withColumn("__row", F.col("__row.p"))
-    return out.withColumns({n: F.col(f"__row.{n}") for n in names}).drop("__row")
+    return scan(df, lane, {n: Shift(e, k) for n, e in specs.items()})
 
 
 def islands(df: DataFrame, lane: Lane, head: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.functions import points as P
-from strideframe.operators.ordered import Lane, Scan, islands, number, scan, shift
+from strideframe.operators.ordered import Lane, Scan, Shift, islands, number, scan, shift
 from strideframe.operators.quantiles import distribution
 from strideframe.operators.sequences import long_rows
 
@@ -122,8 +122,7 @@ def recovery_inventory(path: DataFrame, lane: Lane) -> DataFrame:
         F.max_by(point, at).alias("last"),
     )
     big = Lane(lane.keys, ("__island",), "CAST(floor(__island / 100000) AS BIGINT)" if lane.block else None)
-    parts = shift(parts, big, {"next": "peak"}, -1)
-    parts = scan(parts, big, {"top_after": Scan("max", "peak.x", backward=True, exclusive=True)})
+    parts = scan(parts, big, {"next": Shift("peak", -1), "top_after": Scan("max", "peak.x", backward=True, exclusive=True)})
     got = F.col("next").isNotNull()
     seen = F.when(got, F.col("next")).otherwise(F.col("last"))
     wait = lambda a, b: (a.getField("t_us") - b.getField("t_us")) / 1e6
@@ -371,8 +370,7 @@ def measurement_state(stream: DataFrame, lane: Lane) -> DataFrame:
     ).where("safe_action AND NOT failed")
     s = s.withColumn("__v", F.expr("CASE WHEN restart THEN end_x ELSE greatest(start_x, end_x) END"))
     s = s.withColumn("dx", F.col("end_x") - F.col("start_x"))
-    s = scan(s, lane, {"__old": Scan("max", "__v", exclusive=True)})
-    s = shift(s, lane, {"__pe": "end_x", "__pt": "__trig"})
+    s = scan(s, lane, {"__old": Scan("max", "__v", exclusive=True), "__pe": Shift("end_x"), "__pt": Shift("__trig")})
     s = s.withColumn(
         "__step",
         F.expr(
@@ -385,8 +383,7 @@ def measurement_state(stream: DataFrame, lane: Lane) -> DataFrame:
     s = scan(s, runs, {"nonpositive_run": Scan("sum", "CAST(dx <= 0 AND NOT restart AS INT)")})
     back = "CASE WHEN NOT restart THEN greatest(-dx, 0D) END"
     since = lane.by(*lane.keys, "__res")
-    s = shift(s, since, {"__b1": back}, 1)
-    s = shift(s, since, {"__b2": back}, 2)
+    s = scan(s, since, {"__b1": Shift(back), "__b2": Shift(back, 2)})
     s = s.withColumn("recent_backward", F.expr(f"CASE WHEN restart THEN NULL ELSE greatest({back}, __b1, __b2) END"))
     s = s.withColumns(
         {

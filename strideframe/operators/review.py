@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.operators.ordered import Lane, Scan, islands, number, scan, shift
+from strideframe.operators.ordered import Lane, Scan, Shift, islands, scan, shift
 
 KINDS = {"positive": "delta_x > 0", "negative": "delta_x < 0", "nonpositive": "delta_x <= 0"}
 
@@ -19,11 +19,9 @@ def complete_timeline(stream: DataFrame, lane: Lane) -> DataFrame:
     up to and including the row.
     """
     safe = "safe_action"
-    s = number(stream, lane, "event_position", start=0)
-    s = shift(s, lane, {"__t": "t_us"})
-    s = s.withColumn("prior_gap_seconds", (F.col("t_us") - F.col("__t")) / 1e6)
     top = f"CASE WHEN {safe} THEN greatest(start_x, end_x) END"
-    s = scan(s, lane, {"__old": Scan("max", top, exclusive=True), "peak_x": Scan("max", top)})
+    s = scan(stream, lane, {"event_position": Scan("count", "1"), "__t": Shift("t_us"), "__old": Scan("max", top, exclusive=True), "peak_x": Scan("max", top)})
+    s = s.withColumns({"event_position": F.col("event_position") - 1, "prior_gap_seconds": (F.col("t_us") - F.col("__t")) / 1e6})
     s = s.withColumn("__head", F.expr(f"{safe} AND (__old IS NULL OR greatest(start_x, end_x) >= __old)"))
     mark = "CASE WHEN __head THEN named_struct('i', event_index, 't', t_us, 'p', event_position, 'x', greatest(start_x, end_x)) END"
     s = scan(
@@ -60,7 +58,7 @@ def local_peak_count(path: DataFrame, lane: Lane) -> DataFrame:
     """Strict interior peaks per group once equal neighbours are collapsed."""
     order = lane.ordered(*lane.order, "vertex_no")
     moved = shift(path, order, {"__p": "x"}).where("__p IS NULL OR __p <> x")
-    looked = shift(shift(moved, order, {"__l": "x"}), order, {"__r": "x"}, -1)
+    looked = scan(moved, order, {"__l": Shift("x"), "__r": Shift("x", -1)})
     peak = F.coalesce((F.col("x") > F.col("__l")) & (F.col("x") > F.col("__r")), F.lit(False))
     return looked.groupBy(*lane.keys).agg(F.count_if(peak).alias("local_peaks"))
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.operators.ordered import Lane, Scan, number, scan, shift
+from strideframe.operators.ordered import Lane, Shift, number, scan, shift
 from strideframe.operators.quantiles import cumulative_counts, distribution, exact_quantiles, min_ranks
 
 #: fixed values: event types reported by name and coverage levels
@@ -132,8 +132,7 @@ def temporal_tuples(
 ) -> DataFrame:
     """Overlapping runs of n consecutive anchors spanning at most s microseconds."""
     anchors = stream.where("validated_anchor").select(*lane.keys, *{*lane.order, "event_index", "t_us"})
-    for n in sorted({n for n, _ in (*tuples, *any_of)}):
-        anchors = shift(anchors, lane, {f"__t{n}": "t_us"}, n - 1)
+    anchors = scan(anchors, lane, {f"__t{n}": Shift("t_us", n - 1) for n in sorted({n for n, _ in (*tuples, *any_of)})})
     within = lambda n, s: F.coalesce((F.col("t_us") - F.col(f"__t{n}")) <= s, F.lit(False))
     per_group = anchors.groupBy(*lane.keys).agg(
         *[F.count_if(within(n, s)).alias(f"c{n}_{s}") for n, s in tuples],

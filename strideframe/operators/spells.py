@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.operators.matching import match_nearest
-from strideframe.operators.ordered import Lane, Scan, islands, number, scan, shift
+from strideframe.operators.ordered import Lane, Scan, Shift, islands, scan, shift
 
 #: fixed values
 ADMIN = ("Starting XI", "Half Start", "Half End", "Substitution", "Tactical Shift", "Player On", "Player Off")
@@ -82,8 +82,7 @@ def control_runs(rows: DataFrame, lane: Lane, own: int) -> DataFrame:
         F.min("__later").alias("__later"),
     )
     order = Lane((*lane.keys, "seg"), ("run",), "CAST(floor(run / 100000) AS BIGINT)" if lane.block else None)
-    runs = scan(runs, order, {"owner": Scan("last", "CASE WHEN confirmation IS NOT NULL THEN team END", exclusive=True)})
-    runs = shift(runs, order, {"__next": "team"}, -1)
+    runs = scan(runs, order, {"owner": Scan("last", "CASE WHEN confirmation IS NOT NULL THEN team END", exclusive=True), "__next": Shift("team", -1)})
     owner = F.coalesce("owner", F.lit(own))
     foreign = F.col("team") != owner
     followed = F.when(F.col("__next").isNull(), F.coalesce("__later", F.lit(0)) == 0).otherwise(F.col("__next") == owner)
@@ -176,8 +175,8 @@ def segment(stream: DataFrame, lane: Lane, own: int) -> DataFrame:
         .when(F.col("__lost") & ended, "OPPONENT_CONTROL")
     )
     rows = rows.withColumn("boundary_reason", reason)
-    rows = shift(rows, lane, {"__nn": "coalesce(spell_number, -1)", "__nr": "coalesce(boundary_reason, '')"}, -1)
-    rows = shift(rows, lane, {"__pn": "coalesce(spell_number, -1)"})
+    named = "coalesce(spell_number, -1)"
+    rows = scan(rows, lane, {"__nn": Shift(named, -1), "__nr": Shift("coalesce(boundary_reason, '')", -1), "__pn": Shift(named)})
     member = F.col("spell_number").isNotNull()
     status = (
         F.when(~F.col("__attacks"), F.when(F.col("__admin"), "administrative_no_spell").otherwise("insufficient_context_no_spell"))

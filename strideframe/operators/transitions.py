@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strideframe.functions import points as P
 from strideframe.operators.events import starting_third
 from strideframe.operators.models import ols_cr1
-from strideframe.operators.ordered import Lane, number, shift
+from strideframe.operators.ordered import Lane, Scan, Shift, scan, shift
 from strideframe.operators.quantiles import LADDER, distribution, exact_quantiles, spearman
 
 SIDES = ("all", "own", "opp")
@@ -68,9 +68,17 @@ def anchor_order(anchors: DataFrame, lane: Lane) -> DataFrame:
 
     ``member_order`` is the event's place among all session members.
     """
-    out = number(anchors, lane, "anchor_order")
-    out = shift(out, lane, {"previous_anchor_id": "event_id", "__t": "t_us", "__m": "member_order"})
-    out = shift(out, lane, {"next_anchor_id": "event_id"}, -1)
+    out = scan(
+        anchors,
+        lane,
+        {
+            "anchor_order": Scan("count", "1"),
+            "previous_anchor_id": Shift("event_id"),
+            "__t": Shift("t_us"),
+            "__m": Shift("member_order"),
+            "next_anchor_id": Shift("event_id", -1),
+        },
+    )
     out = out.withColumns(
         {
             "seconds_from_previous": (F.col("t_us") - F.col("__t")) / 1e6,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strideframe.functions import points as P
 from strideframe.operators.events import starting_third
 from strideframe.operators.models import linear_contrast, logit_cr1, ols_cr1_multi, t_quantile
-from strideframe.operators.ordered import Lane, shift
+from strideframe.operators.ordered import Lane, Shift, scan
 from strideframe.operators.quantiles import distribution, exact_quantiles
 
 ALPHABET = {"action": "PC", "direction": "FR"}
@@ -69,8 +69,7 @@ def windows(anchors: DataFrame, eligible: DataFrame, lane: Lane, ks: Sequence[in
         *values,
     )
     rows = j.select(*lane.keys, *[o for o in lane.order if o not in lane.keys], "anchor_order", state.alias("s0"))
-    for i in range(1, max(ks) + 1):
-        rows = shift(rows, lane, {f"s{i}": "s0"}, -i)
+    rows = scan(rows, lane, {f"s{i}": Shift("s0", -i) for i in range(1, max(ks) + 1)})
     chains = [
         F.when(
             F.col(f"s{k}").isNotNull(), F.struct(F.lit(k).alias("window_length"), F.array(*[F.col(f"s{i}") for i in range(k + 1)]).alias("states"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import points as P
 from strideframe.operators import models as M
-from strideframe.operators.ordered import Lane, Scan, number, scan, shift
+from strideframe.operators.ordered import Lane, Scan, Shift, number, scan, shift
 from strideframe.operators.outcomes import anchor_outcomes
 from strideframe.operators.quantiles import average_ranks, exact_quantiles
 
@@ -38,6 +38,20 @@ def test_blocked_scans_equal_plain_windows(spark):
         _same(shift(df, plain, {"p": "v", "q": "i"}, k), shift(df, cut, {"p": "v", "q": "i"}, k))
 
 
+def test_scans_and_shifts_share_a_pass(spark, monkeypatch):
+    """One store a call, and shifts that reach over several short or missing blocks."""
+    from strideframe.operators import ordered
+
+    df = _rows(spark).where("i % 11 < 6 OR g = 'b'").withColumn("s", F.struct("i", "v"))
+    specs = {f"k{k}": Shift("s", k) for k in (-9, -4, -1, 1, 3, 8)} | {"n": Scan("count", "1"), "old": Scan("last", "v", exclusive=True)}
+    stores, durable = [], ordered.durable
+    monkeypatch.setattr(ordered, "durable", lambda df: stores.append(1) or durable(df))
+    for width in (1, 3, 100):
+        stores.clear()
+        _same(scan(df, Lane(("g",), ("i",)), specs), scan(df, Lane(("g",), ("i",), f"CAST(floor(i / {width}) AS BIGINT)"), specs))
+        assert len(stores) == 1
+
+
 def test_exact_quantiles_and_ranks(spark):
     df = _rows(spark).where("v IS NOT NULL")
     qs = {"a": 0.05, "m": 0.5, "z": 0.9}
