@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.operators.ordered import Lane, Scan, lane_for, scan
@@ -199,6 +199,99 @@ def nesting_violations(labels: DataFrame, horizons: Sequence[str]) -> DataFrame:
     )
 
 
+def reconstruct_outcomes(anchors: DataFrame, outcomes: DataFrame, session: Sequence[str], horizons: dict[str, int]) -> DataFrame:
+    """The labels of ``anchor_outcomes`` by another route: a range join over time buckets.
+
+    A bucket is as wide as the longest horizon, so an anchor meets the outcomes of its own bucket and the next by
+    equality; later buckets count by their totals only, summed from the far end. Pairs are bounded by what lies in two
+    buckets, not by the session. Columns are those of ``anchor_outcomes``.
+    """
+    session, width = list(session), max(horizons.values())
+    bucket = lambda t: F.floor(F.col(t) / width).cast("bigint")
+    a = anchors.select(*session, "event_id", "event_index", "t_us", bucket("t_us").alias("__b"))
+    o = outcomes.select(
+        *session,
+        bucket("t_us").alias("__ob"),
+        F.struct(F.col("event_index").alias("i"), F.col("event_id").alias("id"), F.col("t_us").alias("t"), F.col("shot_xg").alias("xg")).alias("__o"),
+        (F.col("outcome_type") == "shot").alias("__shot"),
+    )
+    shot, entry = F.col("__shot"), ~F.col("__shot")
+    exact = F.coalesce(F.col("__o.xg"), F.lit(0)).cast(_SCALE)
+    gone = shot & F.col("__o.xg").isNull()
+
+    near = a.withColumn("__ob", F.explode(F.array(F.col("__b"), F.col("__b") + 1)))
+    pairs = near.join(o, [*session, "__ob"]).where(F.col("__o.i") >= F.col("event_index"))
+    wait = F.col("__o.t") - F.col("t_us")
+    key = [*session, "event_id", "event_index", "t_us", "__b"]
+    met = pairs.groupBy(*key).agg(
+        *[F.max(entry & (wait <= us)).alias(f"__e_{h}") for h, us in horizons.items()],
+        *[F.max(shot & (wait <= us)).alias(f"__s_{h}") for h, us in horizons.items()],
+        *[F.sum(F.when(shot & (wait <= us), exact)).alias(f"__x_{h}") for h, us in horizons.items()],
+        *[F.count_if(gone & (wait <= us)).alias(f"__g_{h}") for h, us in horizons.items()],
+        F.sum(F.when(shot, exact)).alias("__x"),
+        F.count_if(gone).alias("__g"),
+        F.min(F.when(entry, F.col("__o"))).alias("__e"),
+        F.min(F.when(shot, F.col("__o"))).alias("__s"),
+    )
+    totals = o.groupBy(*session, F.col("__ob").alias("__at")).agg(
+        F.sum(F.when(shot, exact)).alias("x"), F.count_if(gone).alias("g"), F.min(F.when(entry, F.col("__o"))).alias("e"), F.min(F.when(shot, F.col("__o"))).alias("s")
+    )
+    marks = a.select(*session, (F.col("__b") + 1).alias("__at")).distinct().withColumn("__mark", F.lit(True))
+    after = Window.partitionBy(*session).orderBy("__at").rangeBetween(1, Window.unboundedFollowing)
+    later = totals.unionByName(marks, allowMissingColumns=True).select(
+        *session, (F.col("__at") - 1).alias("__b"), "__mark", F.sum("x").over(after).alias("__lx"), F.sum("g").over(after).alias("__lg"), F.min("e").over(after).alias("__le"), F.min("s").over(after).alias("__ls")
+    )
+    rows = a.join(met, key, "left").join(later.where("__mark").drop("__mark"), [*session, "__b"], "left")
+    nxt = {"box_entry": F.coalesce("__e", "__le"), "shot": F.coalesce("__s", "__ls")}
+    zero = F.lit(0)
+    out = [F.coalesce((nxt[n]["id"] == F.col("event_id")).cast("int"), zero).alias(f"reference_is_{n}") for n in nxt]
+    out.append(F.when(nxt["shot"]["id"] == F.col("event_id"), nxt["shot"]["xg"]).alias("reference_shot_xg"))
+    for n, first in nxt.items():
+        out += [((first["t"] - F.col("t_us")) / 1e6).alias(f"seconds_to_next_{n}"), first["id"].alias(f"next_{n}_event_id")]
+        out.append(first.isNotNull().cast("int").alias(f"{n}_before_session_end"))
+    out.append(nxt["shot"]["xg"].alias("next_shot_xg"))
+    for h in horizons:
+        out += [F.coalesce(F.col(f"__e_{h}").cast("int"), zero).alias(f"box_entry_within_{h}"), F.coalesce(F.col(f"__s_{h}").cast("int"), zero).alias(f"shot_within_{h}")]
+        out.append(F.when(F.coalesce(f"__g_{h}", zero) == 0, F.coalesce(f"__x_{h}", zero).cast("double")).alias(f"future_xg_{h}"))
+    rest = F.coalesce("__x", zero).cast(_SCALE) + F.coalesce("__lx", zero).cast(_SCALE)
+    out.append(F.when(F.coalesce("__g", zero) + F.coalesce("__lg", zero) == 0, rest.cast("double")).alias("future_xg_rest"))
+    return rows.select(*session, "event_id", "event_index", "t_us", *out)
+
+
+def validate_outcomes(labels: DataFrame, anchors: DataFrame, outcomes: DataFrame, session: Sequence[str], horizons: dict[str, int], tol: float = 1e-12) -> DataFrame:
+    """One row per fault of a label table: ``session, event_id, problem, labelled, expected``; none if it is right.
+
+    Problems: ``missing`` and ``extra`` anchors, ``repeated`` rows (how many), ``nesting of`` a family where a shorter
+    horizon exceeds a longer one, and each column that differs from ``reconstruct_outcomes`` by more than ``tol``, or is
+    null on one side only.
+    """
+    key = [*session, "event_id"]
+    value, none = lambda c: F.col(c).cast("double"), F.lit(None).cast("double")
+    expected = reconstruct_outcomes(anchors, outcomes, session, horizons)
+    columns = [c for c in expected.columns if c not in (*key, "event_index", "t_us")]
+    one = labels.groupBy(*key).agg(*[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("__rows"))
+    want = expected.select(*[F.col(k).alias(f"__{k}") for k in key], *[F.col(c).alias(f"__w_{c}") for c in columns])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    both = one.join(want, on, "full")
+    have, due = F.col("__rows").isNotNull(), F.col("__event_id").isNotNull()
+
+    def fault(when: Column, problem: str, labelled: Column = none, want: Column = none) -> Column:
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(problem).alias("problem"), labelled.alias("labelled"), want.alias("expected")))
+
+    faults = [fault(due & ~have, "missing"), fault(have & ~due, "extra"), fault(F.col("__rows") > 1, "repeated", value("__rows"), F.lit(1.0))]
+    family = {"box_entry": "box_entry_within_{}", "shot": "shot_within_{}", "future_xg": "future_xg_{}"}
+    ordered = sorted(horizons, key=horizons.get)
+    for f, pattern in family.items():
+        steps = [*[pattern.format(h) for h in ordered], "future_xg_rest" if f == "future_xg" else f"{f}_before_session_end"]
+        broken = [value(x) > value(y) + tol for k, x in enumerate(steps) for y in steps[k + 1 :]]
+        faults.append(fault(F.greatest(*[F.coalesce(b, F.lit(False)) for b in broken]) & have, f"nesting of {f}"))
+    for c in columns:
+        x, y = value(c), value(f"__w_{c}")
+        faults.append(fault(have & due & ((x.isNull() != y.isNull()) | (F.abs(x - y) > tol)), c, x, y))
+    names = [F.coalesce(k, f"__{k}").alias(k) for k in key]
+    return both.select(*names, F.inline(F.array_compact(F.array(*faults))))
+
+
 def compare_labels(base: DataFrame, again: DataFrame) -> DataFrame:
     """How many label rows differ between two runs over the same anchors."""
     changed = base.exceptAll(again.select(*base.columns)).agg(F.count(F.lit(1)).alias("changed_labels"))

@@ -103,6 +103,40 @@ def out4(fx):
     return O.nesting_violations(labels(fx), [*HORIZONS, "rest"])
 
 
+#: the faults that are put into the labels: flipped, raised and emptied values, a lost and a repeated row
+_PLANTED = {
+    "box_entry_within_2h": "CASE WHEN event_id % 97 = 0 THEN 1 - box_entry_within_2h ELSE box_entry_within_2h END",
+    "future_xg_6h": "CASE WHEN event_id % 89 = 1 THEN future_xg_6h + 1 ELSE future_xg_6h END",
+    "next_shot_event_id": "CASE WHEN event_id % 83 <> 4 THEN next_shot_event_id END",
+    "shot_before_session_end": "CASE WHEN event_id % 79 = 5 THEN 0 ELSE shot_before_session_end END",
+}
+_FAMILY = {f: [*[f"{f}_within_{h}" for h in HORIZONS], f"{f}_before_session_end"] for f in ("box_entry", "shot")} | {"future_xg": XG}
+_NEST = " UNION ALL ".join(
+    f"SELECT {K}, event_id, 'nesting of {f}', NULL, NULL FROM pl1 WHERE {' OR '.join(f'{a} > {b} + 1e-12' for i, a in enumerate(c) for b in c[i + 1 :])}" for f, c in _FAMILY.items()
+)
+
+
+@query(
+    "out4_validate_outcomes",
+    sql(
+        f"""{LABELS}, pl1 AS (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in _PLANTED.items())}) FROM lab WHERE event_id % 101 <> 2),
+ fault AS (SELECT {K}, event_id, 'missing' AS problem, NULL::DOUBLE AS labelled, NULL::DOUBLE AS expected FROM lab WHERE event_id % 101 = 2
+  UNION ALL SELECT {K}, event_id, 'repeated', 2, 1 FROM pl1 WHERE event_id % 103 = 3
+  UNION ALL {_NEST}
+  UNION ALL {" UNION ALL ".join(f"SELECT {K}, event_id, '{c}', p.{c}, l.{c} FROM pl1 p JOIN lab l USING ({K}, event_id) WHERE p.{c} IS DISTINCT FROM l.{c}" for c in _PLANTED)})
+ SELECT * REPLACE (ROUND(labelled, 6) AS labelled, ROUND(expected, 6) AS expected) FROM fault""",
+        EV,
+        OWN_EV,
+    ),
+)
+def out4b(fx):
+    """Labels with planted faults against the second formulation: these faults are reported and no others."""
+    found = labels(fx).withColumns({c: F.expr(e) for c, e in _PLANTED.items()}).where("event_id % 101 <> 2")
+    found = found.unionByName(found.where("event_id % 103 = 3"))
+    out = O.validate_outcomes(found, fx.own.where("validated_anchor"), outcomes(fx), SESSION, HORIZONS)
+    return out.withColumns({c: F.round(c, 6) for c in ("labelled", "expected")})
+
+
 _SUMMARY = " UNION ALL ".join(
     f"""SELECT '{h}' AS horizon, COUNT(*) AS anchor_count, SUM(box_entry_{s}) AS box_entry_positive,
  ROUND(AVG(box_entry_{s}), 6) AS box_entry_prevalence, SUM(shot_{s}) AS shot_positive, ROUND(AVG(shot_{s}), 6) AS shot_prevalence,
