@@ -50,7 +50,7 @@ def coalesce_intervals(intervals: DataFrame, lane: Lane) -> DataFrame:
     return out.select("case_id", "lo", "hi", F.concat_ws("; ", "reasons").alias("reasons"))
 
 
-def _beside(points: DataFrame, at: str, marks: DataFrame, lane: Lane, specs: dict[str, Scan], strict: bool = False) -> DataFrame:
+def beside(points: DataFrame, at: str, marks: DataFrame, lane: Lane, specs: dict[str, Scan], strict: bool = False) -> DataFrame:
     """``points`` with running aggregates over the ``marks`` (case_id, at, ...) of their case up to, or ``strict``ly before, ``at``."""
     rows = points.withColumns({"__at": F.col(at).cast("bigint"), "__r": F.lit(1)})
     marks = marks.withColumns({"__at": F.col("at").cast("bigint"), "__r": F.lit(2 if strict else 0)}).drop("at")
@@ -66,7 +66,7 @@ def with_ambiguity(spans: DataFrame, intervals: DataFrame, lane: Lane, first: st
     """
     marks = intervals.select("case_id", F.col("lo").alias("at"), F.col("hi").cast("bigint").alias("__hi"), F.col("reason").alias("__why"))
     names = {f"__m{k}": why for k, why in enumerate(REASONS)}
-    rows = _beside(spans, last, marks, lane, {n: Scan("max", f"CASE WHEN __why = '{why}' THEN __hi END") for n, why in names.items()})
+    rows = beside(spans, last, marks, lane, {n: Scan("max", f"CASE WHEN __why = '{why}' THEN __hi END") for n, why in names.items()})
     hit = [F.when(F.col(n) >= F.col(first), F.lit(why)) for n, why in names.items()]
     return rows.select(*spans.columns, F.concat_ws("; ", *hit).alias("ambiguity"))
 
@@ -101,12 +101,12 @@ def score_predictions(
     count = {"segment": Scan("count", "__gate")}
 
     w = with_ambiguity(warnings.select("version", "case_id", "onset", "end_event", "resolution"), intervals, lane, "onset", "end_event")
-    w = durable(_beside(w, "onset", gates, lane, count))
+    w = durable(beside(w, "onset", gates, lane, count))
 
     resets = ledger.where("boundary_type = 'CLEAR_RESET'").join(out_of, "case_id", "left").join(parents.select("case_id", "first_event"), "case_id", "left")
     going = candidates.where("human_label = 'CONTINUE' AND candidate_role = 'normal_active_episode_sample'")
-    resets = _beside(resets, "onset", going.select("case_id", F.col("candidate_event").alias("at"), F.col("candidate_event").alias("__sample")), lane, {"__last": Scan("last", "__sample")}, strict=True)
-    resets = durable(_beside(resets, "onset", gates, lane, count))
+    resets = beside(resets, "onset", going.select("case_id", F.col("candidate_event").alias("at"), F.col("candidate_event").alias("__sample")), lane, {"__last": Scan("last", "__sample")}, strict=True)
+    resets = durable(beside(resets, "onset", gates, lane, count))
     scored = resets.where("onset IS NOT NULL AND __partial IS NULL")
     require_none(scored, {"last_sample_before_onset": F.col("last_reset_sample") < F.col("onset")})
 
@@ -164,9 +164,9 @@ def score_predictions(
     back = pairs.groupBy(*keys, p["at"].alias("onset")).agg(F.min(F.struct(s["at"].alias("at"), s["id"].alias("id"))).alias("__of"))
     onsets = resets.where("onset IS NOT NULL").select("case_id", F.col("onset").alias("at"), F.col("onset").alias("__reset"))
     retained = candidates.where("warning_resolution = 'cancelled_or_retained_continue'").select("case_id", F.col("candidate_event").alias("at"), F.lit(1).alias("__one"))
-    v = _beside(w, "end_event", onsets, lane, {"__reset": Scan("max", "__reset")})
-    v = _beside(v, "end_event", retained, lane, {"__by_end": Scan("count", "__one")})
-    v = _beside(v, "onset", retained, lane, {"__by_onset": Scan("count", "__one")}, strict=True).join(back, [*keys, "onset"], "left")
+    v = beside(w, "end_event", onsets, lane, {"__reset": Scan("max", "__reset")})
+    v = beside(v, "end_event", retained, lane, {"__by_end": Scan("count", "__one")})
+    v = beside(v, "onset", retained, lane, {"__by_onset": Scan("count", "__one")}, strict=True).join(back, [*keys, "onset"], "left")
     how, over = F.col("resolution"), F.coalesce(F.col("__reset") >= F.col("onset"), F.lit(False))
     open_, extra = F.col("ambiguity") != "", F.col("__of").isNull()
     found = found.unionByName(

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from strideframe.operators import episodes as P
+from strideframe.operators import excursions as X
 from strideframe.operators import replay_score as S
-from strideframe.plans.fixtures import EV, RICH, sql
-from strideframe.plans.q_review import EPI, case_lane, cases, episodes, members, replayed
+from strideframe.plans.fixtures import EV, OWN, RICH, sql
+from strideframe.plans.q_review import EPI, EPM, case_lane, cases, episodes, members, replayed
 from strideframe.plans.registry import query
 from strideframe.sources.stage import durable
 
@@ -166,3 +167,83 @@ def rpl2c(fx):
     found = replayed(fx, P.VERSIONS)
     details, par, led = scored(fx, found, P.VERSIONS)
     return S.case_counts(details, par, led, P.VERSIONS)
+
+
+# --- excursions, readiness, recovery ---------------------------------------------------------
+
+LABELS = ("CONTINUE", "RESET", "UNCERTAIN")
+_EXM = ("peak", "retreat")
+_LOCK = "CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN 'OPEN' WHEN 2 THEN 'PARTIAL_LOCK' ELSE 'LOCKED' END"
+#: trusted actions of the whole case, and what the running peak of a span takes from each
+TRUST = f"""tr AS (SELECT *, CASE WHEN pass_type IS NOT NULL THEN end_x ELSE GREATEST(start_x, end_x) END AS v, event_team_id = {OWN} AND event_type IN ('Pass', 'Carry') AND validated_anchor AND end_x IS NOT NULL
+   AND NOT (event_type = 'Pass' AND pass_outcome IS NOT NULL) AS ok FROM em)"""
+EXC = f"""{SCORE}, {TRUST},
+ x0 AS (SELECT g.*, CASE WHEN onset IS NULL THEN 'unresolved_onset' ELSE 'exact' END AS precision, COALESCE(onset_lower, onset) AS lower FROM lg2 g WHERE boundary_type = 'CLEAR_RESET'),
+ x1 AS (SELECT x0.*, (SELECT arg_max(episode_id, event_index) FROM em WHERE em.case_id = x0.case_id AND event_index < lower AND episode_id IS NOT NULL) AS ref,
+   (SELECT arg_max(episode_id, event_index) FROM em WHERE em.case_id = x0.case_id AND event_index < onset AND episode_id IS NOT NULL) AS prior FROM x0),
+ x2 AS (SELECT x1.*, (SELECT MIN(event_index) FROM em WHERE em.case_id = x1.case_id AND episode_id = ref) AS rs0, (SELECT BOOL_AND(state_valid) FROM em WHERE em.case_id = x1.case_id AND episode_id = prior) AS pv FROM x1),
+ x3 AS (SELECT x2.*, c.end_x AS ce, c.t_us AS ct, COALESCE(c.ok, FALSE) AS cok, c.episode_id AS cep, o.end_x AS oe, o.v AS ov, o.t_us AS ot, COALESCE(o.ok, FALSE) AS ook,
+   (SELECT MAX(v) FROM tr t WHERE ok AND t.case_id = x2.case_id AND t.event_index BETWEEN rs0 AND confirmation) AS up, (SELECT MAX(v) FROM tr t WHERE ok AND t.case_id = x2.case_id AND episode_id = prior AND t.event_index < onset) AS pb,
+   (SELECT MAX(v) FROM tr t WHERE ok AND t.case_id = x2.case_id AND t.episode_id = c.episode_id AND t.event_index <= confirmation) AS cp,
+   (SELECT COUNT(*) FROM ca WHERE ca.case_id = x2.case_id AND candidate_event = onset) AS os, (SELECT COUNT(*) FROM ca WHERE ca.case_id = x2.case_id AND candidate_event = confirmation) AS cs
+   FROM x2 LEFT JOIN tr c ON c.case_id = x2.case_id AND c.event_index = confirmation LEFT JOIN tr o ON o.case_id = x2.case_id AND o.event_index = onset)"""
+
+
+@query(
+    "epi6_excursion_table",
+    sql(
+        f"""{EXC} SELECT case_id, boundary_id AS reset_excursion_id, onset AS onset_event, onset_lower, confirmation AS confirmation_event, last_reset_sample, precision AS onset_precision,
+ CASE WHEN onset IS NULL THEN 'unresolved' ELSE 'encoded_at_review_candidate_resolution' END AS onset_status, os AS onset_samples, cs AS confirmation_samples,
+ CASE WHEN cs > 0 AND cok AND cep IS NOT NULL THEN cp END AS confirmation_episode_peak, CASE WHEN cs > 0 AND cok AND cep IS NOT NULL THEN GREATEST(0, cp - ce) END AS confirmation_episode_retreat,
+ CASE WHEN ref IS NOT NULL THEN 'counterfactual_no_reset_until_confirmation_not_calibration_ready' END AS confirmation_unsplit_reference_status,
+ CASE WHEN ref IS NOT NULL AND cok THEN up END AS confirmation_unsplit_reference_peak, CASE WHEN ref IS NOT NULL AND cok THEN GREATEST(0, up - ce) END AS confirmation_unsplit_reference_retreat,
+ CASE WHEN onset IS NOT NULL AND prior IS NOT NULL THEN ook AND pb IS NOT NULL AND pv END AS onset_pre_split_available,
+ CASE WHEN ook AND pb IS NOT NULL AND pv THEN GREATEST(pb, ov) END AS onset_pre_split_peak, CASE WHEN ook AND pb IS NOT NULL AND pv THEN GREATEST(0, GREATEST(pb, ov) - oe) END AS onset_pre_split_retreat,
+ CASE WHEN onset IS NOT NULL AND prior IS NOT NULL THEN CASE WHEN ook AND pb IS NOT NULL AND pv THEN 'censored_at_final_reset_split' ELSE 'unavailable_prior_observed_peak' END END AS onset_pre_split_recovery_status,
+ prior AS onset_reference_episode_id, CASE WHEN prior IS NOT NULL AND ook THEN pb END AS onset_prior_established_peak_x, CASE WHEN prior IS NOT NULL THEN (ct - ot) / 1e6 END AS onset_time_to_confirmation FROM x3""",
+        *_B,
+    ),
+)
+def epi6b(fx):
+    lane = case_lane(fx, "case_id")
+    m = durable(members(fx))
+    led = reviewed(fx).withColumn("precision", F.when(F.col("onset").isNull(), "unresolved_onset").otherwise("exact"))
+    own = P.episode_progression(m, case_lane(fx, "case_id", "episode_id"))
+    return X.excursion_table(m, own, led, samples(fx), lane, _EXM)
+
+
+READY = f"""{EPM}, sa AS (SELECT em.case_id, em.event_id, em.episode_id, em.state_valid, CASE WHEN em.k % 3 = 0 THEN 'CONTINUE' ELSE 'RESET' END AS human_label, {_LOCK.replace('k %', 'em.k %')} AS lock_status, em.pass_type IS NOT NULL AND em.k % 5 = 0 AS opening_restart,
+   em.k % 9 = 4 AS relocation_affected, r2.retreat, CASE WHEN r2.retreat > 0 THEN (nt - r2.t_us) / 1e6 END AS seconds, CASE WHEN r2.retreat = 0 THEN 'not_applicable_at_peak' WHEN nt IS NOT NULL THEN 'observed_equal_or_higher_peak' WHEN r2.event_id IS NOT NULL THEN 'censored_at_episode_observation_end' END AS how
+   FROM em LEFT JOIN r2 ON r2.event_id = em.event_id WHERE em.k % 2 = 0),
+ sr AS (SELECT *, concat_ws(';', CASE WHEN NOT COALESCE(human_label IN ('CONTINUE', 'RESET', 'UNCERTAIN') AND lock_status IN ('LOCKED', 'PARTIAL_LOCK'), FALSE) THEN 'no_locked_reset_review_label' END,
+   CASE WHEN episode_id IS NULL THEN 'no_reviewed_episode_membership' END, CASE WHEN episode_id IS NOT NULL AND NOT COALESCE(state_valid, FALSE) THEN 'unresolved_episode_start_or_partial_case_structure' END,
+   CASE WHEN retreat IS NULL THEN 'no_trusted_current_progression_measurement' END, CASE WHEN opening_restart THEN 'opening_restart_not_reset_evidence' END, CASE WHEN relocation_affected THEN 'drawdown_includes_contest_relocation' END) AS exclusion_reason FROM sa)"""
+
+
+def ready(fx):
+    m = durable(members(fx))
+    own = P.episode_progression(m, case_lane(fx, "case_id", "episode_id")).select("event_id", "retreat", "seconds_to_recovery", "recovery_status")
+    s = m.where("k % 2 = 0").selectExpr(
+        "case_id", "event_id", "episode_id", "state_valid", "CASE WHEN k % 3 = 0 THEN 'CONTINUE' ELSE 'RESET' END AS human_label", f"{_LOCK} AS lock_status",
+        "pass_type IS NOT NULL AND k % 5 = 0 AS opening_restart", "k % 9 = 4 AS relocation_affected",
+    )
+    return X.sample_readiness(s.join(own, "event_id", "left"), LABELS)
+
+
+@query("epi4_sample_readiness", sql(f"{READY} SELECT event_id, human_label, lock_status, exclusion_reason, exclusion_reason = '' AS ready FROM sr", *_B))
+def epi4b(fx):
+    return ready(fx).select("event_id", "human_label", "lock_status", "exclusion_reason", "ready")
+
+
+@query(
+    "epi6_recovery_summary",
+    sql(
+        f"""{READY} SELECT l.human_label, COUNT(sr.event_id) AS candidate_count, COUNT(seconds) AS observed_time_count, COUNT(sr.event_id) - COUNT(seconds) AS missing_time_count, ROUND(AVG(seconds), 6) AS conditional_mean_recovery_seconds,
+ ROUND(MEDIAN(seconds), 6) AS conditional_median_recovery_seconds, COUNT(*) FILTER (how = 'censored_at_episode_observation_end') AS censored_count, COUNT(*) FILTER (how = 'not_applicable_at_peak') AS at_peak_count
+ FROM (VALUES {', '.join(f"('{x}')" for x in LABELS)}) l(human_label) LEFT JOIN sr ON sr.human_label = l.human_label AND exclusion_reason = '' GROUP BY l.human_label""",
+        *_B,
+    ),
+)
+def epi6c(fx):
+    out = X.recovery_summary(ready(fx), LABELS, fx.small)
+    return out.withColumns({c: F.round(c, 6) for c in ("conditional_mean_recovery_seconds", "conditional_median_recovery_seconds")})
