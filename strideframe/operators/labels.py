@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.operators.quantiles import distribution, exact_quantiles, spearman
+from strideframe.operators.ordered import Lane, Scan, Shift, scan
+from strideframe.operators.quantiles import distribution, exact_quantiles, value_blocks
+from strideframe.sources.stage import durable
 
 BANDS = {"range": (0.0, 1.0), "p10_p90": (0.1, 0.9), "iqr": (0.25, 0.75)}
 
@@ -81,13 +83,38 @@ def threshold_sweep(df: DataFrame, rules: dict[str, list[tuple[str, str, float]]
 
 
 def rank_correlations(df: DataFrame, metrics: Sequence[str], small: bool) -> DataFrame:
-    """Spearman of every metric pair per label."""
-    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-    rows = df.select(
-        "label",
-        F.inline(F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])),
-    )
-    return spearman(rows, ["label", "metric_a", "metric_b"], "x", "y", small)
+    """Spearman of every metric pair per label, over the rows that have both: ``label, metric_a, metric_b, n, rho``.
+
+    Equal rows are one weighted cell. A value's average rank, doubled and centred, is the number of values below it less
+    the number above, so one ordered pass per metric gives its ranks beside every other metric at once, whatever is
+    missing there, and nothing is joined to ranks. ``rho`` is null where either side is constant.
+    """
+    metrics = list(metrics)
+    rows = df.select("label", *[F.col(m).cast("double").alias(m) for m in metrics]).groupBy("label", *metrics).agg(F.count(F.lit(1)).alias("n"))
+    rows = durable(rows)
+    for i, x in enumerate(metrics):
+        others = [(j, y) for j, y in enumerate(metrics) if j != i]
+        # cells differ in some metric, so this order is total
+        lane = Lane(("label",), (x, *[y for _, y in others]), None if small else value_blocks(rows, x))
+        both = lambda y: f"CASE WHEN `{x}` IS NOT NULL AND `{y}` IS NOT NULL THEN n END"  # noqa: E731, B023
+        sums = {f"__b{j}": Scan("sum", both(y), exclusive=True) for j, y in others} | {f"__a{j}": Scan("sum", both(y), backward=True, exclusive=True) for j, y in others}
+        rows = scan(rows, lane, {"__p": Shift(f"`{x}`"), "__q": Shift(f"`{x}`", -1), **sums})
+        first, last = f"(__p IS NULL OR __p <> `{x}`)", f"(__q IS NULL OR __q <> `{x}`)"
+        ties = {f"__lo{j}": Scan("last", f"CASE WHEN {first} THEN coalesce(__b{j}, 0) END") for j, _ in others}
+        ties |= {f"__hi{j}": Scan("last", f"CASE WHEN {last} THEN coalesce(__a{j}, 0) END", backward=True) for j, _ in others}
+        rows = scan(rows, lane, ties)
+        rows = rows.withColumns({f"__c{i}_{j}": (F.col(f"__lo{j}") - F.col(f"__hi{j}")).cast("double") for j, _ in others})
+        rows = rows.drop("__p", "__q", *sums, *ties)
+    pairs = [(i, j) for i in range(len(metrics)) for j in range(i + 1, len(metrics))]
+    aggs, packed = [], []
+    for i, j in pairs:
+        cx, cy, known = F.col(f"__c{i}_{j}"), F.col(f"__c{j}_{i}"), F.col(metrics[i]).isNotNull() & F.col(metrics[j]).isNotNull()
+        for name, term in (("n", F.lit(1)), ("xy", cx * cy), ("xx", cx * cx), ("yy", cy * cy)):
+            aggs.append(F.sum(F.when(known, F.col("n") * term)).alias(f"{name}_{i}_{j}"))
+        of = lambda name: F.col(f"{name}_{i}_{j}")  # noqa: E731, B023
+        rho = F.when((of("xx") > 0) & (of("yy") > 0), of("xy") / F.sqrt(of("xx") * of("yy")))
+        packed.append(F.struct(F.lit(metrics[i]).alias("metric_a"), F.lit(metrics[j]).alias("metric_b"), of("n").alias("n"), rho.alias("rho")))
+    return rows.groupBy("label").agg(*aggs).select("label", F.inline(F.array(*packed))).where("n > 0")
 
 
 def recovery_table(df: DataFrame, value: str, small: bool) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.operators.ordered import Lane, Shift, number, scan, shift
@@ -280,30 +280,25 @@ def sequence_candidates(possessions: DataFrame, lengths: Sequence[int]) -> DataF
     )
 
 
-def representative_possessions(
-    possessions: DataFrame, rules: dict[str, Column], keys: Sequence[str]
-) -> list[dict]:
+def representative_possessions(possessions: DataFrame, rules: dict[str, Column], keys: Sequence[str]) -> list[dict]:
     """Greedy disjoint picks: the first unused group, in key order, for each rule.
 
-    With R rules at most R - 1 groups are already used, so the first R candidates
-    of every rule decide the outcome; only those R * R keys reach the driver.
+    With R rules at most R - 1 groups are already used, so the first R candidates of every rule decide the outcome. One
+    pass ranks the candidates of all rules, with all but R of a rule dropped before the shuffle; R * R keys reach the driver.
     """
-    need = len(rules)
-    tagged = [
-        possessions.where(cond).select(*keys).orderBy(*keys).limit(need).withColumn("rule", F.lit(rule))
-        for rule, cond in rules.items()
-    ]
-    every = tagged[0]
-    for t in tagged[1:]:
-        every = every.unionByName(t)
-    rows = [r.asDict() for r in every.collect()]
+    met = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(rule)) for rule, cond in rules.items()]))
+    tagged = possessions.select(*keys, F.explode(met).alias("rule"))
+    place = F.row_number().over(Window.partitionBy("rule").orderBy(*keys))
+    first = tagged.withColumn("__n", place).where(F.col("__n") <= len(rules)).drop("__n")
+    options: dict[str, list[tuple]] = {}
+    for r in first.orderBy("rule", *keys).collect():
+        options.setdefault(r["rule"], []).append(tuple(r[k] for k in keys))
     used, picks = set(), []
     for rule in rules:
-        options = sorted(tuple(r[k] for k in keys) for r in rows if r["rule"] == rule)
-        free = next((o for o in options if o not in used), None)
+        free = next((o for o in options.get(rule, []) if o not in used), None)
         if free is not None:
             used.add(free)
-            picks.append({"selection_rule": rule, **dict(zip(keys, free))})
+            picks.append({"selection_rule": rule, **dict(zip(keys, free, strict=True))})
     return picks
 
 

@@ -49,6 +49,10 @@ class Fixture:
     def small_frames(self) -> bool:
         return self.n_frames * 6 * 9 <= GROUP_LIMIT
 
+    def small_lines(self, times: int = 1) -> bool:
+        """The line items, ``times`` over, fit one task."""
+        return self.n_lines * times <= GROUP_LIMIT
+
     def lane(self, *keys: str, order: tuple[str, ...] = ("event_index",)) -> Lane:
         """Lane over events; blocks are runs of 100,000 consecutive event numbers."""
         return lane_for(self.n_events, keys, order, "CAST(floor(event_index / 100000) AS BIGINT)")

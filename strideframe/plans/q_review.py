@@ -453,7 +453,7 @@ _L = " UNION ALL ".join(f"SELECT label, '{m}' AS metric, {m} AS v FROM co" for m
     ),
 )
 def lbl2(fx):
-    return rd(B.class_descriptives(cohort(fx), METRICS, fx.n_lines * 3 <= 4_000_000), 4)
+    return rd(B.class_descriptives(cohort(fx), METRICS, fx.small_lines(3)), 4)
 
 
 _BQ = ", ".join(f"QUANTILE_CONT(v, {lo}) AS {b}_lo, QUANTILE_CONT(v, {hi}) AS {b}_hi" for b, (lo, hi) in B.BANDS.items())
@@ -470,7 +470,7 @@ _BQ = ", ".join(f"QUANTILE_CONT(v, {lo}) AS {b}_lo, QUANTILE_CONT(v, {hi}) AS {b
     ),
 )
 def lbl2b(fx):
-    return rd(B.class_overlap(cohort(fx), METRICS, fx.n_lines * 3 <= 4_000_000), 4)
+    return rd(B.class_overlap(cohort(fx), METRICS, fx.small_lines(3)), 4)
 
 
 SWEEP = {
@@ -511,7 +511,7 @@ _PAIRS = [(a, b) for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]]
     ),
 )
 def lbl4(fx):
-    return rd(B.rank_correlations(cohort(fx), METRICS, fx.n_lines * 3 <= 4_000_000))
+    return rd(B.rank_correlations(cohort(fx), METRICS, fx.small_lines(3)))
 
 
 @query(
@@ -519,7 +519,7 @@ def lbl4(fx):
     sql(f"p AS (SELECT label, {_REC} AS recovery_status, l_extendedprice AS v FROM co) SELECT label, recovery_status, COUNT(*) AS n, ROUND(MEDIAN(v), 4) AS median_value FROM p GROUP BY ALL", COH),
 )
 def lbl5(fx):
-    return rd(B.recovery_table(B.cohort_prepare(cohort(fx), ["A", "R"]), "l_extendedprice", fx.n_lines <= 4_000_000), 4)
+    return rd(B.recovery_table(B.cohort_prepare(cohort(fx), ["A", "R"]), "l_extendedprice", fx.small_lines()), 4)
 
 
 @query(

@@ -7,6 +7,7 @@ from strideframe.operators import sequences as S
 from strideframe.operators.quantiles import exact_quantiles
 from strideframe.plans.fixtures import EV, HOUR_US, KEY, OWN, OWN_EV, sql
 from strideframe.plans.registry import query
+from strideframe.sources.stage import durable
 
 K = ", ".join(KEY)
 
@@ -281,27 +282,48 @@ def seq10(fx):
     return S.sequence_candidates(poss(fx), (2, 3, 4, 5, 6, 8))
 
 
-@query("seq11_representative_possessions")
+#: condition of each rule over a possession and the limits
+_RULES = {
+    "maximum_anchor_count": "anchor_count = top",
+    "zero_anchors": "anchor_count = 0",
+    "one_anchor": "anchor_count = 1",
+    "two_anchors": "anchor_count = 2",
+    "moderate_anchor_count": "anchor_count BETWEEN n25 AND n75 AND anchor_count >= 3",
+    "high_anchor_count": "anchor_count >= n95",
+    "shot_containing": "has_shot",
+    "opponent_anchor": "opponent_anchor_count > 0",
+    "long_sparse": "duration_us >= d75 AND rate <= r25",
+    "short_dense": "duration_us <= d25 AND rate >= r75",
+}
+_KEYS = ", ".join(KEY)
+_PICKS = ", ".join(
+    f"pk{i} AS (SELECT '{rule}' AS selection_rule, {_KEYS} FROM pl WHERE COALESCE({cond}, FALSE)"
+    + "".join(f" AND ({_KEYS}) NOT IN (SELECT ({_KEYS}) FROM pk{j})" for j in range(i))
+    + f" ORDER BY {_KEYS} LIMIT 1)"
+    for i, (rule, cond) in enumerate(_RULES.items())
+)
+
+
+@query(
+    "seq11_representative_possessions",
+    sql(
+        f"""{POSS}, pq AS (SELECT *, anchor_count / NULLIF(duration_us, 0) AS rate FROM poss),
+ li AS (SELECT MAX(anchor_count) AS top, QUANTILE_CONT(anchor_count, 0.25) AS n25, QUANTILE_CONT(anchor_count, 0.75) AS n75, QUANTILE_CONT(anchor_count, 0.95) AS n95, QUANTILE_CONT(duration_us, 0.25) AS d25,
+   QUANTILE_CONT(duration_us, 0.75) AS d75, QUANTILE_CONT(rate, 0.25) AS r25, QUANTILE_CONT(rate, 0.75) AS r75 FROM pq),
+ pl AS (SELECT * FROM pq, li), {_PICKS}, ch AS ({" UNION ALL ".join(f"SELECT * FROM pk{i}" for i in range(len(_RULES)))})
+ SELECT selection_rule, {_KEYS}, event_index, t_us, event_type, event_team_id, CASE WHEN validated_anchor THEN 'validated' WHEN linked THEN 'unsupported' ELSE 'no_360_frame' END AS spatial_status FROM own JOIN ch USING ({_KEYS})""",
+        EV,
+        OWN_EV,
+    ),
+)
 def seq11(fx):
-    p = poss(fx).withColumn("rate", F.col("anchor_count") / F.nullif(F.col("duration_us"), F.lit(0)))
+    p = durable(poss(fx).withColumn("rate", F.col("anchor_count") / F.nullif(F.col("duration_us"), F.lit(0))))
     quant = exact_quantiles(p, [], "anchor_count", {"n25": 0.25, "n75": 0.75, "n95": 0.95}, fx.small)
     dur = exact_quantiles(p, [], "duration_us", {"d25": 0.25, "d75": 0.75}, fx.small)
     rate = exact_quantiles(p, [], "rate", {"r25": 0.25, "r75": 0.75}, fx.small)
     lim = quant.crossJoin(dur).crossJoin(rate).crossJoin(p.agg(F.max("anchor_count").alias("top"))).first().asDict()
-    n, d, r = F.col("anchor_count"), F.col("duration_us"), F.col("rate")
-    rules = {
-        "maximum_anchor_count": n == lim["top"],
-        "zero_anchors": n == 0,
-        "one_anchor": n == 1,
-        "two_anchors": n == 2,
-        "moderate_anchor_count": n.between(lim["n25"], lim["n75"]) & (n >= 3),
-        "high_anchor_count": n >= lim["n95"],
-        "shot_containing": F.col("has_shot"),
-        "opponent_anchor": F.col("opponent_anchor_count") > 0,
-        "long_sparse": (d >= lim["d75"]) & (r <= lim["r25"]),
-        "short_dense": (d <= lim["d25"]) & (r >= lim["r75"]),
-    }
-    picks = S.representative_possessions(p, rules, KEY)
+    limits = p.withColumns({name: F.lit(value) for name, value in lim.items()})
+    picks = S.representative_possessions(limits, {rule: F.expr(cond) for rule, cond in _RULES.items()}, KEY)
     chosen = fx.spark.createDataFrame(
         [(x["selection_rule"], *[x[k] for k in KEY]) for x in picks],
         "selection_rule string, match_id int, period int, possession_id bigint, possession_team_id int",
