@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.operators.models import linear_contrast, logit_cr1
+from strideframe.operators.logistic import Model, fit_logits, linear_contrast, logit_cr1
 from strideframe.operators.quantiles import exact_quantiles
 from strideframe.operators.windows import prediction
 
@@ -71,22 +71,26 @@ def _row(label, record, term, context, fit, c=None, sd=None, p=(None, None, None
     return (label, record, term, context, fit["n"], fit["model_status"], c["estimate"], c["se"], c["odds_ratio"], c["or_ci_low"], c["or_ci_high"], sd, *p)
 
 
-def context_interaction_logit(data: DataFrame, response: str, target: str, controls: Sequence[str], medians: dict[str, float], sd: float, label: str) -> list[tuple]:
-    """Outcome on displacement per SD by tertile, with controls; slopes and predictions per context."""
-    d = data.dropna(subset=["context", response, target, *controls]).withColumn("per_sd", F.col(response) / sd)
-    for k in (2, 3):
-        d = d.withColumn(f"context_T{k}", (F.col("context") == k).cast("double"))
-        d = d.withColumn(f"per_sd_x_T{k}", F.col("per_sd") * F.col(f"context_T{k}"))
-    terms = ["per_sd", "context_T2", "context_T3", "per_sd_x_T2", "per_sd_x_T3"]
-    fit = logit_cr1(d, target, terms[0], [*terms[1:], *controls], "match_id")
-    ok = fit["model_status"] == "ok"
-    rows = [_row(label, "coefficient", t, None, fit, linear_contrast(fit, {t: 1.0}) if ok else None) for t in terms]
-    for k in (1, 2, 3):
-        slope = {"per_sd": 1.0} | ({f"per_sd_x_T{k}": 1.0} if k > 1 else {})
-        rows.append(_row(label, "context_slope", None, k, fit, linear_contrast(fit, slope) if ok else None))
-        for step in (-1.0, 0.0, 1.0) if ok else ():
-            at = {"per_sd": step, **medians} | ({f"context_T{k}": 1.0, f"per_sd_x_T{k}": step} if k > 1 else {})
-            rows.append(_row(label, "prediction", None, k, fit, None, step, prediction(fit, at)))
+def context_interaction_logits(data: DataFrame, response: str, target: str, controls: Sequence[str], groups: dict[str, tuple[Column, dict[str, float], float]]) -> list[tuple]:
+    """Outcome on displacement per SD by tertile, with controls; slopes and predictions per context.
+
+    groups: label -> (rows, medians of the controls, SD of the response); the models of all groups are fitted together.
+    """
+    models, second = [], {2: F.col("context") == 2, 3: F.col("context") == 3}
+    for mask, _, sd in groups.values():
+        step = F.col(response) / sd
+        terms = {"per_sd": step, **{f"context_T{k}": m.cast("double") for k, m in second.items()}, **{f"per_sd_x_T{k}": step * m.cast("double") for k, m in second.items()}}
+        models.append(Model(target, terms | {c: c for c in controls}, mask & F.col("context").isNotNull()))
+    rows, named = [], ["per_sd", "context_T2", "context_T3", "per_sd_x_T2", "per_sd_x_T3"]
+    for (label, (_, medians, _)), fit in zip(groups.items(), fit_logits(data, models, "match_id"), strict=True):
+        ok = fit["model_status"] == "ok"
+        rows += [_row(label, "coefficient", t, None, fit, linear_contrast(fit, {t: 1.0}) if ok else None) for t in named]
+        for k in (1, 2, 3):
+            slope = {"per_sd": 1.0} | ({f"per_sd_x_T{k}": 1.0} if k > 1 else {})
+            rows.append(_row(label, "context_slope", None, k, fit, linear_contrast(fit, slope) if ok else None))
+            for step in (-1.0, 0.0, 1.0) if ok else ():
+                at = {"per_sd": step, **medians} | ({f"context_T{k}": 1.0, f"per_sd_x_T{k}": step} if k > 1 else {})
+                rows.append(_row(label, "prediction", None, k, fit, None, step, prediction(fit, at)))
     return rows
 
 

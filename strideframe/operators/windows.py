@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
+from operator import and_
 
 import math
 
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import points as P
 from strideframe.operators.events import starting_third
-from strideframe.operators.models import linear_contrast, logit_cr1, ols_cr1_multi, t_quantile
+from strideframe.operators.logistic import Model, fit_logits, linear_contrast
+from strideframe.operators.models import ols_cr1_multi, t_quantile
 from strideframe.operators.ordered import Lane, Shift, scan
 from strideframe.operators.quantiles import distribution, exact_quantiles
 
@@ -292,62 +295,76 @@ def prediction(fit: dict, point: dict[str, float]) -> tuple[float, float, float]
     return _expit(eta), _expit(eta - margin), _expit(eta + margin)
 
 
-def motif_logit(win: DataFrame, k: int, target: str, medians: dict[str, float], scope: str = "all", extra: Sequence[str] = ()) -> list[tuple]:
-    """Motif contrasts and predicted probabilities; cells with a single outcome are left out.
+def motif_logits(win: DataFrame, k: int, requests: Sequence[tuple[str, str, Column | None]], medians: dict[str, float], extra: Sequence[str] = ()) -> list[tuple]:
+    """Motif contrasts and predicted probabilities for each (scope, target, mask); cells with a single outcome are left out.
 
-    Rows follow MODEL_SCHEMA: one per motif, and PC against CP for two actions.
+    Rows follow MODEL_SCHEMA: one per motif, and PC against CP for two actions. The cells of all requests are one
+    aggregation by motif, and all their models are fitted together.
     """
-    controls = [*CONTROLS, *extra]
-    data = win.where(F.col("window_length") == k).dropna(subset=[target, *controls])
-    cells = {r["m"]: r for r in data.groupBy(F.col("action_type_motif").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("p")).collect()}  # 2^k rows
-    labels = motif_labels(k)
-    pure = [m for m, r in cells.items() if r["p"] in (0, r["n"])]
-    used = [m for m in labels if m in cells and m not in pure]
-    model = data.where(~F.col("action_type_motif").isin(pure)) if pure else data
-    fit, gain = {"model_status": "reference_missing_or_separated", "n": sum(cells[m]["n"] for m in used)}, None
-    if labels[0] in used:
-        dummies = {f"motif_{m}": (F.col("action_type_motif") == m).cast("double") for m in used if m != labels[0]}
-        names = [*dummies, *controls]
-        fit = logit_cr1(model.withColumns(dummies) if dummies else model, target, names[0], names[1:], "match_id")
-        if scope == "all" and fit["model_status"] == "ok":
-            plain = logit_cr1(model, target, controls[0], controls[1:], "match_id")
-            if plain["mcfadden_r2"] is not None:
-                gain = fit["mcfadden_r2"] - plain["mcfadden_r2"]
-    rows = []
-    for m in labels:
-        cell = cells.get(m)
-        status = "separated_motif_cell" if m in pure else "absent_motif" if cell is None else fit["model_status"]
-        c, p = linear_contrast({}, {}), (None, None, None)
-        if status == "ok":
+    controls, labels = [*CONTROLS, *extra], motif_labels(k)
+    whole = [c.isNotNull() & ~F.isnan(c) for c in (F.col(x).cast("double") for x in controls)]
+    masks = []
+    for _, target, mask in requests:
+        keep = reduce(and_, [*whole, F.col("window_length") == k, F.col(target).isNotNull()])
+        masks.append(F.coalesce(keep if mask is None else keep & mask, F.lit(False)))
+    counts = win.groupBy(F.col("action_type_motif").alias("m")).agg(
+        *[F.count_if(m).alias(f"n{i}") for i, m in enumerate(masks)], *[F.sum(F.when(m, F.col(t))).alias(f"p{i}") for i, (m, (_, t, _)) in enumerate(zip(masks, requests, strict=True))]
+    )
+    table = {r["m"]: r for r in counts.collect()}  # 2^k rows
+    cells = [{m: (r[f"n{i}"], r[f"p{i}"]) for m, r in table.items() if r[f"n{i}"]} for i in range(len(requests))]
+    pure = [[m for m, (n, p) in c.items() if p in (0, n)] for c in cells]
+    used = [[m for m in labels if m in c and m not in gone] for c, gone in zip(cells, pure, strict=True)]
+    models, place = [], []
+    for i, (scope, target, _) in enumerate(requests):
+        at = [None, None]
+        if labels[0] in used[i]:
+            where = masks[i] & F.col("action_type_motif").isin(used[i])
+            dummies = {f"motif_{m}": (F.col("action_type_motif") == m).cast("double") for m in used[i] if m != labels[0]}
+            plain = {c: c for c in controls}
+            at[0] = len(models)
+            models.append(Model(target, dummies | plain, where))
+            if scope == "all":
+                at[1] = len(models)
+                models.append(Model(target, plain, where))
+        place.append(at)
+    fits = fit_logits(win, models, "match_id")
+    none, rows = linear_contrast({}, {}), []
+    for i, (scope, target, _) in enumerate(requests):
+        fit = {"model_status": "reference_missing_or_separated", "n": sum(cells[i][m][0] for m in used[i]), "terms": []} if place[i][0] is None else fits[place[i][0]]
+        done, gain = fit["model_status"] == "ok", None
+        if done and place[i][1] is not None and (base := fits[place[i][1]]["mcfadden_r2"]) is not None:
+            gain = fit["mcfadden_r2"] - base
+        spread = lambda c: (c["estimate"], c["se"], c["odds_ratio"], c["or_ci_low"], c["or_ci_high"])
+        for m in labels:
+            n, p = cells[i].get(m, (0, 0))
+            status = "separated_motif_cell" if m in pure[i] else "absent_motif" if not n else fit["model_status"]
             mark = {} if m == labels[0] else {f"motif_{m}": 1.0}
-            c = linear_contrast(fit, mark)
-            p = prediction(fit, {**mark, **medians})
-        rows.append((scope, target, m, cell["n"] if cell else 0, int(cell["p"]) if cell else 0, fit["n"], status, c["estimate"], c["se"],
-                     c["odds_ratio"], c["or_ci_low"], c["or_ci_high"], *p, fit.get("mcfadden_r2"), gain))
-    if k == 2:
-        ok = fit["model_status"] == "ok" and {"motif_PC", "motif_CP"} <= set(fit["terms"])
-        c = linear_contrast(fit, {"motif_PC": 1.0, "motif_CP": -1.0}) if ok else linear_contrast({}, {})
-        rows.append((scope, target, "PC_vs_CP", None, None, fit["n"], "ok" if ok else "contrast_not_estimable", c["estimate"], c["se"],
-                     c["odds_ratio"], c["or_ci_low"], c["or_ci_high"], None, None, None, fit.get("mcfadden_r2"), gain))
+            c, seen = (linear_contrast(fit, mark), prediction(fit, {**mark, **medians})) if status == "ok" else (none, (None, None, None))
+            rows.append((scope, target, m, n, int(p), fit["n"], status, *spread(c), *seen, fit.get("mcfadden_r2"), gain))
+        if k == 2:
+            can = done and {"motif_PC", "motif_CP"} <= set(fit["terms"])
+            c = linear_contrast(fit, {"motif_PC": 1.0, "motif_CP": -1.0}) if can else none
+            rows.append((scope, target, "PC_vs_CP", None, None, fit["n"], "ok" if can else "contrast_not_estimable", *spread(c), None, None, None, fit.get("mcfadden_r2"), gain))
     return rows
 
 
+def motif_logit(win: DataFrame, k: int, target: str, medians: dict[str, float], scope: str = "all", extra: Sequence[str] = ()) -> list[tuple]:
+    """One request of ``motif_logits`` over all rows."""
+    return motif_logits(win, k, [(scope, target, None)], medians, extra)
+
+
 def effectiveness_analyze(win: DataFrame, scopes: dict[str, Column], horizons: Sequence[str], main: str, small: bool) -> DataFrame:
-    """The list of motif models: main horizon, other horizons, and every scope."""
+    """The list of motif models: main horizon, other horizons, and every scope, fitted together."""
     pairs = win.where("window_length = 2")
     med = exact_quantiles(pairs.select(F.lit(1).alias("o"), *CONTROLS), ["o"], CONTROLS[0], {CONTROLS[0]: 0.5}, small)
     for c in CONTROLS[1:]:
         med = med.join(exact_quantiles(pairs.select(F.lit(1).alias("o"), c), ["o"], c, {c: 0.5}, small), "o")
     first = med.first()
     medians = {c: first[c] for c in CONTROLS} if first else {}
-    rows = []
-    for h in horizons:
-        rows += motif_logit(win, 2, f"box_entry_within_{h}", medians)
-    for name, mask in scopes.items():
-        if name != "all":
-            rows += motif_logit(win.where(mask), 2, f"box_entry_within_{main}", medians, name)
-    rows += motif_logit(win, 2, f"shot_within_{main}", medians)
-    return win.sparkSession.createDataFrame(rows, MODEL_SCHEMA)
+    requests = [("all", f"box_entry_within_{h}", None) for h in horizons]
+    requests += [(name, f"box_entry_within_{main}", mask) for name, mask in scopes.items() if name != "all"]
+    requests.append(("all", f"shot_within_{main}", None))
+    return win.sparkSession.createDataFrame(motif_logits(win, 2, requests, medians), MODEL_SCHEMA)
 
 
 def window_sample_tables(win: DataFrame, response: str, small: bool) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strideframe.operators import eligibility as L
+from strideframe.operators import logistic as LG
 from strideframe.operators import models as MD
 from strideframe.operators import points as G
 from strideframe.operators import progression as R
@@ -450,35 +451,37 @@ def mod11(fx):
     li = fx.table("lineitem").join(fx.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
         "CAST(l_returnflag = 'R' AS INT) AS returned", "l_quantity", "l_discount", "l_tax", "o_custkey"
     )
-    fit = MD.logit_cr1(li, "returned", "l_quantity", ["l_discount", "l_tax"], "o_custkey")
-    return MD.fits_table(fx.spark, "model string", [(("returned",), fit)])
+    fit = LG.logit_cr1(li, "returned", "l_quantity", ["l_discount", "l_tax"], "o_custkey")
+    return LG.fits_table(fx.spark, "model string", [(("returned",), fit)])
 
 
 CONTROLS = ["action_delta_x", "action_start_x", "seconds_from_previous"]
 
 
-def danger_fits(data, scopes, own_sd=True):
-    rows = []
+def danger_fits(data, scopes):
+    """Labels and fits of every danger model; all are fitted together."""
+    sds = data.groupBy("action_type").agg(*[F.stddev_samp(f"delta_{r}").alias(r) for r in RESP])
+    sds = {r["action_type"]: r for r in sds.collect()}  # one row an action type
+    labels, models = [], []
     for action in ("Pass", "Carry"):
-        a = data.where(F.col("action_type") == action)
-        sd = a.agg(*[F.stddev_samp(f"delta_{r}").alias(r) for r in RESP]).first()
+        own = F.col("action_type") == action
         entry, shot = f"box_entry_within_{MAIN}", f"shot_within_{MAIN}"
-        specs = [(r, entry, "all", CONTROLS, a) for r in RESP]
-        specs += [(RESP[0], entry, "unadjusted", [], a), (RESP[0], shot, "all", CONTROLS, a)]
-        specs += [(RESP[0], f"box_entry_within_{h}", "all", CONTROLS, a) for h in HORIZONS if h != MAIN]
-        specs += [(RESP[0], entry, n, CONTROLS, a.where(m)) for n, m in scopes.items() if n != "all"]
-        specs += [(RESP[0], entry, "exclude_immediate", CONTROLS, a.where("reference_is_box_entry = 0"))]
-        specs += [(RESP[0], entry, "visible_count_adjustment", [*CONTROLS, "delta_opp_point_count"], a)]
-        for r, target, scope, controls, df in specs:
-            fit = MD.logit_cr1(df, target, f"delta_{r}", controls, "match_id", reporting_sd=sd[r])
-            rows.append(((action, r, target, scope), fit))
-    return rows
+        specs = [(r, entry, "all", CONTROLS, own) for r in RESP]
+        specs += [(RESP[0], entry, "unadjusted", [], own), (RESP[0], shot, "all", CONTROLS, own)]
+        specs += [(RESP[0], f"box_entry_within_{h}", "all", CONTROLS, own) for h in HORIZONS if h != MAIN]
+        specs += [(RESP[0], entry, n, CONTROLS, own & m) for n, m in scopes.items() if n != "all"]
+        specs += [(RESP[0], entry, "exclude_immediate", CONTROLS, own & (F.col("reference_is_box_entry") == 0))]
+        specs += [(RESP[0], entry, "visible_count_adjustment", [*CONTROLS, "delta_opp_point_count"], own)]
+        for r, target, scope, controls, where in specs:
+            labels.append((action, r, target, scope))
+            models.append(LG.Model(target, {c: c for c in (f"delta_{r}", *controls)}, where, sds[action][r] if action in sds else None))
+    return list(zip(labels, LG.fit_logits(data, models, "match_id"), strict=True))
 
 
 @query("mod12_danger_models")
 def mod12(fx):
     data = durable(joined(fx).select("match_id", "action_type", "to_event_team_id", *CONTROLS, *[f"delta_{r}" for r in RESP], *_OUT, *[f"{e}_{f}" for e in ("from", "to") for f in FLAGS]))
-    return MD.fits_table(fx.spark, "action_type string, spatial_metric string, target string, scope string", danger_fits(data, T.scope_masks(GAPS, OWN)))
+    return LG.fits_table(fx.spark, "action_type string, spatial_metric string, target string, scope string", danger_fits(data, T.scope_masks(GAPS, OWN)))
 
 
 @query("mod13_linear_contrast")
@@ -486,8 +489,8 @@ def mod13(fx):
     li = fx.table("lineitem").join(fx.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
         "CAST(l_returnflag = 'R' AS INT) AS returned", "l_quantity / 10 AS q", "l_discount * 10 AS d", "o_custkey"
     )
-    fit = MD.logit_cr1(li, "returned", "q", ["d"], "o_custkey")
-    c = MD.linear_contrast(fit, {"q": 1.0, "d": -1.0})
+    fit = LG.logit_cr1(li, "returned", "q", ["d"], "o_custkey")
+    c = LG.linear_contrast(fit, {"q": 1.0, "d": -1.0})
     return fx.spark.createDataFrame([("q_vs_d", *c.values())], "contrast string, " + ", ".join(f"{k} double" for k in c))
 
 

@@ -378,14 +378,13 @@ def ctx5(fx):
 def ctx6(fx):
     controls = ["action_start_x", "action_delta_x", "seconds_from_previous"]
     c = durable(contexts(fx).select("match_id", "action_type", "context", RS, f"box_entry_within_{MAIN}", *controls))
-    rows = []
-    for action in ("Pass", "Carry"):
-        a = c.where(F.col("action_type") == action)
-        sd = a.agg(F.stddev_samp(RS).alias("sd")).first()["sd"]
-        q = [exact_quantiles(a, [], x, {x: 0.5}, fx.small) for x in controls]
-        m = q[0].crossJoin(q[1]).crossJoin(q[2]).first().asDict()
-        rows += X.context_interaction_logit(a, RS, f"box_entry_within_{MAIN}", controls, m, sd, action)
-    return fx.spark.createDataFrame(rows, X.INTERACTION_SCHEMA)
+    by = ["action_type"]
+    found = c.groupBy(*by).agg(F.stddev_samp(RS).alias("sd"))
+    for x in controls:
+        found = found.join(exact_quantiles(c, by, x, {x: 0.5}, fx.small), by)
+    known = {r["action_type"]: r for r in found.collect()}  # one row an action type
+    groups = {a: (F.col("action_type") == a, {x: known[a][x] for x in controls}, known[a]["sd"]) for a in ("Pass", "Carry") if a in known}
+    return fx.spark.createDataFrame(X.context_interaction_logits(c, RS, f"box_entry_within_{MAIN}", controls, groups), X.INTERACTION_SCHEMA)
 
 
 @query("ctx7_motif_context_logit")

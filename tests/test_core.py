@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strideframe.functions import points as P
+from strideframe.operators import logistic as L
 from strideframe.operators import models as M
 from strideframe.operators.ordered import Lane, Scan, Shift, number, scan, shift
 from strideframe.operators.outcomes import anchor_outcomes
@@ -77,11 +78,11 @@ def test_student_t():
 def test_logit_matches_closed_form(spark):
     rows = [(y, x, c) for x, (p, n) in {0: (10, 40), 1: (25, 15)}.items() for y, m in ((1, p), (0, n)) for c in range(5) for _ in range(m // 5)]
     df = spark.createDataFrame(rows, "y int, x int, g int")
-    fit = M.logit_cr1(df, "y", "x", [], "g")
+    fit = L.logit_cr1(df, "y", "x", [], "g")
     assert fit["model_status"] == "ok"
     assert abs(fit["coefficient"] - math.log((25 / 15) / (10 / 40))) < 1e-6
-    assert M.logit_cr1(df.withColumn("x", F.lit(1)), "y", "x", [], "g")["model_status"] == "constant_predictor"
-    assert M.logit_cr1(df.withColumn("y", F.col("x")), "y", "x", [], "g")["model_status"] == "unstable_or_separated"
+    assert L.logit_cr1(df.withColumn("x", F.lit(1)), "y", "x", [], "g")["model_status"] == "constant_predictor"
+    assert L.logit_cr1(df.withColumn("y", F.col("x")), "y", "x", [], "g")["model_status"] == "unstable_or_separated"
 
 
 def test_ols_forms_agree(spark):
