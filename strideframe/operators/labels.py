@@ -148,6 +148,27 @@ def top_passers(events: DataFrame, player: str, n: int) -> DataFrame:
     return pass_completion(events, [player]).orderBy(F.desc("passes"), player).limit(n)
 
 
+def season_inventory(matches: DataFrame, events: DataFrame, lineups: DataFrame, frames: DataFrame) -> DataFrame:
+    """Events, teams with a lineup and snapshots of every match; a match without rows in a table counts 0 there.
+
+    All four have match_id, lineups also team_id. Each table is counted by match before the join.
+    """
+    count = lambda df, name, n: df.groupBy("match_id").agg(n.alias(name))
+    out = matches.select("match_id").distinct()
+    one = F.count(F.lit(1))
+    for df, name, n in ((events, "event_count", one), (lineups, "lineup_team_count", F.count_distinct("team_id")), (frames, "frame_count", one)):
+        out = out.join(count(df, name, n), "match_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def season_profile(inventory: DataFrame, small: bool) -> DataFrame:
+    """``measure, count, total, mean, std, min, p25, median, p75, max, zeros`` of each count over the matches."""
+    names = [c for c in inventory.columns if c != "match_id"]
+    long = inventory.select(F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("v")) for n in names])))
+    extra = {"total": F.sum("v"), "zeros": F.count_if(F.col("v") == 0)}
+    return distribution(long, ["measure"], "v", small, {"p25": 0.25, "median": 0.5, "p75": 0.75}, extra)
+
+
 def match_results(events: DataFrame, own: int) -> DataFrame:
     """Win, draw or loss by counted goals of each side, and per-match counts."""
     goal = F.col("is_goal")

@@ -22,10 +22,10 @@ OUTC = f"""outc AS (SELECT {K}, event_id, event_index, t_us,
  FROM own WHERE (event_team_id = {OWN} AND event_type = 'Shot') OR coalesce({_ENTRY}, FALSE))"""
 
 
-def _labels_sql():
-    pair = f"""pr AS (SELECT a.{', a.'.join(SESSION)}, a.event_id, a.event_index, a.t_us, o.event_id AS oid, o.event_index AS oi,
+def _labels_sql(outcomes="outc", pairs="pr", labels="lab"):
+    pair = f"""{pairs} AS (SELECT a.{', a.'.join(SESSION)}, a.event_id, a.event_index, a.t_us, o.event_id AS oid, o.event_index AS oi,
   o.t_us - a.t_us AS el, o.outcome_type AS ot, o.shot_xg AS xg
-  FROM (SELECT * FROM own WHERE validated_anchor) a LEFT JOIN outc o
+  FROM (SELECT * FROM own WHERE validated_anchor) a LEFT JOIN {outcomes} o
    ON a.match_id = o.match_id AND a.period = o.period AND a.possession_id = o.possession_id AND o.event_index >= a.event_index)"""
     cols = [
         "COUNT(*) FILTER (oid = event_id AND ot = 'box_entry') AS reference_is_box_entry",
@@ -48,10 +48,10 @@ def _labels_sql():
     cols.append(
         "CASE WHEN COUNT(*) FILTER (ot = 'shot' AND xg IS NULL) = 0 THEN COALESCE(SUM(xg) FILTER (ot = 'shot'), 0) END AS future_xg_rest"
     )
-    return f"{OUTC}, {pair}, lab AS (SELECT {K}, event_id, event_index, t_us, {', '.join(cols)} FROM pr GROUP BY {K}, event_id, event_index, t_us)"
+    return f"{pair}, {labels} AS (SELECT {K}, event_id, event_index, t_us, {', '.join(cols)} FROM {pairs} GROUP BY {K}, event_id, event_index, t_us)"
 
 
-LABELS = _labels_sql()
+LABELS = f"{OUTC}, {_labels_sql()}"
 XG = [f"future_xg_{h}" for h in (*HORIZONS, "rest")]
 
 
@@ -169,6 +169,26 @@ def out6(fx):
     return O.compare_labels(base, again)
 
 
+_ROUNDED = f"* REPLACE ({', '.join(f'ROUND({c}, 9) AS {c}' for c in [*XG, 'next_shot_xg', 'reference_shot_xg'])})"
+
+
+@query(
+    "out6_boundary_leak",
+    sql(
+        f"""{LABELS}, outc2 AS (SELECT * REPLACE (CASE WHEN outcome_type = 'shot' AND event_id % 5 = 0 THEN 0.75 ELSE shot_xg END AS shot_xg) FROM outc), {_labels_sql("outc2", "pr2", "lab2")}
+ SELECT (SELECT COUNT(*) FROM (SELECT {_ROUNDED} FROM lab EXCEPT ALL SELECT {_ROUNDED} FROM lab2)) AS changed_labels, (SELECT COUNT(*) FROM lab) AS anchors""",
+        EV,
+        OWN_EV,
+    ),
+)
+def out6b(fx):
+    """The same probe with shots of the anchors' own sessions valued anew: these labels must move."""
+    other = F.when((F.col("outcome_type") == "shot") & (F.col("event_id") % 5 == 0), 0.75).otherwise(F.col("shot_xg"))
+    again = O.anchor_outcomes(fx.own.where("validated_anchor"), outcomes(fx).withColumn("shot_xg", other), SESSION, HORIZONS, fx.n_events * 6)
+    even = {c: F.round(c, 9) for c in [*XG, "next_shot_xg", "reference_shot_xg"]}
+    return O.compare_labels(labels(fx).withColumns(even), again.withColumns(even))
+
+
 @query(
     "out7_check_inputs",
     sql(

@@ -571,6 +571,40 @@ def eda3(fx):
     return B.match_results(fx.ev.withColumn("is_goal", F.expr("event_type = 'Shot' AND k % 9 = 0")), OWN)
 
 
+#: lineups of both teams but for one match, snapshots of all matches but two
+SEASON = f"""ms AS (SELECT DISTINCT match_id FROM ev), lu AS (SELECT match_id, CASE t WHEN 0 THEN {OWN} ELSE match_id + 1 END AS team_id FROM ms, (VALUES (0), (1)) v(t) WHERE NOT (match_id = 7 AND t = 1)),
+ fr AS (SELECT match_id FROM ev WHERE linked AND match_id NOT IN (3, 8)),
+ sn AS (SELECT match_id, (SELECT COUNT(*) FROM ev e WHERE e.match_id = ms.match_id) AS event_count, (SELECT COUNT(DISTINCT team_id) FROM lu l WHERE l.match_id = ms.match_id) AS lineup_team_count,
+   (SELECT COUNT(*) FROM fr f WHERE f.match_id = ms.match_id) AS frame_count FROM ms)"""
+
+
+def season(fx):
+    ms = fx.ev.select("match_id").distinct()
+    teams = ms.select("match_id", F.explode(F.array(F.lit(OWN), F.col("match_id") + 1)).alias("team_id")).where(~((F.col("match_id") == 7) & (F.col("team_id") == 8)))
+    return B.season_inventory(ms, fx.ev, teams, fx.ev.where("linked AND match_id NOT IN (3, 8)"))
+
+
+@query("eda3_season_inventory", sql(f"{SEASON} SELECT * FROM sn", EV))
+def eda3b(fx):
+    return season(fx)
+
+
+_SN = ("event_count", "lineup_team_count", "frame_count")
+
+
+@query(
+    "eda3_season_profile",
+    sql(
+        f"""{SEASON}, l AS ({" UNION ALL ".join(f"SELECT '{n}' AS measure, {n}::DOUBLE AS v FROM sn" for n in _SN)})
+ SELECT measure, COUNT(v) AS count, ROUND(AVG(v), 6) AS mean, ROUND(STDDEV_SAMP(v), 6) AS std, MIN(v) AS min, MAX(v) AS max, SUM(v) AS total, COUNT(*) FILTER (v = 0) AS zeros,
+  ROUND(QUANTILE_CONT(v, 0.25), 6) AS p25, ROUND(MEDIAN(v), 6) AS median, ROUND(QUANTILE_CONT(v, 0.75), 6) AS p75 FROM l GROUP BY measure""",
+        EV,
+    ),
+)
+def eda3c(fx):
+    return rd(B.season_profile(season(fx), fx.small))
+
+
 @query("src2_read_table", sql("SELECT event_id, user_id FROM events", "one AS (SELECT 1)"))
 def src2(fx):
     return readers.read_table(fx.spark, f"{fx.dir}/events.parquet", ["event_id", "user_id"])
@@ -582,6 +616,23 @@ def snk2(fx):
     return readers.verify_rerun(a, a.repartition(7, "event_id"))
 
 
+@query(
+    "snk2_verify_changed",
+    sql(
+        """a AS (SELECT event_id, event_index, event_type, t_us FROM own), b0 AS (SELECT event_id, event_index, CASE WHEN event_id % 211 = 3 THEN 'changed' ELSE event_type END AS event_type, t_us FROM a WHERE event_id % 223 <> 4),
+ b AS (SELECT * FROM b0 UNION ALL SELECT * FROM b0 WHERE event_id % 227 = 5)
+ SELECT (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_first, (SELECT COUNT(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_second""",
+        EV,
+        OWN_EV,
+    ),
+)
+def snk2c(fx):
+    """A copy with changed, lost and repeated rows."""
+    a = fx.own.select("event_id", "event_index", "event_type", "t_us")
+    b = a.where("event_id % 223 <> 4").withColumn("event_type", F.expr("CASE WHEN event_id % 211 = 3 THEN 'changed' ELSE event_type END"))
+    return readers.verify_rerun(a, b.unionByName(b.where("event_id % 227 = 5")))
+
+
 @query("snk2_table_fingerprint")
 def snk2b(fx):
     return readers.table_fingerprint(fx.ev)
