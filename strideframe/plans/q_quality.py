@@ -319,7 +319,8 @@ BY = f"{V}, metric, candidate"
 
 
 def grid(fx):
-    return L.Grid(durable(geometry(fx)), CTX, framed(fx).select("visible_area_fraction"), candidates(fx), fx.small_frames)
+    columns = dict.fromkeys([*CTX, *G.VARIANT, *G.METRICS, *[f"{m}_status" for m in G.METRICS]])
+    return L.Grid(durable(geometry(fx).select(*columns)), CTX, framed(fx).select("visible_area_fraction"), candidates(fx), fx.small_frames)
 
 
 @query("cal2_empirical_thresholds", sql(f"{PREP}, {THR} SELECT {V}, variable, quantile, ROUND(threshold, 6) AS threshold FROM th", *_B))
