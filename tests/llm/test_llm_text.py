@@ -223,6 +223,57 @@ def test_kneser_ney_is_a_distribution(spark):
             assert total == pytest.approx(1.0, abs=1e-6)
 
 
+def plain_kneser_ney(texts):
+    """Score function of the interpolated modified Kneser-Ney model of ``texts``, by recursion over plain dicts."""
+    n = quality.ORDER
+    levels = {n - 1: Counter()}
+    for text in texts:
+        t = "\x02" * (n - 1) + text + "\x03"
+        for i in range(n - 1, len(t)):
+            levels[n - 1][t[i - n + 1 : i], t[i]] += 1
+    for size in range(n - 2, -1, -1):
+        levels[size] = Counter((ctx[1:], sym) for ctx, sym in levels[size + 1])
+    symbols = {s for _, s in levels[0]}
+
+    def discounts(counts):
+        t = Counter(counts.values())
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + t[2] else None
+        return [0.5 * k if y is None or not t[k] else max(0.05, min(k - (k + 1) * y * t[k + 1] / t[k], k - 0.05)) for k in (1, 2, 3)]
+
+    off = {size: discounts(c) for size, c in levels.items()}
+    under = {size: {} for size in levels}
+    for size, counts in levels.items():
+        for (ctx, sym), c in counts.items():
+            under[size].setdefault(ctx, {})[sym] = c
+
+    def prob(ctx, sym):
+        below = prob(ctx[1:], sym) if ctx else 1 / (1 + len(symbols))
+        seen = under[len(ctx)].get(ctx)
+        if not seen:
+            return below
+        take = {s: min(off[len(ctx)][min(c, 3) - 1], c) for s, c in seen.items()}
+        return (seen.get(sym, 0) - take.get(sym, 0) + sum(take.values()) * below) / sum(seen.values())
+
+    def perplexity(text):
+        t = "\x02" * (n - 1) + " ".join(text.split()) + "\x03"
+        return math.exp(-sum(math.log(prob(t[i - n + 1 : i], t[i])) for i in range(n - 1, len(t))) / (len(t) - n + 1))
+
+    return perplexity
+
+
+def test_perplexity_equals_plain_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(quality, "WINDOW", 700)
+    known = {"en": [prose(k, 60, EN) for k in range(5)], "fr": [prose(k, 50, FR) for k in range(4)]}
+    sample = spark.createDataFrame([(x, t) for x, ts in known.items() for t in ts], "lang string, text string")
+    plain = {x: plain_kneser_ney(ts) for x, ts in known.items()}
+    texts = [prose(20, 30, EN), prose(21, 400, EN), prose(22, 40, FR), "zq\u4e2d\U0001f600 the", "a", "For For\n\tFor  For"]
+    rows = [(i, t, x) for i, (t, x) in enumerate((t, x) for t in texts for x in known)]
+    got = {r.doc_id: r for r in quality.perplexities(documents(spark, rows), sample).collect()}
+    for i, t, x in rows:
+        assert got[i].perplexity == pytest.approx(plain[x](t), rel=1e-5)
+        assert got[i].n_units == len(" ".join(t.split())) + 1
+
+
 def test_quality_keeps_prose_and_drops_noise(spark):
     r = random.Random(9)
     noise = lambda k: " ".join("".join(r.choice("xqzj#$%&") for _ in range(7)) for _ in range(40))
