@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
-    """``bucket, doc_id`` for every band with a filled register."""
+    """``bucket, band, doc_id`` for every band with a filled register."""
 
     def run(batches):
         for batch in batches:
@@ -136,9 +136,9 @@ def band_keys(reps: DataFrame) -> DataFrame:
                 band = np.ascontiguousarray(regs[:, j * ROWS : (j + 1) * ROWS])
                 filled = band.any(axis=1)
                 keys = [xxhash.xxh64_intdigest(x.tobytes(), seed=j) for x in band[filled]]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(keys, np.uint64))), pa.array(names[filled])], ["bucket", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(keys, np.uint64))), pa.array(np.full(len(keys), j, np.int32)), pa.array(names[filled])], ["bucket", "band", "doc_id"])
 
-    return reps.select("doc_id", "registers").mapInArrow(run, "bucket long, doc_id long")
+    return reps.select("doc_id", "registers").mapInArrow(run, "bucket long, band int, doc_id long")
 
 
 def _linked(common: int, a: int, b: int, percent: int) -> bool:
@@ -181,64 +181,93 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, store: Store) -> D
     return left.groupBy("a", "piece").cogroup(right.groupBy("of", "at")).applyInPandas(check, "a long, b long")
 
 
+def _compare(ids: np.ndarray, own: np.ndarray, component: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], band: int, across: bool, percent: int) -> list[tuple[int, int]]:
+    """Links ``a, b`` among the members of two pieces of a bucket, rows by ascending id, that join components.
+
+    Only members outside the largest component are held against all others. Pairs that share an earlier band too are
+    left to that band's bucket.
+    """
+    n, found = len(ids), []
+    root = np.unique(component, return_inverse=True)[1]
+    large = root == np.bincount(root).argmax()
+    size = np.array([len(x) for x in sets])
+    # an empty register equals none
+    right, empty = np.where(regs > 0, regs, np.uint16(65535)), (regs == 0).astype(np.float32)
+    flat = np.ascontiguousarray(right.T)
+    minor = np.flatnonzero(~large)
+    for low in range(0, len(minor), 128):
+        here = minor[low : low + 128]
+        if n <= 64:
+            equal = (regs[here][:, None, :] == right[None]).sum(-1)
+        else:  # register by register, many pairs at once
+            equal = np.zeros((len(here), n), np.uint8)
+            for r in range(REGISTERS):
+                equal += regs[here, r][:, None] == flat[r][None, :]
+        filled = REGISTERS - empty[here] @ empty.T
+        pairs = _hopeful(equal, filled, percent / 100) & (root[here][:, None] != root[None, :])
+        pairs &= large[None, :] | (here[:, None] < np.arange(n)[None, :])
+        pairs &= 100 * np.minimum(size[here][:, None], size[None, :]) >= percent * np.maximum(size[here][:, None], size[None, :])
+        if across:
+            pairs &= own[here][:, None] != own[None, :]
+        for i in here[pairs.any(axis=1)].tolist():
+            others = np.flatnonzero(pairs[np.searchsorted(here, i)])
+            others = others[root[others] != root[i]]
+            if band and len(others):
+                shared = (regs[others, : band * ROWS] == regs[i, : band * ROWS]).reshape(-1, band, ROWS).all(axis=2)
+                others = others[~(shared & regs[i, : band * ROWS].reshape(band, ROWS).any(axis=1)).any(axis=1)]
+            if not len(others):
+                continue
+            every = np.concatenate([sets[j] for j in others])
+            at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            common = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(size[others])[:-1]]))
+            for j in others[100 * common >= percent * (size[others] + size[i] - common)].tolist():
+                if root[j] != root[i]:
+                    found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                    root[root == root[j]] = root[i]
+    return found
+
+
 def _rest(members: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links inside buckets whose members don't all hang together yet: ``a, b``, enough of them to join what is linked.
 
     A bucket is cut into pieces of PIECE members and compared by pairs of pieces, each pair of members only in the first
-    bucket that they share and only if they are of different components; within a task, links already implied are left
-    out. ``full``: ``doc_id, registers, shingles``.
+    bucket that they share and only if they are of different components; within a pair of pieces, links already implied
+    are left out. Most buckets hold two members, so a task goes through its sorted rows as one stream and holds one pair
+    of pieces at a time. ``members``: ``bucket, band, doc_id``; ``full``: ``doc_id, registers, shingles``.
     """
     joined = members.join(labels, "doc_id")
     mixed = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     cuts = F.greatest(F.lit(1), F.ceil(F.col("n") / PIECE)).cast("int")
-    mine = joined.join(mixed, "bucket").select("bucket", "doc_id", "component", cuts.alias("cuts"), F.pmod(F.xxhash64("doc_id"), cuts.cast("long")).cast("int").alias("own"))
+    mine = joined.join(mixed, "bucket").select("bucket", "band", "doc_id", "component", cuts.alias("cuts"), F.pmod(F.xxhash64("doc_id"), cuts.cast("long")).cast("int").alias("own"))
     # a member goes to all pairs of pieces that hold its own
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "component")
-    ready = dealt.join(full, "doc_id")
-
-    def check(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        n, found = len(rows), []
-        regs = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(n, REGISTERS)
-        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        size = np.array([len(x) for x in sets])
-        bands = np.ascontiguousarray(regs[:, : BANDS * ROWS]).reshape(n, BANDS, ROWS)
-        key = int(rows["bucket"].iloc[0]) % 2**64
-        band = next((j for j in range(BANDS) for k in range(n) if xxhash.xxh64_intdigest(bands[k, j].tobytes(), seed=j) == key), BANDS)
-        codes = np.stack([pd.factorize(np.array([x.tobytes() for x in bands[:, j]], dtype=object))[0] for j in range(BANDS)], axis=1)
-        codes = np.where(bands.any(axis=2), codes, -1)
-        ids, own, p, q = rows["doc_id"].to_numpy(), rows["own"].to_numpy(), rows["p"].iloc[0], rows["q"].iloc[0]
-        root = pd.factorize(rows["component"])[0].astype(np.int64)
-        # register by register, many pairs at once; an empty register equals none
-        right = np.ascontiguousarray(np.where(regs > 0, regs, np.uint16(65535)).T)
-        empty = (regs == 0).astype(np.float32)
-        for low in range(0, n, 128):
-            here = np.arange(low, min(n, low + 128))
-            equal = np.zeros((len(here), n), np.uint8)
-            for r in range(REGISTERS):
-                equal += regs[here, r][:, None] == right[r][None, :]
-            filled = REGISTERS - empty[here] @ empty.T
-            pairs = _hopeful(equal, filled, percent / 100) & (here[:, None] < np.arange(n)[None, :]) & (root[here][:, None] != root[None, :])
-            pairs &= 100 * np.minimum(size[here][:, None], size[None, :]) >= percent * np.maximum(size[here][:, None], size[None, :])
-            if p != q:
-                pairs &= own[here][:, None] != own[None, :]
-            for i in here[pairs.any(axis=1)].tolist():
-                later = np.flatnonzero(pairs[i - low])
-                later = later[root[later] != root[i]]
-                later = later[~((codes[later, :band] == codes[i, :band]) & (codes[i, :band] >= 0)).any(axis=1)]
-                if not len(later):
-                    continue
-                every = np.concatenate([sets[j] for j in later])
-                at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
-                common = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(size[later])[:-1]]))
-                for j in later[100 * common >= percent * (size[later] + size[i] - common)].tolist():
-                    if root[j] != root[i]:
-                        found.append((ids[i], ids[j]))
-                        root[root == root[j]] = root[i]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    dealt = dealt.select("bucket", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "component")
+    ready = dealt.join(full, "doc_id").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "doc_id")
+
+    def run(batches):
+        names = ("bucket", "band", "p", "q", "own", "doc_id", "component", "registers", "shingles")
+        held: list[tuple] = []
 
-    return ready.groupBy("bucket", "p", "q").applyInPandas(check, "a long, b long")
+        def links() -> list[tuple[int, int]]:
+            _, bands, ps, qs, own, ids, component, regs, sets = zip(*held, strict=True)
+            regs = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
+            return _compare(np.array(ids), np.array(own), np.array(component), regs, [np.frombuffer(x, np.uint64) for x in sets], bands[0], ps[0] != qs[0], percent)
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            found = []
+            for row in zip(*[batch.column(x).to_pylist() for x in names], strict=True):
+                if held and (held[0][0], held[0][2], held[0][3]) != (row[0], row[2], row[3]):
+                    found += links()
+                    held.clear()
+                held.append(row)
+            yield batch_of(found)
+        if held:
+            yield batch_of(links())
+
+    return ready.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, store: Store, name: str) -> DataFrame:
