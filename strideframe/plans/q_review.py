@@ -65,25 +65,50 @@ def rev2(fx):
     return V.local_peak_count(path(fx), fx.lane(*KEY))
 
 
+#: Names of the sampling criteria.
 _CATS = ["nearly_monotonic", "one_small_backward", "large_single_backward", "single_without_extended_run", "gradual_multi_action",
-         "high_backward_without_large_action", "unrecovered_observation", "retreat_then_renewed_progression", "throw_in_restart",
-         "out_context", "shot_context", "sparse_anchors", "circulation_for_review"]
+         "high_backward_without_large_action", "immediate_observed_recovery", "delayed_observed_recovery", "unrecovered_observation",
+         "retreat_then_renewed_progression", "advanced_origin_retreat", "deeper_origin_retreat", "corner_started", "free_kick_started",
+         "throw_in_restart", "out_context", "shot_context", "opponent_pressure_anchor", "shot_then_same_parent_actions",
+         "multiple_local_peaks_long", "very_long", "dense_anchors", "short_fast", "sparse_anchors", "circulation_for_review"]
 
 
 def flags(fx):
     return V.category_flags(possessions(fx), recoveries(fx), stream(fx), V.local_peak_count(path(fx), fx.lane(*KEY)), KEY, OWN, HOUR_US)
 
 
-FLG = f"""{FULL}, rf AS (SELECT {K}, BOOL_OR(NOT recovered) AS unrecovered_observation, BOOL_OR(new_peak_reached) AS retreat_then_renewed_progression FROM rec GROUP BY {K}),
- tf AS (SELECT {K}, BOOL_OR(pass_type = 'Throw-in') AS throw_in_restart, BOOL_OR(is_out) AS out_context, BOOL_OR(event_type = 'Shot') AS shot_context FROM rich WHERE possession_team_id = {OWN} GROUP BY {K}),
- fg AS (SELECT {K}, COALESCE(positive_action_count >= 2 AND maximum_retreat <= 5, FALSE) AS nearly_monotonic,
-   COALESCE(negative_action_count = 1 AND maximum_single_backward <= 5 AND cumulative_forward_x >= 30, FALSE) AS one_small_backward, COALESCE(maximum_single_backward >= 20, FALSE) AS large_single_backward,
-   COALESCE(maximum_single_backward >= 20 AND maximum_negative_run = 1, FALSE) AS single_without_extended_run,
-   COALESCE(maximum_negative_run >= 3 AND cumulative_backward_x >= 15 AND maximum_single_backward < 20, FALSE) AS gradual_multi_action,
-   COALESCE(cumulative_backward_x >= 40 AND maximum_single_backward < 20, FALSE) AS high_backward_without_large_action, COALESCE(unrecovered_observation, FALSE) AS unrecovered_observation,
-   COALESCE(retreat_then_renewed_progression, FALSE) AS retreat_then_renewed_progression, COALESCE(throw_in_restart, FALSE) AS throw_in_restart, out_context, shot_context, anchor_count <= 1 AS sparse_anchors,
-   COALESCE(maximum_retreat BETWEEN 5 AND 25 AND positive_action_count >= 2 AND negative_action_count >= 2 AND duration_us / 3600000000 <= 60, FALSE) AS circulation_for_review
-  FROM pp LEFT JOIN rf USING ({K}) LEFT JOIN tf USING ({K}))"""
+_HOURS = "(duration_us / 3600000000)"
+_MINE = f"(event_team_id = {OWN} AND event_type IN ('Pass', 'Carry'))"
+#: The criteria and their thresholds.
+_CRITERIA = {
+    "nearly_monotonic": "positive_action_count >= 2 AND maximum_retreat <= 5",
+    "one_small_backward": "negative_action_count = 1 AND maximum_single_backward <= 5 AND cumulative_forward_x >= 30",
+    "large_single_backward": "maximum_single_backward >= 20",
+    "single_without_extended_run": "maximum_single_backward >= 20 AND maximum_negative_run = 1",
+    "gradual_multi_action": "maximum_negative_run >= 3 AND cumulative_backward_x >= 15 AND maximum_single_backward < 20",
+    "high_backward_without_large_action": "cumulative_backward_x >= 40 AND maximum_single_backward < 20",
+    "corner_started": "first_pass = 'Corner'",
+    "free_kick_started": "first_pass = 'Free Kick'",
+    "shot_then_same_parent_actions": "last_action > first_shot",
+    "multiple_local_peaks_long": f"{_HOURS} > 60 AND local_peaks >= 3",
+    "very_long": f"{_HOURS} > 120",
+    "dense_anchors": "anchor_count >= 50",
+    "short_fast": f"{_HOURS} > 0 AND {_HOURS} <= 10 AND net_x / NULLIF({_HOURS}, 0) >= 3",
+    "sparse_anchors": "anchor_count <= 1",
+    "circulation_for_review": f"maximum_retreat BETWEEN 5 AND 25 AND positive_action_count >= 2 AND negative_action_count >= 2 AND {_HOURS} <= 60",
+}
+FLG = f"""{FULL}, rf AS (SELECT {K}, BOOL_OR(NOT recovered) AS unrecovered_observation, BOOL_OR(new_peak_reached) AS retreat_then_renewed_progression,
+  BOOL_OR(recovered AND seconds_to_recover <= 3 * 3600) AS immediate_observed_recovery, BOOL_OR(recovered AND seconds_to_recover > 15 * 3600) AS delayed_observed_recovery,
+  BOOL_OR(retreat_size BETWEEN 20 AND 40 AND previous_peak_x >= 100) AS advanced_origin_retreat, BOOL_OR(retreat_size BETWEEN 20 AND 40 AND previous_peak_x <= 60) AS deeper_origin_retreat FROM rec GROUP BY {K}),
+ tf AS (SELECT {K}, BOOL_OR(pass_type = 'Throw-in') AS throw_in_restart, BOOL_OR(is_out) AS out_context, BOOL_OR(event_type = 'Shot') AS shot_context,
+  BOOL_OR(validated_anchor AND event_team_id <> {OWN} AND event_type = 'Pressure') AS opponent_pressure_anchor,
+  arg_min(COALESCE(pass_type, ''), event_index) FILTER ({_MINE}) AS first_pass, MAX(event_index) FILTER ({_MINE}) AS last_action,
+  MIN(event_index) FILTER (event_type = 'Shot' AND event_team_id = {OWN}) AS first_shot FROM rich WHERE possession_team_id = {OWN} GROUP BY {K}),
+ lm AS (SELECT * FROM (SELECT *, LAG(x) OVER (PARTITION BY {K} ORDER BY event_index, vertex_no) AS before FROM path) WHERE before IS NULL OR before <> x),
+ ll AS (SELECT *, LAG(x) OVER u AS xa, LEAD(x) OVER u AS xb FROM lm WINDOW u AS (PARTITION BY {K} ORDER BY event_index, vertex_no)),
+ lp AS (SELECT {K}, COUNT(*) FILTER (x > xa AND x > xb) AS local_peaks FROM ll GROUP BY {K}),
+ fg AS (SELECT {K}, {", ".join(f"COALESCE({_CRITERIA.get(c, c)}, FALSE) AS {c}" for c in _CATS)}
+  FROM pp LEFT JOIN rf USING ({K}) LEFT JOIN tf USING ({K}) LEFT JOIN lp USING ({K}))"""
 _BF = (EV, RICH, OWN_EV)
 
 
