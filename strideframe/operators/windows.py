@@ -173,7 +173,7 @@ def label_table(spark: SparkSession, system: str, ks: Sequence[int] = (2, 3)) ->
 
 
 def motif_summary(scoped: DataFrame, system: str, session: Sequence[str], values: Sequence[str], small: bool) -> DataFrame:
-    """N, matches, sessions, share and quartiles per motif and scope; absent motifs have N = 0."""
+    """N, matches, sessions, share, and for each value its count, quartiles and their distance, per motif and scope; absent motifs have N = 0."""
     field = "action_type_motif" if system == "action" else "direction_profile"
     data = scoped.withColumn("motif", F.col(field))
     by = ["window_length", "scope", "motif"]
@@ -184,9 +184,15 @@ def motif_summary(scoped: DataFrame, system: str, session: Sequence[str], values
     total = agg.groupBy("window_length", "scope").agg(F.sum("n").alias("scope_windows"))
     grid = total.join(F.broadcast(label_table(scoped.sparkSession, system)), "window_length")  # 2^k labels
     out = grid.join(agg, by, "left")
-    for v in values:
-        q = exact_quantiles(data, by, v, {f"{v}_q25": 0.25, f"{v}_median": 0.5, f"{v}_q75": 0.75}, small)
-        out = out.join(q, by, "left")
+    # all values in one pass: a row a window and value that is there, quartiles by value name, one row a motif again
+    pairs = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])
+    long = data.select(*by, F.inline(pairs)).where("v IS NOT NULL")
+    spread = exact_quantiles(long, [*by, "name"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75}, small)
+    spread = spread.join(long.groupBy(*by, "name").agg(F.count(F.lit(1)).alias("known")), [*by, "name"])
+    mine = lambda v, c: F.max(F.when(F.col("name") == v, F.col(c)))
+    wide = spread.groupBy(*by).agg(*[mine(v, c).alias(f"{v}_{c}") for v in values for c in ("known", "q25", "median", "q75")])
+    out = out.join(wide, by, "left").withColumns({f"{v}_known": F.coalesce(f"{v}_known", F.lit(0)) for v in values})
+    out = out.withColumns({f"{v}_iqr": F.col(f"{v}_q75") - F.col(f"{v}_q25") for v in values})
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("n", "sessions", "matches")}
     return out.withColumns(zero).withColumn("share_of_windows", F.round(F.col("n") / F.col("scope_windows"), 6))
 

@@ -32,7 +32,7 @@ def wins(fx):
 _PICK = ["match_id", "period", "possession_id", "window_id", "window_length", "action_type_motif", "direction_profile", "carry_action_count",
          "total_progression", "first_action_start_x", "duration_seconds", "maximum_leg_gap", "intervening_event_count", "starting_third",
          "start_event_id", "terminal_event_id", "terminal_event_team_id", "any_frame_oob", "any_frame_oob_unknown", "any_frame_coincident",
-         "any_frame_coincident_unknown", "net_opp_centroid_x", "net_opp_width", "observed_opp_centroid_x_status"]
+         "any_frame_coincident_unknown", "observed_opp_centroid_x_status", *[f"net_{r}" for r in RESP], *[f"leg_{i}_delta_{RESP[0]}" for i in (1, 2, 3)]]
 
 
 def stored(fx):
@@ -135,10 +135,12 @@ def mot5(fx):
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-_SV = ("total_progression", "net_opp_centroid_x")
-SUMM = f"""{CHAIN}, {WSC}, {LAB}, tt AS (SELECT scope, window_length, COUNT(*) AS scope_windows FROM ws GROUP BY ALL),
+#: what motifs are described by: progress, duration, net change of each response, change of the first response leg by leg
+_SV = ("total_progression", "net_opp_centroid_x", "duration_seconds", *[f"net_{r}" for r in RESP[1:]], *[f"leg_{i}_delta_{RESP[0]}" for i in (1, 2, 3)])
+_LEGS = ", ".join(f"CASE WHEN window_length >= {i} THEN st[{i + 1}].{RESP[0]} - st[{i}].{RESP[0]} END AS leg_{i}_delta_{RESP[0]}" for i in (1, 2, 3))
+SUMM = f"""{CHAIN}, {WSC.replace("SELECT *, '", f"SELECT *, {_LEGS}, '")}, {LAB}, tt AS (SELECT scope, window_length, COUNT(*) AS scope_windows FROM ws GROUP BY ALL),
  sm AS (SELECT t.window_length, t.scope, motif, scope_windows, COUNT(window_id) AS n, COUNT(DISTINCT CASE WHEN window_id IS NOT NULL THEN (match_id, period, possession_id) END) AS sessions,
-   COUNT(DISTINCT match_id) AS matches, {", ".join(f"QUANTILE_CONT({v}, {q}) AS {v}_{n}" for v in _SV for n, q in (("q25", .25), ("median", .5), ("q75", .75)))}
+   COUNT(DISTINCT match_id) AS matches, {", ".join(f"COUNT({v}) AS {v}_known" for v in _SV)}, {", ".join(f"QUANTILE_CONT({v}, {q}) AS {v}_{n}" for v in _SV for n, q in (("q25", .25), ("median", .5), ("q75", .75)))}
   FROM tt t JOIN lb USING (window_length) LEFT JOIN ws ON ws.window_length = t.window_length AND ws.scope = t.scope AND action_type_motif = motif GROUP BY ALL)"""
 
 
@@ -146,7 +148,7 @@ SUMM = f"""{CHAIN}, {WSC}, {LAB}, tt AS (SELECT scope, window_length, COUNT(*) A
     "mot6_motif_summary",
     sql(
         f"""{SUMM} SELECT window_length, scope, motif, scope_windows, n, sessions, matches, ROUND(n / scope_windows, 6) AS share_of_windows,
- {", ".join(f"ROUND({v}_{n}, 6) AS {v}_{n}" for v in _SV for n in ("q25", "median", "q75"))} FROM sm""",
+ {", ".join(f"{v}_known, ROUND({v}_q75 - {v}_q25, 6) AS {v}_iqr" for v in _SV)}, {", ".join(f"ROUND({v}_{n}, 6) AS {v}_{n}" for v in _SV for n in ("q25", "median", "q75"))} FROM sm""",
         *BASE,
     ),
 )
@@ -168,7 +170,7 @@ def mot7(fx):
     ),
 )
 def mot8(fx):
-    return rd(N.motif_sensitivity(N.motif_summary(scoped(fx), "action", SESSION, _SV[1:], fx.small), _SV[1]))
+    return rd(N.motif_sensitivity(N.motif_summary(scoped(fx), "action", SESSION, _SV[1:2], fx.small), _SV[1]))
 
 
 @query(
