@@ -21,7 +21,9 @@ from strideframe.sources.stage import durable
 #: Largest group that may be handed to a single task.
 GROUP_LIMIT = 4_000_000
 
-_BLK = "__blk"
+#: names of a scan's own columns all begin so; no caller's column may
+_OWN = "__scan_"
+_BLK = "__scan_block"
 
 
 @dataclass(frozen=True)
@@ -107,13 +109,13 @@ def _inside(s: Scan | Shift, keys: Iterable[str], order: tuple[str, ...]) -> Col
 
 def _ends(s: Shift, order: tuple[str, ...]) -> Column:
     """The rows of a block that its neighbours may ask for, in order: the last or the first ``k``."""
-    near = F.col("__rev" if s.k > 0 else "__pos") <= abs(s.k)
-    return F.array_sort(F.collect_list(F.when(near, F.struct(*order, F.expr(s.expr).alias("__v")))))
+    near = F.col("__scan_rev" if s.k > 0 else "__scan_pos") <= abs(s.k)
+    return F.array_sort(F.collect_list(F.when(near, F.struct(*order, F.expr(s.expr).alias("__scan_v")))))
 
 
 def _carry(name: str, s: Scan | Shift, lane: Lane) -> Column:
     """A block's summary merged over the blocks before it (after it, where the scan runs backward or the shift looks ahead)."""
-    c = F.col(f"__b_{name}")
+    c = F.col(f"__scan_b_{name}")
     if isinstance(s, Scan):
         return _fold("sum" if s.fn == "count" else s.fn, c).over(_window(lane.keys, [_BLK], replace(s, exclusive=True)))
     # a block has a row at least, so as many blocks as rows are enough
@@ -122,13 +124,13 @@ def _carry(name: str, s: Scan | Shift, lane: Lane) -> Column:
 
 
 def _join(name: str, s: Scan | Shift) -> Column:
-    inside, carried = F.col(name), F.col(f"__c_{name}")
+    inside, carried = F.col(name), F.col(f"__scan_c_{name}")
     if isinstance(s, Scan):
         return _combine(s.fn, inside, carried)
     # the k-th row back lies outside if the row's place in its block is k at most
-    place = F.col("__pos" if s.k > 0 else "__rev")
+    place = F.col("__scan_pos" if s.k > 0 else "__scan_rev")
     from_end = place - 1 - s.k if s.k > 0 else 1 - s.k - place
-    return F.when(place > abs(s.k), inside).otherwise(F.try_element_at(carried, F.when(place <= abs(s.k), from_end.cast("int")).otherwise(1))["__v"])
+    return F.when(place > abs(s.k), inside).otherwise(F.try_element_at(carried, F.when(place <= abs(s.k), from_end.cast("int")).otherwise(1))["__scan_v"])
 
 
 def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan | Shift]) -> DataFrame:
@@ -137,6 +139,8 @@ def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan | Shift]) -> DataFrame
     A block's summary holds what the blocks beside it need of every spec: a count, a sum, an extreme, the latest value, or
     the last (first) k rows. Summaries merge in order of the blocks, whatever the number of specs.
     """
+    if taken := [c for c in (*df.columns, *specs) if c.startswith(_OWN)]:
+        raise ValueError(f"names that begin with {_OWN} are reserved: {taken}")
     if lane.block is None:
         return df.withColumns({n: _inside(s, lane.keys, lane.order) for n, s in specs.items()})
     # stored once: the rows are read twice below, and chained scans would otherwise
@@ -146,13 +150,13 @@ def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan | Shift]) -> DataFrame
     shifts = [s for s in specs.values() if isinstance(s, Shift)]
     if shifts:
         w = Window.partitionBy(*keys)
-        cut = cut.withColumns({"__pos": F.row_number().over(w.orderBy(*lane.order)), "__rev": F.row_number().over(w.orderBy(*[F.col(o).desc() for o in lane.order]))})
+        cut = cut.withColumns({"__scan_pos": F.row_number().over(w.orderBy(*lane.order)), "__scan_rev": F.row_number().over(w.orderBy(*[F.col(o).desc() for o in lane.order]))})
     inside = cut.withColumns({n: _inside(s, keys, lane.order) for n, s in specs.items()})
     parts = cut.groupBy(*keys).agg(
-        *[(_ends(s, lane.order) if isinstance(s, Shift) else _block_value(s, lane.order)).alias(f"__b_{n}") for n, s in specs.items()]
+        *[(_ends(s, lane.order) if isinstance(s, Shift) else _block_value(s, lane.order)).alias(f"__scan_b_{n}") for n, s in specs.items()]
     )
-    carried = parts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[_carry(n, s, lane).alias(f"__c_{n}") for n, s in specs.items()])
-    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    carried = parts.select(*[F.col(k).alias(f"__scan_k_{k}") for k in keys], *[_carry(n, s, lane).alias(f"__scan_c_{n}") for n, s in specs.items()])
+    on = [F.col(k).eqNullSafe(F.col(f"__scan_k_{k}")) for k in keys]
     out = inside.join(carried, on, "left")
     return out.select(*[c for c in df.columns if c not in specs], *[_join(n, s).alias(n) for n, s in specs.items()])
 

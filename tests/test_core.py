@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strideframe.functions import points as P
@@ -12,6 +13,7 @@ from strideframe.operators import models as M
 from strideframe.operators.ordered import Lane, Scan, Shift, number, scan, shift
 from strideframe.operators.outcomes import anchor_outcomes
 from strideframe.operators.quantiles import average_ranks, exact_quantiles
+from strideframe.operators.sequences import anchor_gaps, stream_integrity
 
 
 def _rows(spark, n=60):
@@ -107,3 +109,29 @@ def test_outcome_edges(spark):
         r = anchor_outcomes(ref, out, ["s"], {"h": 50}, rows, block_us=20).first()
         assert r["shot_within_h"] == 1 and r["future_xg_h"] == 0.25  # edge in, same-time earlier event out
         assert r["future_xg_rest"] is None and r["next_shot_event_id"] == 11
+
+
+def _stream(spark):
+    rows = [(1, 1, i // 6, 904, i, i, 10 * i, "Pass", 904, i % 3 != 1) for i in range(24)]
+    return spark.createDataFrame(
+        rows, "match_id int, period int, possession_id bigint, possession_team_id int, event_id bigint, event_index bigint, t_us bigint, event_type string, event_team_id int, validated_anchor boolean"
+    )
+
+
+def test_anchor_gaps_in_blocks_count_all_events(spark):
+    """The place of an event is a column of the caller, beside the scan's own numbering."""
+    keys = ("match_id", "period", "possession_id", "possession_team_id")
+    plain, cut = Lane(keys, ("event_index",)), Lane(keys, ("event_index",), "CAST(floor(event_index / 4) AS BIGINT)")
+    _same(anchor_gaps(_stream(spark), plain), anchor_gaps(_stream(spark), cut))
+    assert {r.intervening_event_count for r in anchor_gaps(_stream(spark), cut).collect()} == {0, 1}
+
+
+def test_stream_integrity_in_blocks(spark):
+    keys = ("match_id", "period", "possession_id", "possession_team_id")
+    plain, cut = Lane(("match_id",), ("event_index",)), Lane(("match_id",), ("event_index",), "CAST(floor(event_index / 4) AS BIGINT)")
+    _same(stream_integrity(_stream(spark), plain, keys), stream_integrity(_stream(spark), cut, keys))
+
+
+def test_names_of_a_scan_are_reserved(spark):
+    with pytest.raises(ValueError, match="reserved"):
+        scan(_rows(spark).withColumn("__scan_pos", F.lit(1)), Lane(("g",), ("i",)), {"n": Scan("count", "1")})
