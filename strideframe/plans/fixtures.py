@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.operators.ordered import GROUP_LIMIT, Lane, lane_for, number
+from strideframe.sources.stage import stored
 
 OWN, OTHER = 904, 10
 KEY = ("match_id", "period", "possession_id", "possession_team_id")
 HOUR_US = 3_600_000_000
+#: events of a possession
+POSSESSION = 24
 
 
 class Fixture:
@@ -53,9 +56,14 @@ class Fixture:
         """The line items, ``times`` over, fit one task."""
         return self.n_lines * times <= GROUP_LIMIT
 
-    def lane(self, *keys: str, order: tuple[str, ...] = ("event_index",)) -> Lane:
-        """Lane over events; blocks are runs of 100,000 consecutive event numbers."""
-        return lane_for(self.n_events, keys, order, "CAST(floor(event_index / 100000) AS BIGINT)")
+    def lane(self, *keys: str, order: tuple[str, ...] = ("event_index",), at: str = "event_index") -> Lane:
+        """Lane over events; blocks are runs of 100,000 consecutive event numbers.
+
+        A possession, and a case, is a run of ``POSSESSION`` event numbers of a match: that bounds its rows, however many
+        events there are. A stream may hold a few rows for an event (marks, versions, candidates).
+        """
+        rows = 10 * POSSESSION if {"possession_id", "case_id"} & set(keys) else self.n_events
+        return lane_for(rows, keys, order, f"CAST(floor({at} / 100000) AS BIGINT)")
 
     def time_lane(self, *keys: str, order: tuple[str, ...] = ("t_us", "event_id")) -> Lane:
         """Lane ordered by time; blocks are one-minute slices."""
@@ -77,9 +85,12 @@ class Fixture:
                 "WHEN 'error' THEN 'Pressure' ELSE 'Ball Recovery' END"
             ).alias("event_type"),
         )
-        ordered = number(base, self.time_lane("match_id"), "event_index").withColumn(
-            "possession_id", F.expr("CAST(floor((event_index - 1) / 24.0) AS BIGINT)")
-        )
+        lane = self.time_lane("match_id")
+        numbered = number(base, lane, "event_index")
+        if lane.block:
+            # most queries read the stream many times, each time other columns
+            numbered = stored(numbered)
+        ordered = numbered.withColumn("possession_id", F.expr(f"CAST(floor((event_index - 1) / {POSSESSION}.0) AS BIGINT)"))
         return ordered.selectExpr(
             "match_id",
             "period",

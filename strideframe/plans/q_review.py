@@ -6,7 +6,7 @@ from strideframe.operators import episodes as P
 from strideframe.operators import labels as B
 from strideframe.operators import progression as R
 from strideframe.operators import review as V
-from strideframe.operators.ordered import lane_for, neighbours, number
+from strideframe.operators.ordered import neighbours, number
 from strideframe.plans.fixtures import EV, HOUR_US, KEY, OWN, OWN_EV, RICH, RPT, TALLY, EF, sql
 from strideframe.plans.q_audit import SEM, semantic
 from strideframe.plans.q_progression import FULL, path, possessions, recoveries, state_stream
@@ -277,7 +277,7 @@ CASE = "concat_ws('-', match_id, period, possession_id)"
 
 
 def case_lane(fx, *keys):
-    return lane_for(fx.n_events * 2, keys, ("event_index",), "CAST(floor(event_index / 100000) AS BIGINT)")
+    return fx.lane(*keys)
 
 
 def cases(fx):
@@ -301,8 +301,7 @@ def ledger(fx):
 
 def episodes(fx):
     parents = cases(fx).groupBy("case_id").agg(F.min("event_index").alias("first_event"), F.max("event_index").alias("last_event"))
-    block = None if fx.small else "CAST(floor(cut / 100000) AS BIGINT)"
-    return P.episode_map(parents, ledger(fx), block)
+    return P.episode_map(parents, ledger(fx), fx.lane("case_id", at="cut").block)
 
 
 EPI = f"""cs AS (SELECT *, match_id || '-' || period || '-' || possession_id AS case_id, ROW_NUMBER() OVER {W} - 1 AS event_position FROM rich WHERE possession_team_id = {OWN}),

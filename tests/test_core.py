@@ -14,6 +14,7 @@ from strideframe.operators.ordered import Lane, Scan, Shift, number, scan, shift
 from strideframe.operators.outcomes import anchor_outcomes
 from strideframe.operators.quantiles import average_ranks, exact_quantiles
 from strideframe.operators.sequences import anchor_gaps, stream_integrity
+from strideframe.plans.fixtures import Fixture
 
 
 def _rows(spark, n=60):
@@ -135,3 +136,11 @@ def test_stream_integrity_in_blocks(spark):
 def test_names_of_a_scan_are_reserved(spark):
     with pytest.raises(ValueError, match="reserved"):
         scan(_rows(spark).withColumn("__scan_pos", F.lit(1)), Lane(("g",), ("i",)), {"n": Scan("count", "1")})
+
+
+def test_possession_groups_are_bounded_by_construction(spark):
+    """Windows over possessions and cases stay plain however many events there are; a match is cut into blocks."""
+    fx = Fixture(spark, "/none")
+    fx.n_events = 10**9
+    assert fx.lane("match_id", "possession_id").block is None and fx.lane("case_id", "version").block is None
+    assert fx.lane("match_id").block and fx.time_lane("match_id").block
