@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.operators.ordered import Lane, Scan, Shift, scan
-from strideframe.operators.quantiles import distribution, exact_quantiles, value_blocks
+from strideframe.operators.quantiles import distribution, exact_quantiles, tuple_blocks
 from strideframe.sources.stage import durable
 
 BANDS = {"range": (0.0, 1.0), "p10_p90": (0.1, 0.9), "iqr": (0.25, 0.75)}
@@ -91,11 +91,11 @@ def rank_correlations(df: DataFrame, metrics: Sequence[str], small: bool) -> Dat
     """
     metrics = list(metrics)
     rows = df.select("label", *[F.col(m).cast("double").alias(m) for m in metrics]).groupBy("label", *metrics).agg(F.count(F.lit(1)).alias("n"))
-    rows = durable(rows)
+    rows = cells = durable(rows)
     for i, x in enumerate(metrics):
         others = [(j, y) for j, y in enumerate(metrics) if j != i]
         # cells differ in some metric, so this order is total
-        lane = Lane(("label",), (x, *[y for _, y in others]), None if small else value_blocks(rows, x))
+        lane = Lane(("label",), (x, *[y for _, y in others]), None if small else tuple_blocks(cells, [x, *[y for _, y in others]]))
         both = lambda y: f"CASE WHEN `{x}` IS NOT NULL AND `{y}` IS NOT NULL THEN n END"  # noqa: E731, B023
         sums = {f"__b{j}": Scan("sum", both(y), exclusive=True) for j, y in others} | {f"__a{j}": Scan("sum", both(y), backward=True, exclusive=True) for j, y in others}
         rows = scan(rows, lane, {"__p": Shift(f"`{x}`"), "__q": Shift(f"`{x}`", -1), **sums})

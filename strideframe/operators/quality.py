@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.functions import points as P
-from strideframe.operators.points import VARIANT, measure, metric_rows
+from strideframe.operators.points import METRICS, VARIANT, measure, metric_rows
 from strideframe.operators.quantiles import bin_code, distribution, exact_quantiles, quantile_edges
+from strideframe.sources.stage import stored
 
 SIDES = {"left": "x < 0", "right": "x > {l}", "bottom": "y < 0", "top": "y > {w}"}
 FULL_LADDER = {f"p{q:02d}": q / 100 for q in (1, 5, 10, 25, 50, 75, 90, 95, 99)}
@@ -114,6 +115,8 @@ def bin_column(df: DataFrame, col: str, k: int, small: bool, name: str, keys: Se
 
 def metric_by_bin(rows: DataFrame, by: Sequence[str], edge: str, k: int, small: bool) -> DataFrame:
     """Metric statistics per quantile bin of another column, bins cut per group."""
+    if not small:
+        rows = stored(rows.select(*dict.fromkeys([*by, edge, "value"])))  # read for the edges, the moments and the quantiles
     binned = bin_column(rows, edge, k, small, "bin", by)
     return distribution(binned, [*by, "bin"], "value", small, {"p25": 0.25, "median": 0.5, "p75": 0.75}, {"n_rows": F.count(F.lit(1))})
 
@@ -121,6 +124,11 @@ def metric_by_bin(rows: DataFrame, by: Sequence[str], edge: str, k: int, small:
 def tail_profile(rows: DataFrame, by: Sequence[str], medians: Sequence[str], shares: dict[str, Column], small: bool) -> DataFrame:
     """Rows in the lower and upper percent of each metric, and all, with medians and flag shares."""
     ok = rows.where("value IS NOT NULL")
+    if not small:
+        # read once for the cuts and once for each column below
+        flags = {f"__{n}": c for n, c in shares.items()}
+        ok = stored(ok.select(*by, "value", *medians, *[c.alias(n) for n, c in flags.items()]))
+        shares = {n: F.col(f"__{n}") for n in shares}
     cut = exact_quantiles(ok, list(by), "value", {"lo": 0.01, "hi": 0.99}, small)
     j = ok.join(cut, list(by))
     tails = F.array_compact(
@@ -183,6 +191,8 @@ def count_coverage_support(geometry: DataFrame, frames: DataFrame, bins: int, sm
         F.coalesce(F.concat(F.lit("B"), bin_code("visible_area_fraction", "__edges").cast("string")), F.lit("unavailable")),
     )
     by = [*VARIANT, "n_valid_points_used", "area_bin"]
+    if not small:
+        labelled = stored(labelled.select(*by, "match_id", *METRICS, *[f"{m}_status" for m in METRICS]))
     base = labelled.groupBy(*by).agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("match_id").alias("matches"))
     rows = metric_rows(labelled, by)
     med = distribution(rows, [*by, "metric"], "value", small, {"median": 0.5}).select(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.operators.ordered import Lane, Scan, scan
+from strideframe.sources.stage import durable, stored
 
 
 def pct(col: str | Column, q: float) -> Column:
@@ -31,14 +32,39 @@ def value_blocks(df: DataFrame, col: str, pieces: int = 256) -> str:
     return f"size(filter(array({lit}), e -> e < {col}))" if lit else "0"
 
 
+def tuple_blocks(df: DataFrame, cols: Sequence[str], pieces: int = 256, inner: int = 64) -> str:
+    """As ``value_blocks`` over the order of several columns: a value too frequent for one block is cut by the next column.
+
+    A frequent value is an edge, and an edge (or null) is a block of its own, so cutting it further keeps the order.
+    """
+    cols = cols[:3]
+    cuts = [inner if i else pieces for i in range(len(cols))]
+    found = df.agg(*[F.percentile_approx(c, [j / n for j in range(1, n)], 10 * n) for c, n in zip(cols, cuts)]).first()
+    expr = "0"
+    for i in reversed(range(len(cols))):
+        c, lit = f"`{cols[i]}`", ", ".join(f"{e!r}D" for e in sorted(set(map(float, found[i] or []))))
+        if not lit:
+            place, alone = f"if({c} IS NULL, 0, 1)", f"{c} IS NULL"
+        else:
+            place = f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 + 2 * size(filter(array({lit}), e -> e < {c})) + if(array_contains(array({lit}), {c}), 1, 0) END"
+            alone = f"({c} IS NULL OR array_contains(array({lit}), {c}))"
+        expr = f"CAST({place} AS BIGINT) * {1024 ** (2 - i)} + CASE WHEN {alone} THEN {expr} ELSE 0 END"
+    return expr
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cumulative_counts(df: DataFrame, keys: Sequence[str], col: str, small: bool) -> DataFrame:
     """(keys, value, n, n_before, n_total): one row per distinct value."""
-    counts = value_counts(df, keys, col)
-    block = None if small else value_blocks(counts, col)
+    if small:
+        return _cumulate(value_counts(df, keys, col), keys, col, None)
+    counts = stored(value_counts(df, keys, col))
+    return _cumulate(counts, keys, col, value_blocks(counts, col))
+
+
+def _cumulate(counts: DataFrame, keys: Sequence[str], col: str, block: str | None) -> DataFrame:
     lane = Lane(tuple(keys), (col,), block)
     out = scan(counts, lane, {"n_before": Scan("sum", "n", exclusive=True), "n_after": Scan("sum", "n", backward=True)})
     return out.withColumn("n_before", F.coalesce("n_before", F.lit(0))).withColumn(
@@ -47,10 +73,16 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], col: str, small: bool)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: dict[str, float], small: bool) -> DataFrame:
-    """Linear interpolation; one row per group, one column per entry of ``qs``."""
+    """Linear interpolation; one row per group, one column per entry of ``qs``.
+
+    Beyond the bound ``df`` is read once, for its counts; groups without values are among them. The result, a row per
+    group, is stored, so whatever reads it again does not count again.
+    """
     if small:
         return df.groupBy(*keys).agg(*[pct(col, q).alias(n) for n, q in qs.items()])
-    cum = cumulative_counts(df, keys, col, small=False)
+    every = stored(df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n")))
+    counts = every.where(F.col(col).isNotNull())
+    cum = _cumulate(counts, keys, col, value_blocks(counts, col))
     picks = []
     for n, q in qs.items():
         pos = F.lit(q) * (F.col("n_total") - 1)
@@ -64,11 +96,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: dict[str,
         lo, hi = F.col(f"__{n}_lo"), F.col(f"__{n}_hi")
         cols.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(n))
     if not keys:
-        return got.select(*cols)
-    groups = df.select(*keys).distinct()
+        return durable(got.select(*cols))
+    groups = every.select(*keys).distinct()
     got = got.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *cols)
     on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    return groups.join(got, on, "left").select(*keys, *qs)
+    return durable(groups.join(got, on, "left").select(*keys, *qs))
 
 
 def higher_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: dict[str, float], small: bool) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import points as P
 from strideframe.operators.quantiles import distribution
+from strideframe.sources.stage import stored
 
 #: fixed values
 CORE = ("Shot", "Pass", "Carry", "Pressure")
@@ -166,6 +167,8 @@ def contingency(df: DataFrame, by: Sequence[str], sums: dict[str, Column] | None
 
 def anchor_metrics(df: DataFrame, by: Sequence[str], metrics: Sequence[str], small: bool) -> DataFrame:
     """Distribution of several columns per group, with counts past midfield."""
+    if not small:
+        df = stored(df.select(*by, *metrics))  # read for the moments and for the quantiles
     rows = df.select(
         *by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
     )

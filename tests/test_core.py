@@ -12,7 +12,7 @@ from strideframe.operators import logistic as L
 from strideframe.operators import models as M
 from strideframe.operators.ordered import Lane, Scan, Shift, number, scan, shift
 from strideframe.operators.outcomes import anchor_outcomes
-from strideframe.operators.quantiles import average_ranks, exact_quantiles
+from strideframe.operators.quantiles import average_ranks, exact_quantiles, tuple_blocks
 from strideframe.operators.sequences import anchor_gaps, stream_integrity
 from strideframe.plans.fixtures import Fixture
 
@@ -144,3 +144,28 @@ def test_possession_groups_are_bounded_by_construction(spark):
     fx.n_events = 10**9
     assert fx.lane("match_id", "possession_id").block is None and fx.lane("case_id", "version").block is None
     assert fx.lane("match_id").block and fx.time_lane("match_id").block
+
+
+def test_frequent_values_are_cut_by_the_next_column(spark):
+    """A tenth of the rows has one tax and a fifth has none; no block holds so many, and blocks keep the order."""
+    rows = [(float(i % 10) if i % 5 else None, float(i % 7), float(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    at = df.withColumn("b", F.expr(tuple_blocks(df, ["x", "y", "z"])))
+    got = [r.b for r in at.orderBy("x", "y", "z").collect()]
+    assert got == sorted(got)
+    assert max(r["count"] for r in at.groupBy("b").count().collect()) < 4000 / 50
+
+
+def test_quantiles_beyond_the_bound_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "g string, v double").coalesce(1)
+    out = exact_quantiles(df.mapInArrow(count, df.schema), ["g"], "v", {"m": 0.5}, False)
+    assert sorted(map(tuple, out.collect()), key=str) == [("a", 2.0), ("b", None)]
+    out.collect()
+    assert seen.value == 3
