@@ -388,3 +388,17 @@ def test_suffix_tree_learns_sequences_of_rare_words(spark, monkeypatch):
     assert sorted((str(x.doc_id), x.n_tokens, round(x.score, 6)) for x in got) == want
     (row,) = [x for x in got if x.doc_id == target]
     assert row.score > 0.3 * row.base_score
+
+
+def test_quality_learns_from_every_trusted_text(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 3000)
+    monkeypatch.setattr(quality, "BUCKET", 4000)
+    rows = [(k, prose(k, 30, EN if k % 3 else FR), "en" if k % 3 else "fr" if k % 2 else None) for k in range(420)]
+    rows += [(420, "".join(chr(0x4E00 + (k * k) % 1500) for k in range(3000)), "zh"), (421, "一丁 the", "zh"), (422, None, "zh"), (423, "", "nothing")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(424) if k != 421], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify_quality(documents(spark, rows), labels).collect()}
+    known = {x: [t for i, t, lang in rows if t and i != 421 and x in (lang, "*")] for x in ("en", "fr", "zh", "*")}
+    plain = {x: plain_kneser_ney(ts) for x, ts in known.items()}  # 280 texts of "en": more than any bounded sample had
+    for i, t, lang in rows[:40] + rows[-4:-2]:
+        assert got[i].model == (lang or "*") and got[i].perplexity == pytest.approx(plain[lang or "*"](t), rel=1e-5)
+    assert got[422].perplexity is None and got[423].model == "*" and len(got) == len(rows)
