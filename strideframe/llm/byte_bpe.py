@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -66,21 +68,30 @@ def fold_merges(word: Column, table: Column) -> Column:
     return F.when(F.length(word) > 0, F.transform(pieces, lambda p: _rank(table, p)))
 
 
-def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same fold for one word."""
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def byte_pairs(ranks: dict[bytes, int]) -> list[int]:
+    """Ranks of all pairs of bytes, by the first times 256 plus the second."""
+    return [ranks.get(bytes((a, b)), len(ranks) + 1 << 40) for a in range(256) for b in range(256)]
+
+
+def merge_word(word: bytes, ranks: dict[bytes, int], pairs: list[int] | None = None) -> list[int]:
+    """The same fold for one word. ``pairs``: ``byte_pairs`` of the ranks, for many words."""
     if word in ranks:
         return [ranks[word]]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    none = len(ranks) + 1 << 40
-    scores = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+    get, none = ranks.get, len(ranks) + 1 << 40
+    cuts = list(range(len(word) + 1))
+    scores = [pairs[a << 8 | b] for a, b in pairwise(word)] if pairs else [get(word[i : i + 2], none) for i in range(len(word) - 1)]
     while scores and (low := min(scores)) < none:
         i = scores.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del scores[i]
-        for j in (i - 1, i):
-            if 0 <= j < len(scores):
-                scores[j] = ranks.get(parts[j] + parts[j + 1], none)
-    return [ranks[p] for p in parts]
+        del cuts[i + 1], scores[i]
+        if i:
+            scores[i - 1] = get(word[cuts[i - 1] : cuts[i + 1]], none)
+        if i < len(scores):
+            scores[i] = get(word[cuts[i] : cuts[i + 2]], none)
+    return [ranks[word[a:b]] for a, b in pairwise(cuts)]
 
 
 class _Splitter:
@@ -189,9 +200,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece
+        pairs = byte_pairs(ranks)
 
         def ids(found: list[str]) -> bytes:
-            return b"".join([words.get(w) or np.array(merge_word(w, ranks), "<u4").tobytes() for w in (x.encode() for x in found)])
+            return b"".join([words.get(w) or packed(merge_word(w, ranks, pairs)) for w in (x.encode() for x in found)])
 
         splitter = _remembering(query, pattern, ids)
         for batch in batches:

@@ -193,6 +193,16 @@ def test_language_without_training_text(spark):
     assert {r.lang_pred for r in language_id.identify(docs, {}).collect()} == {"und"}
 
 
+def test_merges_are_those_of_tiktoken():
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    r, pairs = random.Random(3), byte_bpe.byte_pairs(ranks)
+    whole = tiktoken.Encoding("x", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    for word in [b"a", b"aa" * 40, *(" ".join(prose(k, 3, EN + FR).split()).encode() for k in range(200)), *(bytes(r.randrange(256) for _ in range(r.randrange(1, 25))) for _ in range(300))]:
+        got = byte_bpe.merge_word(word, ranks, pairs)
+        assert got == byte_bpe.merge_word(word, ranks) and byte_bpe.packed(got) == np.array(got, "<u4").tobytes()
+        assert got == whole._core_bpe.encode_single_piece(word)
+
+
 # --- quality
 
 
