@@ -197,8 +197,12 @@ class Fixture:
     @cached_property
     def event_frames(self) -> DataFrame:
         """Every linked event with the snapshot it points to; one snapshot serves many events."""
+        return self.frames_of(self.ev)
+
+    def frames_of(self, events: DataFrame) -> DataFrame:
+        """``event_frames`` of some events of the stream; a row depends on its own event only."""
         rough = self.rough.drop("match_id", "event_type")
-        joined = self.ev.where("linked").withColumn("frame_id", F.col("event_id") % self.n_frames).join(rough, "frame_id")
+        joined = events.where("linked").withColumn("frame_id", F.col("event_id") % self.n_frames).join(rough, "frame_id")
         home = f"CASE WHEN match_id = 11 THEN {OTHER} WHEN match_id % 2 = 0 THEN {OWN} ELSE {OTHER} END"
         away = f"CASE WHEN match_id = 11 THEN 20 WHEN match_id % 2 = 0 THEN {OTHER} ELSE {OWN} END"
         at = "CASE WHEN k % 23 <> 0 THEN CASE WHEN k % 4 = 0 AND points IS NOT NULL THEN points[2].{c} ELSE start_{c} END END"

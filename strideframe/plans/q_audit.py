@@ -346,8 +346,9 @@ def sem1(fx):
     return p.select("vec_id", F.expr(M.codec_alignment("ax", "ay", "bx", "by")).alias("alignment"))
 
 
-def semantic(fx):
-    return M.frame_semantics(M.event_frame_profile(fx.event_frames), OWN, "r1")
+def semantic(fx, events=None):
+    """Semantics of the linked events' snapshots: of all, or of some ``events`` of the stream."""
+    return M.frame_semantics(M.event_frame_profile(fx.event_frames if events is None else fx.frames_of(events)), OWN, "r1")
 
 
 _COD = """CASE WHEN a_ok = 1 THEN CASE WHEN loc_x IS NULL OR loc_y IS NULL THEN 'unavailable' WHEN loc_x = ax AND loc_y = ay THEN 'exact_supplied'

@@ -243,7 +243,9 @@ def rev9(fx):
 )
 def rev10(fx):
     cases_ = F.broadcast(chosen(durable(flags(fx))).select(*KEY))  # CASES rows
-    picked = semantic(fx).where("semantics_status = 'validated'").join(cases_, list(KEY), "left_semi")
+    # the cases' events, CASES * POSSESSION rows at most, go to the snapshots; the others' points are never joined
+    events = F.broadcast(fx.ev.join(cases_, list(KEY), "left_semi"))
+    picked = semantic(fx, events).where("semantics_status = 'validated'")
     return V.snapshot_points(picked, OWN, ["event_id"]).select("event_id", "i", "orientation_status", "x_attacking", "y_attacking", "side")
 
 
