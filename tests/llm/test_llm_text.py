@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 
 from strideframe.llm import byte_bpe, chat_format, language_id, quality, suffix_lm, url_filter
-from strideframe.llm.common import words
+from strideframe.llm.common import Store, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, word string"
 
@@ -412,3 +412,34 @@ def test_quality_learns_from_every_trusted_text(spark, monkeypatch):
     for i, t, lang in rows[:40] + rows[-4:-2]:
         assert got[i].model == (lang or "*") and got[i].perplexity == pytest.approx(plain[lang or "*"](t), rel=1e-5)
     assert got[422].perplexity is None and got[423].model == "*" and len(got) == len(rows)
+
+
+def test_stored_jobs_leave_no_shuffle_files_and_no_long_plans(spark):
+    """Each job's shuffle files go with it; an operator of many steps otherwise keeps those of all. Settings come back."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    names = ["spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.maxPlanStringLength"]
+    before, at_first = files(), [spark.conf.get(x) for x in names]
+    store = Store(spark)
+    df = spark.range(1000).repartition(3, "id").groupBy("id").count().repartition(2)
+    store.put("plain", df)
+    by = store.put_by("by", df, "id")
+    assert not {x for x in files() - before if x.startswith("shuffle")}
+    assert by.count() == 1000 and [spark.conf.get(x) for x in names] == at_first
+    store.release("plain", "by")
+
+
+
+def test_suffix_tree_shuffles_no_stored_block(spark, monkeypatch):
+    """Blocks meet what comes back to them where they lie; all that is left at the end is the result."""
+    stored = {}
+    put = Store.put
+    monkeypatch.setattr(Store, "put", lambda self, name, df: (stored.update({name: df._jdf.queryExecution().executedPlan().toString()}), put(self, name, df))[1])
+    scored = suffix_lm.suffix_scores(documents(spark, [(i, f"a b c {i}", "en") for i in range(50)]))
+    assert scored.count() == 50
+    for name in ("step0", "scored"):
+        assert "hashpartitioning(block" not in stored[name]
