@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strideframe.operators import outcomes as O
-from strideframe.plans.fixtures import EV, HOUR_US, KEY, OWN, OWN_EV, sql
+from strideframe.plans.fixtures import EV, HOUR_US, KEY, OWN, OWN_EV, POSSESSION, sql
 from strideframe.plans.registry import query
 
 SESSION = ("match_id", "period", "possession_id")
@@ -61,8 +61,9 @@ def outcomes(fx):
 
 def labels(fx, own=None):
     own = fx.own if own is None else own
+    # a session is a possession, so its probes and outcomes are few, however many events there are
     return O.anchor_outcomes(
-        own.where("validated_anchor"), O.outcome_events(own, OWN, SESSION), SESSION, HORIZONS, fx.n_events * 5
+        own.where("validated_anchor"), O.outcome_events(own, OWN, SESSION), SESSION, HORIZONS, 10 * POSSESSION
     )
 
 
@@ -164,7 +165,7 @@ def out6(fx):
         outcomes(fx).unionByName(injected),
         SESSION,
         HORIZONS,
-        fx.n_events * 6,
+        10 * POSSESSION,
     )
     return O.compare_labels(base, again)
 
@@ -184,7 +185,7 @@ _ROUNDED = f"* REPLACE ({', '.join(f'ROUND({c}, 9) AS {c}' for c in [*XG, 'next_
 def out6b(fx):
     """The same probe with shots of the anchors' own sessions valued anew: these labels must move."""
     other = F.when((F.col("outcome_type") == "shot") & (F.col("event_id") % 5 == 0), 0.75).otherwise(F.col("shot_xg"))
-    again = O.anchor_outcomes(fx.own.where("validated_anchor"), outcomes(fx).withColumn("shot_xg", other), SESSION, HORIZONS, fx.n_events * 6)
+    again = O.anchor_outcomes(fx.own.where("validated_anchor"), outcomes(fx).withColumn("shot_xg", other), SESSION, HORIZONS, 10 * POSSESSION)
     even = {c: F.round(c, 9) for c in [*XG, "next_shot_xg", "reference_shot_xg"]}
     return O.compare_labels(labels(fx).withColumns(even), again.withColumns(even))
 

@@ -342,7 +342,7 @@ def ctx3(fx):
 
 
 def motif_contexts(fx):
-    s = durable(started(fx))
+    s = durable(started(fx).select("starting_third", f"start_{COL}"))
     w = X.attach_start_geometry(terminal(fx).where("window_length = 2"), anchors(fx), "start_event_id", [COL])
     w = w.withColumn(f"start_{COL}", F.round(f"start_{COL}", 9))
     return X.assign_contexts(w, X.fit_cutpoints(s, f"start_{COL}", fx.small), f"start_{COL}")
@@ -391,5 +391,7 @@ def ctx6(fx):
 
 @query("ctx7_motif_context_logit")
 def ctx7(fx):
-    w = durable(motif_contexts(fx))
-    return fx.spark.createDataFrame(X.motif_context_logit(w, f"box_entry_within_{MAIN}", list(N.CONTROLS), "k2"), X.INTERACTION_SCHEMA)
+    # only what the model takes is stored: the fit goes through these rows again and again
+    target = f"box_entry_within_{MAIN}"
+    w = durable(motif_contexts(fx).select("match_id", "window_length", "action_type_motif", "context", target, *N.CONTROLS))
+    return fx.spark.createDataFrame(X.motif_context_logit(w, target, list(N.CONTROLS), "k2"), X.INTERACTION_SCHEMA)
