@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import read
+from .common import Recent, read
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END_ID = 2048, 1
@@ -26,8 +27,8 @@ SHORTEST = 64
 STEP = 32
 #: Tokens over which cuts are chosen together; a partition's stream goes through in such blocks, what is left open is carried on.
 BLOCK = 1 << 18
-#: Units of text that a Python worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED, LONG = 1_000_000, 48
+#: Units of text that a Python worker remembers (those not met lately go first), and the longest that it remembers.
+REMEMBERED, LONG = 2_000_000, 48
 MARK = 0xFFFFFFFF
 #: Characters that are encoded at once.
 SLICE = 1 << 20
@@ -55,34 +56,37 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
-class Units(dict):
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Units(Recent):
     """Token ids (little-endian unsigned 32-bit) of units without white space, found once and remembered.
 
     MARK follows those of a unit that ends a sentence.
     """
 
     def __init__(self, vocabulary: str):
+        super().__init__(self.ids, REMEMBERED)
         self.whole = Tokenizer.from_str(vocabulary)
         self.model, self.letters = self.whole.model, _byte_letters()
         self.stops = {i for token, i in self.whole.get_vocab().items() if _STOP(token)}
 
     def __missing__(self, unit: str) -> bytes:
+        return super().__missing__(unit) if len(unit) <= LONG else self.ids(unit)
+
+    def ids(self, unit: str) -> bytes:
         if unit.isalpha() and unit.islower():  # one word, so the merges are all that is left to do
             written = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
-            ids = np.array([x.id for x in self.model.tokenize(written)], "<u4").tobytes()
-        elif unit[-1] in ".," and unit[:-1].isalpha() and unit[:-1].islower():
-            ids = self[unit[:-1]] + self[unit[-1]]
-        else:
-            found = self.whole.encode(unit, add_special_tokens=False).ids
-            ids = np.array([*found, MARK] if found and found[-1] in self.stops else found, "<u4").tobytes()
-        if len(unit) <= LONG:
-            self[unit] = ids
-        return ids
+            return _packed([x.id for x in self.model.tokenize(written)])
+        if unit[-1] in ".," and unit[:-1].isalpha() and unit[:-1].islower():
+            return self[unit[:-1]] + self[unit[-1]]
+        found = self.whole.encode(unit, add_special_tokens=False).ids
+        return _packed([*found, MARK] if found and found[-1] in self.stops else found)
 
     def text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the places after its sentences."""
-        if len(self) > REMEMBERED:
-            self.clear()
+        self.trim()
         raw = []
         for part in _slices(text):
             # lower case and white space are what the vocabulary's own rules begin with
