@@ -17,12 +17,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, read
+from .common import Recent, Store, read
 
 #: Distinct words whose ids Spark computes once; rarer words are merged where they occur. A bound of memory, not of results.
 DICTIONARY = 1 << 15
-#: Units that a Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Units that a Python worker remembers; those not met lately go first.
+REMEMBERED = 1_000_000
 #: Maps into which the literal rank map is cut, since Spark scans a map from its start.
 SHARDS = 4096
 
@@ -102,7 +102,7 @@ class _Splitter:
     """
 
     def __init__(self, pattern: str, of_words: Callable[[list[str]], object]):
-        self.find, self.of_words, self.units = regex.compile(pattern).findall, of_words, {}
+        self.find, self.of_words, self.units = regex.compile(pattern).findall, of_words, Recent(self.unit, REMEMBERED)
 
     def unit(self, unit: str) -> object:
         body = unit[1:] if unit[:1] == " " else unit
@@ -114,18 +114,10 @@ class _Splitter:
         return self.of_words(self.find(unit)) if whole else None
 
     def text(self, text: str) -> list:
-        units, found = self.units, []
-        if len(units) > REMEMBERED:
-            units.clear()
+        self.units.trim()
         first, *rest = text.split(" ")
-        for unit in (first, *[" " + x for x in rest]):
-            got = units.get(unit, self)
-            if got is self:
-                got = units[unit] = self.unit(unit)
-            if got is None:
-                return [self.of_words(self.find(text))]
-            found.append(got)
-        return found
+        found = list(map(self.units.__getitem__, [first, *[" " + x for x in rest]]))
+        return found if all(found) else [self.of_words(self.find(text))]
 
 
 #: The splitter of the running query; a Python worker keeps it from task to task.
