@@ -84,6 +84,11 @@ def index_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_ids array<long>, lengths array<long>, terms array<string>, sizes array<int>, docs array<int>, tfs array<int>")
 
 
+def stored_index(docs: DataFrame) -> DataFrame:
+    """``index_documents`` stored once; a shard is a row group of its own, so a task holds one at a time however many it has."""
+    return Store(docs.sparkSession).put("index", index_documents(docs), together=1)
+
+
 class _Shard:
     """The lists that the items ask for in one shard: impacts of documents, long lists in blocks with their summaries."""
 
@@ -258,8 +263,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFram
     Null and empty texts have no terms and are no hits; items without terms have none. Rows that repeat a document's
     id are documents of their own. An empty table on either side gives no rows.
     """
-    store = Store(docs.sparkSession)
-    return search_index(store.put("index", index_documents(docs)), items, top)
+    return search_index(stored_index(docs), items, top)
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
