@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.operators.ordered import Lane, Scan, Shift, scan
-from strideframe.operators.quantiles import distribution, exact_quantiles, tuple_blocks
-from strideframe.sources.stage import durable
+from strideframe.operators import ordered
+from strideframe.operators.ordered import Lane, Scan, scan
+from strideframe.operators.quantiles import distribution, exact_quantiles, value_blocks
+from strideframe.sources.stage import stored
 
+#: Ranks of at most so many values are sent to all tasks.
+RANKS_SENT = 100_000
 BANDS = {"range": (0.0, 1.0), "p10_p90": (0.1, 0.9), "iqr": (0.25, 0.75)}
 
 
@@ -82,39 +86,69 @@ def threshold_sweep(df: DataFrame, rules: dict[str, list[tuple[str, str, float]]
     return out.withColumns({"not_matched": F.col("evaluable") - F.col("matched"), "missing": F.col("total") - F.col("evaluable")})
 
 
+def _pair_sums(values: DataFrame, x: str, block: str | None, others: Sequence[int], summed: Sequence[int]) -> DataFrame:
+    """``label, part`` with the rows of ``others`` known, their squared ranks of ``x`` and, of ``summed``, products with those.
+
+    A rank is one within the block plus one of the block, and the former times rows sum to 0 in a block, so blocks are
+    summed first and no row meets what lies before its block.
+    """
+    n, t = ({i: F.col(f"__{s}{i}") for i in others} for s in "nt")
+    inside, across = Window.partitionBy("label", "__block"), Window.partitionBy("label")
+    rank = lambda n, w, by: (2 * F.coalesce(F.sum(n).over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + n - F.sum(n).over(w)).cast("double")
+    ranked = values.withColumn("__block", F.expr(block or "0")).withColumns({f"__c{i}": rank(n[i], inside, x) for i in others})
+    aggs = []
+    for i in others:
+        c = F.col(f"__c{i}")
+        aggs += [F.sum(n[i]).alias(f"__n{i}"), F.sum(n[i] * c * c).alias(f"__own{i}")]
+        aggs += [F.sum(t[i]).alias(f"__t{i}"), F.sum(t[i] * c).alias(f"__both{i}")] if i in summed else []
+    blocks = ranked.groupBy("label", "__block").agg(*aggs).withColumns({f"__c{i}": rank(n[i], across, "__block") for i in others})
+    parts = []
+    for i in others:
+        c = F.col(f"__c{i}")
+        both = F.col(f"__both{i}") + t[i] * c if i in summed else F.lit(None).cast("double")
+        parts.append(F.struct(F.lit(i).alias("other"), n[i].alias("n"), (F.col(f"__own{i}") + n[i] * c * c).alias("own"), both.alias("both")))
+    return blocks.select("label", F.inline(F.array(*parts)))
+
+
 def rank_correlations(df: DataFrame, metrics: Sequence[str], small: bool) -> DataFrame:
     """Spearman of every metric pair per label, over the rows that have both: ``label, metric_a, metric_b, n, rho``.
 
-    Equal rows are one weighted cell. A value's average rank, doubled and centred, is the number of values below it less
-    the number above, so one ordered pass per metric gives its ranks beside every other metric at once, whatever is
-    missing there, and nothing is joined to ranks. ``rho`` is null where either side is constant.
+    A value's average rank, doubled and centred, is the number of values below it less the number above, counted beside
+    every other metric among the rows that have it too. Of a pair only the metric with fewer values sends its ranks to
+    the rows; the other one is a table of its values, with row counts and the sums of those ranks, and takes its own
+    there. So each metric is one aggregation by its values, and rows are neither stored nor sorted; only ranks of more
+    than RANKS_SENT values meet them by a shuffle, after which they are stored. ``rho`` is null where either side is constant.
     """
-    metrics = list(metrics)
-    rows = df.select("label", *[F.col(m).cast("double").alias(m) for m in metrics]).groupBy("label", *metrics).agg(F.count(F.lit(1)).alias("n"))
-    rows = cells = durable(rows)
-    for i, x in enumerate(metrics):
-        others = [(j, y) for j, y in enumerate(metrics) if j != i]
-        # cells differ in some metric, so this order is total
-        lane = Lane(("label",), (x, *[y for _, y in others]), None if small else tuple_blocks(cells, [x, *[y for _, y in others]]))
-        both = lambda y: f"CASE WHEN `{x}` IS NOT NULL AND `{y}` IS NOT NULL THEN n END"  # noqa: E731, B023
-        sums = {f"__b{j}": Scan("sum", both(y), exclusive=True) for j, y in others} | {f"__a{j}": Scan("sum", both(y), backward=True, exclusive=True) for j, y in others}
-        rows = scan(rows, lane, {"__p": Shift(f"`{x}`"), "__q": Shift(f"`{x}`", -1), **sums})
-        first, last = f"(__p IS NULL OR __p <> `{x}`)", f"(__q IS NULL OR __q <> `{x}`)"
-        ties = {f"__lo{j}": Scan("last", f"CASE WHEN {first} THEN coalesce(__b{j}, 0) END") for j, _ in others}
-        ties |= {f"__hi{j}": Scan("last", f"CASE WHEN {last} THEN coalesce(__a{j}, 0) END", backward=True) for j, _ in others}
-        rows = scan(rows, lane, ties)
-        rows = rows.withColumns({f"__c{i}_{j}": (F.col(f"__lo{j}") - F.col(f"__hi{j}")).cast("double") for j, _ in others})
-        rows = rows.drop("__p", "__q", *sums, *ties)
-    pairs = [(i, j) for i in range(len(metrics)) for j in range(i + 1, len(metrics))]
-    aggs, packed = [], []
-    for i, j in pairs:
-        cx, cy, known = F.col(f"__c{i}_{j}"), F.col(f"__c{j}_{i}"), F.col(metrics[i]).isNotNull() & F.col(metrics[j]).isNotNull()
-        for name, term in (("n", F.lit(1)), ("xy", cx * cy), ("xx", cx * cx), ("yy", cy * cy)):
-            aggs.append(F.sum(F.when(known, F.col("n") * term)).alias(f"{name}_{i}_{j}"))
-        of = lambda name: F.col(f"{name}_{i}_{j}")  # noqa: E731, B023
-        rho = F.when((of("xx") > 0) & (of("yy") > 0), of("xy") / F.sqrt(of("xx") * of("yy")))
-        packed.append(F.struct(F.lit(metrics[i]).alias("metric_a"), F.lit(metrics[j]).alias("metric_b"), of("n").alias("n"), rho.alias("rho")))
-    return rows.groupBy("label").agg(*aggs).select("label", F.inline(F.array(*packed))).where("n > 0")
+    metrics, found = list(metrics), []
+    rows = df.select("label", *[F.col(m).cast("double").alias(m) for m in metrics])
+    order = list(range(len(metrics)))
+    if not small:
+        sizes = rows.agg(*[F.approx_count_distinct(m) for m in metrics]).first()
+        order.sort(key=lambda i: sizes[i])
+    for place, j in enumerate(order):
+        x, fewer, more = metrics[j], order[:place], order[place + 1 :]
+        counts = [F.count(metrics[i]).alias(f"__n{i}") for i in (*fewer, *more)]
+        sums = [F.sum(f"__c{i}_{j}").alias(f"__t{i}") for i in fewer]
+        values = stored(rows.where(F.col(x).isNotNull()).groupBy("label", x).agg(*counts, *sums))
+        n_values = None if small else values.count()
+        block = None if small or n_values <= ordered.GROUP_LIMIT else value_blocks(values, f"`{x}`")
+        names, first = F.array(*map(F.lit, metrics)), F.col("other") > j
+        pair = [names[F.least("other", F.lit(j))].alias("metric_a"), names[F.greatest("other", F.lit(j))].alias("metric_b")]
+        own = [F.when(first, F.col("own")).alias("xx"), F.when(~first, F.col("own")).alias("yy")]
+        once = F.when(F.col("other").isin(fewer), F.col("n")).alias("n")
+        found.append(_pair_sums(values, x, block, [*fewer, *more], fewer).select("label", *pair, once, F.col("both").alias("xy"), *own))
+        if more:
+            lane = Lane(("label",), (x,), block)
+            sides = {f"__{s}{i}": Scan("sum", f"__n{i}", backward=s == "a", exclusive=True) for s in "ba" for i in more}
+            ranks = [(F.coalesce(f"__b{i}", F.lit(0)) - F.coalesce(f"__a{i}", F.lit(0))).cast("double").alias(f"__c{j}_{i}") for i in more]
+            ranked = scan(values, lane, sides, kept=True).select(F.col("label").alias("__label"), F.col(x).alias("__x"), *ranks)
+            sent = not small and n_values <= RANKS_SENT
+            rows = rows.join(F.broadcast(ranked) if sent else ranked, F.col("label").eqNullSafe(F.col("__label")) & (F.col(x) == F.col("__x")), "left").drop("__label", "__x")
+            if not (small or sent):
+                rows = stored(rows)
+    rho = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    sums = [F.sum(c).alias(c) for c in ("n", "xy", "xx", "yy")]
+    return reduce(DataFrame.unionByName, found).groupBy("label", "metric_a", "metric_b").agg(*sums).where("n > 0").select("label", "metric_a", "metric_b", "n", rho.alias("rho"))
 
 
 def recovery_table(df: DataFrame, value: str, small: bool) -> DataFrame:

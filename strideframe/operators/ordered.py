@@ -133,11 +133,12 @@ def _join(name: str, s: Scan | Shift) -> Column:
     return F.when(place > abs(s.k), inside).otherwise(F.try_element_at(carried, F.when(place <= abs(s.k), from_end.cast("int")).otherwise(1))["__scan_v"])
 
 
-def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan | Shift]) -> DataFrame:
+def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan | Shift], kept: bool = False) -> DataFrame:
     """Add one column per spec, a running aggregate or a shifted value; all of one call share a pass and, in blocks, a store.
 
     A block's summary holds what the blocks beside it need of every spec: a count, a sum, an extreme, the latest value, or
-    the last (first) k rows. Summaries merge in order of the blocks, whatever the number of specs.
+    the last (first) k rows. Summaries merge in order of the blocks, whatever the number of specs. ``kept``: the rows are
+    stored already, as they are.
     """
     if taken := [c for c in (*df.columns, *specs) if c.startswith(_OWN)]:
         raise ValueError(f"names that begin with {_OWN} are reserved: {taken}")
@@ -145,7 +146,8 @@ def scan(df: DataFrame, lane: Lane, specs: dict[str, Scan | Shift]) -> DataFrame
         return df.withColumns({n: _inside(s, lane.keys, lane.order) for n, s in specs.items()})
     # stored once: the rows are read twice below, and chained scans would otherwise
     # double the plan each time
-    cut = durable(df.withColumn(_BLK, F.expr(lane.block)))
+    cut = df.withColumn(_BLK, F.expr(lane.block))
+    cut = cut if kept else durable(cut)
     keys = [*lane.keys, _BLK]
     shifts = [s for s in specs.values() if isinstance(s, Shift)]
     if shifts:
